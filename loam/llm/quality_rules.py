@@ -70,54 +70,47 @@ def document_signals(docs: DataFrame) -> DataFrame:
     return counted.select("doc_id", *[F.col(c).cast("long").alias(c.rpartition(".")[2]) for c in longs])
 
 
-def vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, F.lit(BAD)).when(good, F.lit(GOOD)).otherwise(F.lit(ABSTAIN))
-
-
 def rule_votes() -> dict[str, Column]:
-    """Each rule's vote on a row of document_signals(). Rules abstain between their two thresholds."""
+    """Each rule's vote on a row of document_signals(). Six rules call faults bad and abstain otherwise; the last calls ordinary prose good."""
     n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_text"), F.lit(1))
     col = F.col
+    fault = lambda bad: F.when(bad, F.lit(BAD)).otherwise(F.lit(ABSTAIN))
+    prose = (50 * col("n_symbols") <= n) & (5 * col("n_upper") < c) & (10 * col("n_repeat_words") <= 3 * n) & (4 * col("n_stops") <= n)
     return {
-        "length": vote(col("n_words") < 50, col("n_words") >= 100),
-        "word_length": vote((col("word_chars") < 2 * n) | (col("word_chars") > 14 * n), col("word_chars").between(3 * n, 10 * n)),
-        "symbols": vote(10 * col("n_symbols") > n, 50 * col("n_symbols") <= n),
-        "upper": vote(2 * col("n_upper") > c, 5 * col("n_upper") < c),
-        "dup_lines": vote(10 * col("n_dup_lines") > 3 * col("n_lines"), col("n_dup_lines") == 0),
-        "repeats": vote(10 * col("n_repeat_words") > 3 * n, 10 * col("n_repeat_words") <= n),
-        "stops": vote((200 * col("n_stops") < n) | (2 * col("n_stops") > n), (col("n_stops") > 0) & (4 * col("n_stops") <= n)),
+        "word_length": fault((col("word_chars") < 2 * n) | (col("word_chars") > 14 * n)),
+        "symbols": fault(10 * col("n_symbols") > n),
+        "upper": fault(2 * col("n_upper") > c),
+        "dup_lines": fault(2 * col("n_dup_lines") > col("n_lines")),
+        "repeats": fault(10 * col("n_repeat_words") > 4 * n),
+        "stops": fault((2 * col("n_stops") > n) | ((n >= 100) & (col("n_stops") == 0))),
+        "prose": F.when(prose, F.lit(GOOD)).otherwise(F.lit(ABSTAIN)),
     }
 
 
-def fit_rules(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.8, accuracy: float = 0.85, rounds: int = 100) -> dict[tuple[int, ...], float]:
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.5, accuracy: float = 0.8, trust: float = 0.25, rounds: int = 100) -> dict[tuple[int, ...], float]:
     """Posterior probability of good for each vote pattern, from (votes, count) pairs.
 
-    Each rule has its own chances of voting good, bad or abstaining, given that a document is good or bad.
-    The first guess takes every rule to be right with the given accuracy, which also fixes which class is
-    "good". Ties and order don't matter: patterns are sorted first.
+    A rule that votes is right with a chance of its own; abstaining says nothing. The chances start at
+    accuracy, which also weighs in each round as trust times the rule's votes, at every size alike. They
+    are learnt from how the rules agree; ties and order don't matter, as patterns are sorted first.
     """
     patterns = sorted((votes, n) for votes, n in patterns if n)
     if not patterns:
         return {}
     rules = range(len(patterns[0][0]))
-    guess = {GOOD: {GOOD: accuracy, BAD: 1 - accuracy, ABSTAIN: 0.5}, BAD: {GOOD: 1 - accuracy, BAD: accuracy, ABSTAIN: 0.5}}
-    chances = {y: [dict(guess[y]) for _ in rules] for y in (GOOD, BAD)}
-    share, posterior = prior, {}
+    right, posterior = [accuracy for _ in rules], {}
     for _ in range(rounds):
         moved = 0.0
         for votes, _n in patterns:
-            good = math.log(share) + sum(math.log(chances[GOOD][r][votes[r]]) for r in rules)
-            bad = math.log(1 - share) + sum(math.log(chances[BAD][r][votes[r]]) for r in rules)
-            p = 1 / (1 + math.exp(max(-700.0, min(700.0, bad - good))))
+            odds = math.log(prior / (1 - prior)) + sum(votes[r] * math.log(right[r] / (1 - right[r])) for r in rules)
+            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
             moved = max(moved, abs(p - posterior.get(votes, 2.0)))
             posterior[votes] = p
-        total = sum(n for _, n in patterns)
-        good_n = sum(n * posterior[v] for v, n in patterns)
-        share = min(0.999, max(0.001, (good_n + 1) / (total + 2)))
-        for y, weight, mass in ((GOOD, lambda v: posterior[v], good_n), (BAD, lambda v: 1 - posterior[v], total - good_n)):
-            for r in rules:
-                for x in (GOOD, BAD, ABSTAIN):
-                    chances[y][r][x] = (sum(n * weight(v) for v, n in patterns if v[r] == x) + 1) / (mass + 3)
+        for r in rules:
+            cast = [(v, n) for v, n in patterns if v[r] != ABSTAIN]
+            mass = sum(n for _, n in cast)
+            agreed = sum(n * (posterior[v] if v[r] == GOOD else 1 - posterior[v]) for v, n in cast)
+            right[r] = min(0.999, max(0.5, (agreed + (trust * mass + 1) * accuracy) / (mass * (1 + trust) + 1)))
         if moved < 1e-9:
             break
     return posterior

@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -50,9 +50,68 @@ def process_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
-def utf8(column) -> list:
-    """The values of an Arrow string column as UTF-8 bytes, None for null."""
+def slices(batch, column: str, most: int = 4 << 20):
+    """Parts of an Arrow batch that hold about most bytes of the text column, or one longer text: bounds what one step holds in memory."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def text_column(batch, column: str) -> list[str]:
+    """The texts of a batch, empty for null."""
+    return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def utf8_column(batch, column: str) -> list[bytes]:
+    """The texts of a batch as UTF-8, empty for null."""
     import pyarrow as pa
 
-    column = column.cast(pa.large_binary())
-    return column.to_pylist()
+    values = batch.column(column)
+    return [x or b"" for x in values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()]
+
+
+def with_computed(df: DataFrame, fields: T.StructType, compute, text: str | None = "text") -> DataFrame:
+    """df with further columns, computed from Arrow batches whose text is bounded (see slices).
+
+    compute: gets a batch, gives a list of lists or Arrow arrays, one for each field. A column of df that has
+    the name of a new one is replaced. text=None: batches come as they are.
+    """
+    base = df.drop(*[f.name for f in fields])
+    names = [*base.columns, *fields.names]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = [f.type for f in to_arrow_schema(fields)]
+        for batch in batches:
+            for part in slices(batch, text) if text else [batch]:
+                new = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(compute(part), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields.fields]))
+
+
+def map_texts(df: DataFrame, fields: T.StructType, compute, text: str = "text") -> DataFrame:
+    """Rows of their own (several or none for each of df): compute takes an iterator of bounded batches and yields lists of columns."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = [f.type for f in to_arrow_schema(fields)]
+        for columns in compute(part for batch in batches for part in slices(batch, text)):
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=fields.names)
+
+    return df.mapInArrow(run, fields)
+
+
+def ddl(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)

@@ -96,10 +96,25 @@ class WindowSet:
         return found
 
 
-def scan_block(docs: DataFrame, block) -> DataFrame:
-    """docs with n_words, and window hits (place, length, item) added to those of earlier blocks."""
+def summary(at: list[int], length: list[int], items: list[str]) -> tuple:
+    """n_hit, n_items, items_sha256, contaminated and hits of a document, from its window hits."""
+    runs: list[list[int]] = []
+    for start, n in sorted(zip(at, length)):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], start + n)
+        else:
+            runs.append([start, start + n])
+    which = sorted(set(items))
+    return sum(b - a for a, b in runs), len(which), hashlib.sha256(",".join(which).encode()).hexdigest(), bool(runs), [{"from": a, "to": b} for a, b in runs]
+
+
+SUMMARY = "n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hits array<struct<from: int, to: int>>"
+
+
+def scan_block(docs: DataFrame, block, last: bool) -> DataFrame:
+    """docs with n_words and window hits (place, length, item), added to those of earlier blocks; after the last block their summary in place of the hits."""
     made: list[WindowSet] = []
-    fields = ddl("n_words bigint, hit_at array<int>, hit_length array<int>, hit_items array<string>")
+    fields = ddl(f"n_words bigint, {SUMMARY if last else 'hit_at array<int>, hit_length array<int>, hit_items array<string>'}")
     had = "hit_at" in docs.columns
     source = docs.withColumnsRenamed({"hit_at": "had_at", "hit_length": "had_length", "hit_items": "had_items"}) if had else docs
 
@@ -124,41 +139,23 @@ def scan_block(docs: DataFrame, block) -> DataFrame:
                 at[row].append(place - int(starts[row]))
                 length[row].append(n)
                 items[row].append(item)
-        return [counts, at, length, items]
+        return [counts, *zip(*map(summary, at, length, items))] if last else [counts, at, length, items]
 
     return with_computed(source, fields, compute).drop("had_at", "had_length", "had_items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with RESULT's columns and hits, an array of the runs of words that were hit: from word, to word (exclusive)."""
-    spark = docs.sparkSession
     windows = staged(item_windows(benchmark, width), "windows")
     blocks = max(1, -(-windows.count() // max_windows))
     keyed = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     out = docs
     for i in range(blocks):
-        rows = keyed.filter(F.col("block") == i).select("window", "items").collect() if blocks > 1 else windows.select("window", "items").collect()
-        out = scan_block(out, spark.sparkContext.broadcast([(r.window, r["items"]) for r in rows]))
+        rows = keyed.filter(F.col("block") == i).select("window", "items").collect()
+        out = scan_block(out, docs.sparkSession.sparkContext.broadcast([(r.window, r["items"]) for r in rows]), i + 1 == blocks)
         if i + 1 < blocks:
             out = staged(out, "scanned")
-
-    def compute(part):
-        hit, n_items, shas, runs = [], [], [], []
-        for at, length, items in zip(*(part.column(c).to_pylist() for c in ("hit_at", "hit_length", "hit_items"))):
-            merged: list[list[int]] = []
-            for start, n in sorted(zip(at, length)):
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], start + n)
-                else:
-                    merged.append([start, start + n])
-            hit.append(sum(b - a for a, b in merged))
-            n_items.append(len(set(items)))
-            shas.append(hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest())
-            runs.append([{"from": a, "to": b} for a, b in merged])
-        return [hit, n_items, shas, [n > 0 for n in hit], runs]
-
-    fields = ddl("n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hits array<struct<from: int, to: int>>")
-    return with_computed(out, fields, compute).drop("hit_at", "hit_length", "hit_items")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove: str = "documents") -> DataFrame:

@@ -116,11 +116,12 @@ def best_column(lengths, values, capacity: int) -> list[int]:
     return column
 
 
-def solve_program(histogram: dict[int, int], capacity: int, rounds: int = 200, rate: float = 2.0, steps: int = 60) -> list[tuple[dict[int, int], float]]:
+def solve_program(histogram: dict[int, int], capacity: int, rounds: int = 150, rate: float = 2.0, steps: int = 100, favour: float = 1.1) -> list[tuple[dict[int, int], float]]:
     """(column, uses) with fractional uses. A column is {length: copies}; together they hold no more of a length than there is.
 
-    Values start as the share of a sequence that a length takes, the program's dual when sequences can be
-    filled, times a weight that grows with the share of the length's pieces that still wait.
+    Values start as the share of a sequence that a length takes, the program's dual where sequences can be
+    filled, to the power favour: of columns alike, those with long pieces come first. Each is multiplied by a
+    weight that grows with the share of the length's pieces that still wait.
     """
     import numpy as np
 
@@ -129,24 +130,26 @@ def solve_program(histogram: dict[int, int], capacity: int, rounds: int = 200, r
     left, found = there.copy(), {}
     total = float(lengths @ there) / capacity
     for _ in range(rounds):
-        open_ = left > 0.5
-        if not open_.any() or float(lengths @ left) / capacity < 0.002 * total:
+        waits = left > 0.02 * there
+        if not waits.any():
             break
-        share = left[open_] / there[open_]
-        values = lengths[open_] / capacity * np.exp(rate * (share - share.mean()))
-        # A length of which less than a column's copies are left would spoil its column's uses.
-        column = np.bincount(np.flatnonzero(open_)[best_column(lengths[open_], values, capacity)], minlength=len(lengths))
+        share = left[waits] / there[waits]
+        values = (lengths[waits] / capacity) ** favour * np.exp(rate * (share - share.mean()))
+        column = np.bincount(np.flatnonzero(waits)[best_column(lengths[waits], values, capacity)], minlength=len(lengths))
+        column = np.minimum(column, there).astype(np.int64)
         used = column > 0
-        uses = min(max(1.0, total / steps), float((left[used] / column[used]).min()))
+        uses = min(total / steps, float((left[used] / column[used]).min()))
         left = np.maximum(0, left - uses * column)
         key = tuple((int(lengths[i]), int(column[i])) for i in np.flatnonzero(used))
         found[key] = found.get(key, 0.0) + uses
     return [(dict(k), v) for k, v in found.items()]
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(contents, sequences) by best fit, longest first; sequences with equal contents are kept as one, so the work doesn't grow with the counts."""
+def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
+    """(contents, sequences) by best fit, longest first, on top of sequences begun; those with equal contents are kept as one, so the work doesn't grow with the counts."""
     open_: dict[int, list[list]] = {}  # by room: [contents, number of sequences]
+    for contents, number in begun:
+        open_.setdefault(capacity - sum(n * copies for n, copies in contents.items()), []).append([contents, number])
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n > 0:
@@ -174,14 +177,16 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 2048) -> list[tupl
     histogram = {n: c for n, c in histogram.items() if c}
     if not histogram:
         return []
-    left, groups = dict(histogram), []
+    left, begun = dict(histogram), []
     for column, uses in solve_program(histogram, capacity):
         whole = min(int(uses + 1e-9), *(left[n] // copies for n, copies in column.items()))
         if whole:
-            groups.append((column, whole))
+            begun.append((column, whole))
             for n, copies in column.items():
                 left[n] -= copies * whole
-    groups += best_fit({n: c for n, c in left.items() if c}, capacity)
+    # Where there are few pieces of each length rounding may cost more than the program gains.
+    ways = best_fit({n: c for n, c in left.items() if c}, capacity, begun), best_fit(histogram, capacity, [])
+    groups = min(ways, key=lambda g: sum(number for _, number in g))
     given, rows, sequence = dict.fromkeys(histogram, 0), [], 0
     for contents, number in groups:
         offset = 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, minhash, packing, pii, quality_rules, urlfilter
+from . import decontaminate, html_extract, minhash, packing, pii, quality_rules, repeats, urlfilter
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage of each document that it shares with others: where it is, and the least doc_id that has it."""
+    return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and representative: documents of one class are linked by similarities of 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative")
@@ -47,6 +52,7 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op4_html_text": op4_html_text,
         "op5_pack": op5_pack,
+        "op6_repeated_passages": op6_repeated_passages,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, minhash, packing, pii, quality_rules, repeats, urlfilter
+from . import decontaminate, html_extract, minhash, packing, pii, quality_net, quality_rules, repeats, urlfilter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and representative: documents of one class are linked by similarities of 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative")
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op4_html_text": op4_html_text,
         "op5_pack": op5_pack,
         "op6_repeated_passages": op6_repeated_passages,
+        "op7_quality": op7_quality,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,

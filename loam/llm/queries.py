@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, minhash, packing, pii, quality_net, quality_rules, repeats, urlfilter
+from . import decontaminate, html_extract, lm_score, minhash, packing, pii, quality_net, quality_rules, repeats, urlfilter
 from .common import table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lm_score.blocked_documents(spark, f"{sf_dir}/documents.parquet")
+    return lm_score.score_documents(docs, block="block")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark)
@@ -52,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_decontaminate": op2_decontaminate,
         "op3_url_filter": op3_url_filter,
         "op4_html_text": op4_html_text,

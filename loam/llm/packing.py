@@ -24,17 +24,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import ddl, map_texts, process_cache, staged, text_column
 
 END = 0
-#: Between two of these a text can be cut for the tokenizer: a space between two characters that aren't white space.
+#: A text can be cut for the tokenizer before a space between two characters that aren't white space.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-UNSAFE = re.compile(r"\s |  | \s|^ | $")
-MAX_CACHED = 300_000
+#: What keeps a text from being taken word by word: white space side by side or at an end, or a special token.
+UNSAFE = re.compile(r"\s\s|^\s|\s$|<\|")
+MAX_CACHED = 400_000
+LINE = 198  # the tokenizer's id of a line feed
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins across a space between two other characters, so texts are cut there and each
-    different part is tokenized once as long as the cache holds it. The cache is emptied when it is full.
+    The tokenizer never joins across a space or line feed between two other characters, so most texts are taken
+    word by word, and a word is tokenized once as long as the cache holds it: a key is a word after a space, or
+    a line feed and the word after it. The cache has two generations; a key that is still used when the young
+    one is full survives.
     """
 
     def __init__(self, path: str):
@@ -42,26 +46,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if self.tokenizer.encode("\n", add_special_tokens=False).ids != [LINE]:
+            raise ValueError("a byte-level tokenizer with the line feed as id 198 is needed")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]):
+        import numpy as np
+
+        return [np.array(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str], each: int = 200) -> None:
+        """Puts words into the young generation. Many are tokenized as one text, one to a line."""
         import numpy as np
 
-        parts = []
-        for text in texts:
-            if UNSAFE.search(text):
-                parts.append(SAFE_CUT.split(text))
+        if len(self.young) > MAX_CACHED:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for w in words:
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                fresh.append(w)
+        groups = [fresh[i : i + each] for i in range(0, len(fresh), each)]
+        for group, ids in zip(groups, self.ids(["".join(w if w[0] == "\n" else f"\n {w}" for w in g) for g in groups])):
+            starts = np.flatnonzero(ids == LINE)
+            raw = ids.tobytes()
+            for w, a, b in zip(group, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                self.young[w] = raw[4 * a : 4 * b] if w[0] == "\n" else raw[4 * a + 4 : 4 * b]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        later, missing, plain = [], set(), []
+        get = self.young.get
+        for i, text in enumerate(texts):
+            if not text or UNSAFE.search(text):
+                plain.append(i)
+                continue
+            words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            got = list(map(get, words))
+            if None in got:
+                missing.update(w for w, x in zip(words, got) if x is None)
+                later.append((i, words))
             else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        missing = list({x for p in parts for x in p if x not in self.cache})
-        for i in range(0, len(missing), 5000):
-            some = missing[i : i + 5000]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cache[part] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+                out[i] = b"".join(got)[4:]
+        if missing:
+            known = self.young
+            self.learn(missing)
+            if known is not self.young:  # a new generation: it lacks what these texts found in the last one
+                self.learn({w for _, words in later for w in words} - self.young.keys())
+        for i, words in later:
+            out[i] = b"".join(map(self.young.__getitem__, words))[4:]
+        parts = [(i, part) for i in plain for part in SAFE_CUT.split(texts[i])]
+        joined: dict[int, list[bytes]] = {i: [] for i in plain}
+        for (i, _), ids in zip(parts, self.ids([part for _, part in parts])):
+            joined[i].append(ids.tobytes())
+        for i, found in joined.items():
+            out[i] = b"".join(found)
+        return out
 
 
 def encoder(path: str | None) -> Encoder:

@@ -58,16 +58,16 @@ def repeated_words(words: Column) -> Column:
 
 
 def document_signals(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules use."""
+    """doc_id, text_key (a hash of the text) and the counts that the rules use."""
     text = F.coalesce("text", F.lit(""))
     without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     by_word = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.aggregate(w, F.lit(0), lambda acc, x: acc + F.length(x)).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    counted = docs.select("doc_id", by_word.alias("w"), by_line.alias("l"), without(r"[#*$%&|<>]").alias("n_symbols"), without("[A-Z]+").alias("n_upper"), without("[.!?]+").alias("n_stops"), F.length(text).alias("n_text"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), by_word.alias("w"), by_line.alias("l"), without(r"[#*$%&|<>]").alias("n_symbols"), without("[A-Z]+").alias("n_upper"), without("[.!?]+").alias("n_stops"), F.length(text).alias("n_text"))
     longs = ["w.n_words", "w.word_chars", "w.n_repeat_words", "l.n_lines", "l.n_dup_lines", "n_symbols", "n_upper", "n_stops", "n_text"]
-    return counted.select("doc_id", *[F.col(c).cast("long").alias(c.rpartition(".")[2]) for c in longs])
+    return counted.select("doc_id", "text_key", *[F.col(c).cast("long").alias(c.rpartition(".")[2]) for c in longs])
 
 
 def rule_votes() -> dict[str, Column]:
@@ -117,7 +117,7 @@ def fit_rules(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.5, a
 
 
 def judge_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the signals, base_failed, p_good and kept of every row of docs."""
+    """doc_id, text_key, the signals, base_failed, p_good and kept of every row of docs."""
     spark = docs.sparkSession
     votes = rule_votes()
     signals = staged(document_signals(docs), "signals")
@@ -130,3 +130,10 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.join(F.broadcast(table), names, "left").withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*names)
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept; the columns stay as they are."""
+    good = staged(judge_quality(docs, threshold).filter("kept").select(F.col("doc_id").alias("good_id"), "text_key"), "good")
+    keyed = docs.withColumn("good_key", F.xxhash64("text"))
+    return keyed.join(good, keyed.doc_id.eqNullSafe(good.good_id) & (keyed.good_key == good.text_key), "left_semi").select(*docs.columns)

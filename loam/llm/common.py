@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import tempfile
 import types
@@ -115,3 +116,15 @@ def map_texts(df: DataFrame, fields: T.StructType, compute, text: str = "text")
 
 def ddl(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)
+
+
+def keeps_columns(operator):
+    """For operators from documents to documents: columns they don't know get names of their own meanwhile, so that no name clashes, and come back in their order."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = {c: c if c in ("doc_id", "text", "n_chars") else f"aside_{i}_of_input" for i, c in enumerate(docs.columns)}
+        out = operator(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), *args, **kwargs)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run

@@ -18,7 +18,7 @@ from itertools import repeat
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ddl, map_texts, staged, utf8_column, with_computed
+from .common import ddl, keeps_columns, map_texts, staged, utf8_column, with_computed
 
 MAX_WINDOWS = 200_000
 #: Lower-cases A-Z and turns what is in no word into spaces.
@@ -158,6 +158,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, m
     return out
 
 
+@keeps_columns
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") without the words that were hit; the columns stay as they are."""
     found = find_contamination(docs.select(*docs.columns), benchmark, width)

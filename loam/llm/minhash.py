@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ddl, map_texts, staged, utf8_column, with_computed
+from .common import ddl, keeps_columns, map_texts, staged, utf8_column, with_computed
 from .decontaminate import words_of
 from .graph import components
 
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     return judged.select("doc_id", "node", "class_id", (F.col("first_text") & (F.col("doc_id") == F.col("class_id"))).alias("representative"))
 
 
+@keeps_columns
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, the one of least doc_id; the columns stay as they are."""
     kept = staged(near_duplicates(docs, **options).filter("representative").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")), "kept")

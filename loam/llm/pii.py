@@ -17,7 +17,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ddl, map_texts, staged, text_column, with_computed
+from .common import ddl, keeps_columns, map_texts, staged, text_column, with_computed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -194,6 +194,7 @@ def masked(text: str, marks: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[end:]])
 
 
+@keeps_columns
 def redact(docs: DataFrame, threshold: float = 0.5, support: int = 3, width: int = 5) -> DataFrame:
     """docs with [EMAIL], [IP], [CARD] and [PHONE] in place of entities and [TERM] in place of disclosing words; the columns stay as they are."""
     found = staged(find_base(docs, width), "found")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged
+from .common import keeps_columns, staged
 
 SPACE = r"[\x20\x09-\x0D]+"
 GOOD, BAD, ABSTAIN = 1, -1, 0
@@ -132,6 +132,7 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*names)
 
 
+@keeps_columns
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept; the columns stay as they are."""
     good = staged(judge_quality(docs, threshold).filter("kept").select(F.col("doc_id").alias("good_id"), "text_key"), "good")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ddl, map_texts, staged, utf8_column, with_computed
+from .common import ddl, keeps_columns, map_texts, staged, utf8_column, with_computed
 
 WINDOW = 16
 LEAST, MEAN, MOST = 8, 24, 256
@@ -134,6 +134,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, least_chars: int =
     return long.select("doc_id", "tag", "start", "end", "n_words", "first_doc_id", "kept")
 
 
+@keeps_columns
 def remove_repeats(docs: DataFrame, least_words: int = 13, least_chars: int = 64) -> DataFrame:
     """docs without the passages that a document of lower doc_id has; the columns stay as they are."""
     spans = repeated_passages(docs, least_words, least_chars).filter("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("repeated_spans"))

@@ -58,7 +58,7 @@ def test_terms_that_disclose_an_entity(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r.doc_id: r for r in pii.report(pii.find_personal_data(docs)).collect()}
     assert len(found) == len(rows)
-    assert found[0].spans.count("term:") == 1 and found[0].spans.split(",")[0] == "term:12:19"
+    assert found[0].spans.count("term:") == 1 and found[0].spans.split(",")[0] == "term:13:20"
     assert found[150].spans == "" and found[900].spans == "" and found[901].n_email == 0
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[0] == "worda othera [TERM] qaq [EMAIL] and taila" and clean[150] == rows[55][1] and clean[900] is None

@@ -174,19 +174,22 @@ def star_pairs(members: DataFrame) -> DataFrame:
 
 
 def other_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """a < b: in buckets of three or more whose members aren't all of one class yet, each with two members of other classes.
+    """a < b: in buckets of three or more that hold several classes, each member outside the bucket's largest class with one of that class and with the one before it.
 
-    The order in a bucket is drawn anew for each bucket and turn. A member meets the one before it and the
-    bucket's first. Large buckets are split into parts of about a thousand for the order alone.
+    Whom they meet is drawn anew for each bucket and turn. Large buckets are split into parts of about a
+    thousand for the order alone.
     """
     classed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed_ones = classed.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)), "node", "label")).alias("first")).filter("n > 2 and low <> high")
-    open_ = classed.join(mixed_ones, "band").withColumn("place", F.xxhash64("node", "band", F.lit(turn)))
+    place = F.xxhash64("node", "band", F.lit(turn))
+    classes = classed.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "node")).alias("drawn"))
+    buckets = classes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "label", "drawn")).alias("main")).filter("n > 2 and classes > 1")
+    outside = classed.join(buckets, "band").filter(F.col("label") != F.col("main.label")).withColumn("place", place)
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 1000))
     order = Window.partitionBy("band", part).orderBy("place", "node")
-    linked = open_.withColumn("before", F.lag(F.struct("node", "label")).over(order))
-    pair = lambda other: F.when(F.col(f"{other}.label") != F.col("label"), F.struct(F.least("node", f"{other}.node").alias("a"), F.greatest("node", f"{other}.node").alias("b")))
-    return linked.select(F.explode(F.array_compact(F.array(pair("first"), pair("before")))).alias("p")).select("p.a", "p.b").distinct()
+    linked = outside.withColumn("before", F.lag(F.struct("node", "label")).over(order))
+    pair = lambda other: F.struct(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+    met = F.array(pair(F.col("main.drawn.node")), F.when(F.col("before.label") != F.col("label"), pair(F.col("before.node"))))
+    return linked.select(F.explode(F.array_compact(met)).alias("p")).select("p.a", "p.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = 80, bands: int = 20, turns: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:

@@ -1 +1,4 @@
-"""Part of the Spark-native curation and retrieval engine."""
+"""All registered queries of the curation and retrieval engine."""
+
+from . import report_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

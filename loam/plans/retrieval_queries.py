@@ -116,7 +116,7 @@ def kept_in_order(spark, sf):
     return curation.kept_in_order(items.select("id"), curation.similar_pairs(items, 0.3))
 
 
-@query("source_extensions", PAIRS + ", " + MEMORIES_SQL + ", own AS (SELECT p.* FROM p JOIN mem x ON x.id = a JOIN mem y ON y.id = b), sides AS (SELECT b AS id, a AS other, similarity FROM own UNION ALL SELECT a, b, similarity FROM own), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM sides) SELECT b.id, b.other AS extends, round(b.similarity, 6) AS similarity FROM best b JOIN mem m ON m.id = b.other WHERE r = 1 AND starts_with(m.source, 'source:') AND b.similarity >= 0.3 AND b.similarity < 0.9")
+@query("source_extensions", PAIRS + ", " + MEMORIES_SQL + ", own AS (SELECT p.* FROM p JOIN mem x ON x.id = a JOIN mem y ON y.id = b), sides AS (SELECT b AS id, a AS other, similarity FROM own), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM sides) SELECT b.id, b.other AS extends, round(b.similarity, 6) AS similarity FROM best b JOIN mem m ON m.id = b.other WHERE r = 1 AND starts_with(m.source, 'source:') AND b.similarity >= 0.3 AND b.similarity < 0.9")
 def source_extensions(spark, sf):
     items = vectors(spark, sf)
     pairs = curation.similar_pairs(items.select("id", "embedding"), 0.3)

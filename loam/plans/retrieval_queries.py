@@ -154,3 +154,26 @@ def document_duplicates(spark, sf):
     items = hash_embedded(table(spark, sf, "documents").select("doc_id", "text"), 128).select(F.col("doc_id").alias("id"), "embedding")
     return curation.kept_in_order(items.select("id"), curation.similar_pairs(items, 0.92))
 
+
+
+@query("document_chunks", None)
+def document_chunks(spark, sf):
+    from ..operators.chunking import chunked
+
+    return chunked(table(spark, sf, "documents"))
+
+
+@query("chunk_topics", None)
+def chunk_topics(spark, sf):
+    from ..operators.chunking import chunked, topic_groups
+    from ..operators.embed import hash_embedded
+
+    return topic_groups(hash_embedded(chunked(table(spark, sf, "documents"), 512).select("doc_id", "pos", "text"), 64))
+
+
+@query("merged_memories", None)
+def merged_memories(spark, sf):
+    from ..operators.merging import merged
+
+    with_checkpoints(spark)
+    return merged(vectors(spark, sf).select("id", "content", "embedding", "hit_count", "created_at"), 0.3, scan=None)

@@ -97,9 +97,9 @@ def unit_table(vectors: DataFrame):
     import numpy as np
 
     table = np.zeros((PLACES, DIM), np.float32)
-    rows = vectors.toPandas()
-    if len(rows):
-        values = rows[[f"d{i}" for i in range(DIM)]].to_numpy()
+    rows = vectors.toArrow()
+    if rows.num_rows:
+        values = np.stack([rows[f"d{i}"].to_numpy() for i in range(DIM)], axis=1)
         table[rows["place"].to_numpy()] = values / np.maximum(1e-9, np.linalg.norm(values, axis=1, keepdims=True))
     return table
 

@@ -129,3 +129,13 @@ def write_summary(stored: Column, extended: Column, duplicates: Column, merged:
 def summary_count(summary: Column, what: str) -> Column:
     """The number before a phrase of write_summary, 0 without it."""
     return F.coalesce(F.nullif(F.regexp_extract(summary, rf"(\d+) {what}", 1), F.lit("")).cast("bigint"), F.lit(0))
+
+
+def with_context(prompt: Column, context: Column) -> Column:
+    """The context before an existing prompt, either alone if the other is empty."""
+    return F.concat_ws("\n\n", F.nullif(context, F.lit("")), F.nullif(prompt, F.lit("")))
+
+
+def first_result(context: Column) -> Column:
+    """The content of a context block's first entry, empty without one."""
+    return F.regexp_extract(context, r"(?s)\n---\n\[1\] \([^\n]*\)\n(.*?)\n(?:\n---\n\[2\] |</retrieved_context>)", 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import gates, text as T
 from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, table
@@ -217,3 +217,32 @@ def heading_sections(spark, sf):
 
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return heading_groups(lines.withColumn("heading", F.concat(F.lit("H"), (F.floor(F.col("pos") / 2) % 3).cast("string"))))
+
+
+@query("system_prompts", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN 'context' ELSE 'context' || chr(10) || chr(10) || url END AS prompt FROM pages")
+def system_prompts(spark, sf):
+    d = F.col("page_id") % 3
+    prompt, context = F.when(d == 1, "").otherwise(F.col("url")), F.when(d == 0, "").otherwise("context")
+    return table(spark, sf, "pages").select("page_id", T.with_context(prompt, context).alias("prompt"))
+
+
+@query("joined_topics", "SELECT conv_id, turn // 2 AS topic, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL")
+def joined_topics(spark, sf):
+    """What a topic's chunks come to without a model: joined by blank lines."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    rows = table(spark, sf, "conversations").groupBy("conv_id", F.expr("turn div 2").alias("topic")).agg(parts.alias("p"))
+    return rows.select("conv_id", "topic", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+@query("noise_prototypes", EX + "SELECT id, substr(answer, 1, 500) AS prototype FROM ex WHERE score < 0.35 ORDER BY id DESC LIMIT 150")
+def noise_prototypes(spark, sf):
+    """The last 150 rejected answers, which become the noise prototypes; the limit is the size of that set."""
+    return exchanges(spark, sf).filter("score < 0.35").orderBy(F.desc("id")).limit(150).select("id", F.substring("answer", 1, 500).alias("prototype"))
+
+
+@query("database_results", "WITH " + MEMORIES_SQL + "SELECT CASE WHEN source = 'mcp' THEN 'first' ELSE 'second' END AS database, count(*) AS n, sum(hit_count)::BIGINT AS hits FROM mem GROUP BY 1")
+def database_results(spark, sf):
+    """Rows of several databases as one table with the database's name."""
+    rows = memories(spark, sf)
+    both = rows.filter("source = 'mcp'").withColumn("database", F.lit("first")).unionByName(rows.filter("source <> 'mcp'").withColumn("database", F.lit("second")))
+    return both.groupBy("database").agg(F.count("*").alias("n"), F.sum("hit_count").alias("hits"))

@@ -44,3 +44,22 @@ def test_markdown_export(spark):
     files.export_markdown(spark.createDataFrame(rows, "id int, source string, content string, quality_score double, created_at string"), f"{root}/md")
     out = spark.read.text(f"{root}/md", wholetext=True).collect()
     assert {r.file for r in out} == {"source-ax", "captured"} and any(r.value.startswith("## 1. second") for r in out)
+
+
+def test_rejection_log_signals(spark):
+    root = tempfile.mkdtemp()
+    rows = [(i, "a" if i % 3 else "b", f"rejected {i}") for i in range(90)]
+    frame = spark.createDataFrame(rows, "id bigint, log string, answer string").coalesce(1)
+    for part in (frame.filter("id < 45"), frame.filter("id >= 45")):
+        part.write.mode("append").parquet(f"{root}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("id bigint, log string, answer string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        signals = streams.rejection_signals(stream, most=40, every=25)
+        query = signals.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(f"{root}/out").collect()
+    by = {k: (sum(r.signals for r in got if r.log == k), max(r.seen for r in got if r.log == k)) for k in ("a", "b")}
+    assert by == {"a": (2, 60), "b": (1, 30)} and all(r.kept <= 40 for r in got)

@@ -51,6 +51,15 @@ def process_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of the Arrow batches that Spark hands to Python, unless the session has a bound of its own: rows alone don't, with long texts."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def slices(batch, column: str, most: int = 4 << 20):
     """Parts of an Arrow batch that hold about most bytes of the text column, or one longer text: bounds what one step holds in memory."""
     import numpy as np
@@ -84,6 +93,7 @@ def with_computed(df: DataFrame, fields: T.StructType, compute, text: str | None
     compute: gets a batch, gives a list of lists or Arrow arrays, one for each field. A column of df that has
     the name of a new one is replaced. text=None: batches come as they are.
     """
+    bound_batches(df.sparkSession)
     base = df.drop(*[f.name for f in fields])
     names = [*base.columns, *fields.names]
 
@@ -103,6 +113,8 @@ def with_computed(df: DataFrame, fields: T.StructType, compute, text: str | None
 def map_texts(df: DataFrame, fields: T.StructType, compute, text: str = "text") -> DataFrame:
     """Rows of their own (several or none for each of df): compute takes an iterator of bounded batches and yields lists of columns."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema

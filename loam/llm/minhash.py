@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import ddl, keeps_columns, map_texts, staged, utf8_column, with_computed
 from .decontaminate import words_of
-from .graph import components
+from .graph import components, joined_components
 
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     crowded = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = staged(rows.join(crowded, "band"), "members")
     needed = members.select("node", "rep").distinct()
-    small = needed.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = needed.count() <= broadcast_rows
     source = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
     found = source.join(F.broadcast(needed) if small else needed, "rep").filter(node_of(F.col("text")) == F.col("node"))
     lookup = staged(found.select("node", "text").dropDuplicates(["node"]), "texts")
@@ -215,16 +215,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
         return weighted_jaccard(pairs.join(a, "a").join(b, "b"), width)
 
     edges = staged(compared(star_pairs(members)), "compared")
-    accepted = edges.filter(F.col("similarity") >= threshold).select("a", "b")
-    labels = components(accepted)
+    labels = components(edges.filter(F.col("similarity") >= threshold).select("a", "b"))
     for turn in range(turns):
         fresh = other_pairs(members, labels, turn).join(edges.select("a", "b"), ["a", "b"], "left_anti")
         more = staged(compared(fresh), "compared")
         new = more.filter(F.col("similarity") >= threshold).select("a", "b")
         if not new.limit(1).count():
             break
-        edges, accepted = edges.union(more), accepted.union(new)
-        labels = components(accepted)
+        edges = edges.union(more)
+        labels = joined_components(labels, new)
     classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = classes.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("low"))
     of_node = classes.join(lowest, "label").select("node", F.col("low.rep").alias("class_id"), (F.col("low.node") == F.col("node")).alias("first_text"))

@@ -28,7 +28,7 @@ END = 0
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: What keeps a text from being taken word by word: white space side by side or at an end, or a special token.
 UNSAFE = re.compile(r"\s\s|^\s|\s$|<\|")
-MAX_CACHED = 400_000
+MAX_CACHED = 250_000
 LINE = 198  # the tokenizer's id of a line feed
 
 
@@ -69,7 +69,8 @@ class Encoder:
             else:
                 fresh.append(w)
         groups = [fresh[i : i + each] for i in range(0, len(fresh), each)]
-        for group, ids in zip(groups, self.ids(["".join(w if w[0] == "\n" else f"\n {w}" for w in g) for g in groups])):
+        for group in groups:
+            (ids,) = self.ids(["".join(w if w[0] == "\n" else f"\n {w}" for w in group)])
             starts = np.flatnonzero(ids == LINE)
             raw = ids.tobytes()
             for w, a, b in zip(group, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):

@@ -60,7 +60,7 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(BATCH_BYTES, str(most))
 
 
-def slices(batch, column: str, most: int = 4 << 20):
+def slices(batch, column: str, most: int = 1 << 20):
     """Parts of an Arrow batch that hold about most bytes of the text column, or one longer text: bounds what one step holds in memory."""
     import numpy as np
     import pyarrow.compute as pc
@@ -110,8 +110,8 @@ def with_computed(df: DataFrame, fields: T.StructType, compute, text: str | None
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields.fields]))
 
 
-def map_texts(df: DataFrame, fields: T.StructType, compute, text: str = "text") -> DataFrame:
-    """Rows of their own (several or none for each of df): compute takes an iterator of bounded batches and yields lists of columns."""
+def map_texts(df: DataFrame, fields: T.StructType, compute, text: str = "text", most: int = 1 << 20) -> DataFrame:
+    """Rows of their own (several or none for each of df): compute takes an iterator of batches of about `most` bytes and yields lists of columns."""
 
     bound_batches(df.sparkSession)
 
@@ -120,7 +120,7 @@ def map_texts(df: DataFrame, fields: T.StructType, compute, text: str = "text")
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = [f.type for f in to_arrow_schema(fields)]
-        for columns in compute(part for batch in batches for part in slices(batch, text)):
+        for columns in compute(part for batch in batches for part in slices(batch, text, most)):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=fields.names)
 
     return df.mapInArrow(run, fields)

@@ -88,7 +88,7 @@ def word_vectors(docs: DataFrame) -> DataFrame:
         yield [pa.array(used, pa.int32()), *(pa.array(table[used, i]) for i in range(DIM))]
 
     columns = ", ".join(f"d{i} double" for i in range(DIM))
-    partial = map_texts(docs.select("text"), ddl(f"place int, {columns}"), compute)
+    partial = map_texts(docs.select("text"), ddl(f"place int, {columns}"), compute, most=4 << 20)
     return partial.groupBy("place").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(DIM)])
 
 

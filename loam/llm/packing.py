@@ -28,7 +28,8 @@ END = 0
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: What keeps a text from being taken word by word: white space side by side or at an end, or a special token.
 UNSAFE = re.compile(r"\s\s|^\s|\s$|<\|")
-MAX_CACHED = 250_000
+MAX_CACHED = 300_000
+TAIL = ".,;:!?"
 LINE = 198  # the tokenizer's id of a line feed
 
 
@@ -48,6 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         if self.tokenizer.encode("\n", add_special_tokens=False).ids != [LINE]:
             raise ValueError("a byte-level tokenizer with the line feed as id 198 is needed")
 
@@ -61,13 +63,20 @@ class Encoder:
         import numpy as np
 
         if len(self.young) > MAX_CACHED:
-            self.old, self.young = self.young, {}
-        fresh = []
+            self.old, self.young, self.tails = self.young, {}, {}
+        fresh, made = set(), []
         for w in words:
             if w in self.old:
                 self.young[w] = self.old[w]
-            else:
-                fresh.append(w)
+                continue
+            stem = w.rstrip(TAIL)
+            if stem == w or not stem[-1:].isalpha():
+                fresh.add(w)
+                continue
+            made.append((w, stem))  # letters and what follows them are never one token
+            if stem not in self.young and stem not in self.old:
+                fresh.add(stem)
+        fresh = list(fresh)
         groups = [fresh[i : i + each] for i in range(0, len(fresh), each)]
         for group in groups:
             (ids,) = self.ids(["".join(w if w[0] == "\n" else f"\n {w}" for w in group)])
@@ -75,6 +84,11 @@ class Encoder:
             raw = ids.tobytes()
             for w, a, b in zip(group, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
                 self.young[w] = raw[4 * a : 4 * b] if w[0] == "\n" else raw[4 * a + 4 : 4 * b]
+        for w, stem in made:
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.ids([tail])[0].tobytes()
+            self.young[w] = (self.young.get(stem) or self.old[stem]) + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)

@@ -16,7 +16,7 @@ def tokenizer():
 
 def test_encoder_equals_the_tokenizer(tokenizer):
     own = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "\n\n x\ty", "it's  we'll don't", "é ü  x  y", "<|endoftext|> a <|endoftext|>", "12 3.4, (x) [y]\r\n", "x\x1c y \x1cz", "日本 語 👍 a"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "\n\n x\ty", "it's  we'll don't", "é ü  x  y", "<|endoftext|> a <|endoftext|>", "12 3.4, (x) [y]\r\n", "x\x1c y \x1cz", "日本 語 👍 a", "word, word. word word?! (x), 's. it's, 3. 4, ...\n, a.\nb, Ǆ. ª, x²."]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 

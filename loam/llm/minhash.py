@@ -8,8 +8,11 @@ coordinate is its signature: two signatures agree in a coordinate with a chance
 
 Equal texts are first brought together by digest. Documents whose signatures agree on a band meet in a
 bucket. Pairs in a bucket are not multiplied out: each member is compared with the bucket's first; where a
-bucket then holds several classes, its members are compared with others in orders drawn anew. Accepted pairs
-form the classes. Pairs are accepted on exact shingle counts, so a class never rests on an estimate.
+bucket then holds several classes, its members are compared with others in orders drawn anew, which links most
+of them cheaply. What buckets still hold several classes then goes through an exact prefix filter: of two
+members of different classes that share a band, only those whose sizes and rarest shingles rule a similarity of
+the threshold out are not compared. Accepted pairs form the classes. Pairs are accepted on exact shingle counts,
+so a class never rests on an estimate.
 
 Texts of fewer words than a shingle are one shingle; null, empty and wordless texts are alone in their
 classes, unless equal in text (nulls with nulls); equal rows share a class; an empty table gives no rows.
@@ -192,12 +195,67 @@ def other_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return linked.select(F.explode(F.array_compact(met)).alias("p")).select("p.a", "p.b").distinct()
 
 
+def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label and bands (those shared with another class) of members of buckets of three or more that hold several classes."""
+    classed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    mixed_bands = classed.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("n > 2 and least <> most").select("band")
+    return classed.join(mixed_bands, "band").groupBy("node", "label").agg(F.collect_set("band").alias("bands"))
+
+
+def shingle_units(texts: DataFrame, width: int) -> DataFrame:
+    """node, mass (number of shingles) and unit, a hash for each occurrence of each shingle: the u-th of a shingle is the same unit in every text."""
+
+    def compute(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in parts:
+            doc, hashes, weights = weighted(*shingle_hashes(utf8_column(part, "text"), width))
+            owner = np.repeat(doc, weights)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(weights) - weights, weights)
+            units = mixed(np.repeat(hashes, weights) + mixed(nth.astype(np.uint64) + np.uint64(1)))
+            mass = np.bincount(owner, minlength=part.num_rows)
+            yield [part.column("node").take(pa.array(owner)), pa.array(mass[owner]), pa.array(units.view(np.int64))]
+
+    return map_texts(texts, ddl("node string, mass bigint, unit bigint"), compute)
+
+
+def possible_pairs(mixed_nodes: DataFrame, lookup: DataFrame, width: int, threshold: float) -> DataFrame:
+    """a < b: every pair of different classes with a band in common that may reach the threshold.
+
+    Units are put in one order, rarest first. Two texts of similarity t or more have at least
+    t / (1 + t) of their sizes' sum in common, so the first unit that they share comes early in both: no later
+    than leaves that many units after it. Pairs meet at such units alone; a unit that one text has meets none.
+    """
+    units = staged(shingle_units(lookup.join(mixed_nodes.select("node"), "node"), width), "units")
+    shared = units.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1")
+    of_node = Window.partitionBy("node")
+    at = F.col("mass") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("n", "unit")) - 1  # own units come first
+    early = units.join(shared, "unit").withColumn("at", at).filter(F.col("mass") - F.col("at") >= F.lit(threshold) * F.col("mass") - 1e-6)
+    early = staged(early.select("node", "mass", "unit", "at").join(mixed_nodes, "node"), "early")
+    side = lambda x: early.select("unit", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "mass", "at", "label", "bands")])
+    most = 2 * threshold / (1 + threshold)
+    # The smaller of the two has a partner of its own size at least, so its units must come earlier still.
+    small = side("a").filter(F.col("mass_a") - F.col("at_a") >= F.lit(most) * F.col("mass_a") - 1e-6)
+    least = F.lit(threshold / (1 + threshold)) * (F.col("mass_a") + F.col("mass_b")) - 1e-6
+    met = (
+        (small.unit == F.col("other"))
+        & (F.struct("mass_a", "node_a") < F.struct("mass_b", "node_b"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (F.least(F.col("mass_a") - F.col("at_a"), F.col("mass_b") - F.col("at_b")) >= least)
+        & F.arrays_overlap("bands_a", "bands_b")
+    )
+    pairs = small.join(side("b").withColumnRenamed("unit", "other"), met)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = 80, bands: int = 20, turns: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, node (its text's digest), class_id (least doc_id of the class) and representative, a row for each row of docs.
 
     k / bands coordinates a band: at 80 and 20 a pair of similarity 0.8 misses every band with a chance of
     2e-5. After the first comparisons, buckets that hold several classes are compared in up to `turns` further
-    orders, as long as that joins classes.
+    orders, as long as that joins classes; then every pair that shares a band, is of two classes and may reach the
+    threshold is compared, so that no pair that meets is left out.
     """
     signed = staged(signed_texts(docs, width, k, bands), "signed")
     texts = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -220,9 +278,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
         fresh = other_pairs(members, labels, turn).join(edges.select("a", "b"), ["a", "b"], "left_anti")
         more = staged(compared(fresh), "compared")
         new = more.filter(F.col("similarity") >= threshold).select("a", "b")
+        edges = edges.union(more)
         if not new.limit(1).count():
             break
-        edges = edges.union(more)
+        labels = joined_components(labels, new)
+    mixed_nodes = staged(mixed_members(members, labels), "mixed")
+    rest = possible_pairs(mixed_nodes, lookup, width, threshold).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    new = staged(compared(rest).filter(F.col("similarity") >= threshold).select("a", "b"), "compared")
+    if new.limit(1).count():
         labels = joined_components(labels, new)
     classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = classes.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("low"))

@@ -88,3 +88,22 @@ def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x")], "doc_id bigint, text string, node string")
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     assert minhash.one_of_each(docs).collect()[0].node == "x"
+
+
+def test_pairs_in_a_bucket_of_many_classes_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for j in range(6):
+            own[(8 + 17 * j + int(rng.integers(0, 5))) % 100] = f"own{i}x{j}"
+        rows.append((i, " ".join(own)))
+    for i in range(0, 400, 40):  # a partner for some, like no other
+        rows.append((1000 + i, rows[i][1] + f" tail{i} end{i}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 350
+    # Bands of one coordinate: nearly all texts meet in crowded buckets.
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, bands=80).collect()}
+    assert got == want

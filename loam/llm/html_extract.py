@@ -20,17 +20,19 @@ from .common import ddl, text_column, with_computed
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*/>"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|</?([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>"
     r"|</?([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# One attribute after the other, each consumed whole: what a value holds is never taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav header footer aside form button select option label fieldset dialog menu canvas audio video".split())
+DROPPED = frozenset("head nav header footer aside form button select option label fieldset dialog menu canvas audio video annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )

@@ -28,6 +28,18 @@ def test_small_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p>see <a href="/hidden-gems">these</a> now</p>', "see these now"), ('<div style="overflow:hidden"><p>kept</p></div>', "kept"), ("<p title='hidden menu'>kept</p>", "kept"),
+        ('<p><a href="/p?id=search">found</a> it</p>', "found it"), ("<p data-id=nav>kept</p>", "kept"), ('<p HIDDEN>no</p><p ID = "nav">no</p><p aria-hidden=true>no</p><p>yes</p>', "yes"),
+        ('<p>a <svg width="1"/> b</p>', "a b"), ("<p>a <math/> b</p>", "a b"), ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds</p>", "so x=2 holds"), ("<p>a <svg><text>no</text></svg> b</p>", "a b"),
+    ],
+)
+def test_names_of_attributes_and_foreign_elements(page, text):
+    assert H.main_text(page) == text
+
+
 def test_long_and_deep_pages_are_linear():
     assert H.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert H.main_text("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000

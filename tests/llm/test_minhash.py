@@ -104,6 +104,6 @@ def test_pairs_in_a_bucket_of_many_classes_are_all_found(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     want = brute_classes(rows)
     assert len(set(want.values())) > 350
-    # Bands of one coordinate: nearly all texts meet in crowded buckets.
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, bands=80).collect()}
+    # Bands of one coordinate: nearly all texts meet in crowded buckets. No turns: the exact pass alone finds the pairs.
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, bands=80, turns=0).collect()}
     assert got == want

@@ -6,8 +6,10 @@ driver whatever the number of documents, and Spark gives each piece its place: t
 where the plan puts the r-th piece of that length.
 
 The program (columns: ways to fill a sequence; rows: pieces of each length) is solved by multiplicative
-weights: lengths that lag behind gain weight, and a knapsack by dynamic programming prices the best column.
-Whole uses of columns are kept, and what rounding leaves over is packed best fit, longest first.
+weights: lengths that lag behind gain weight, and a knapsack by dynamic programming prices the columns. Each
+round's prices also bound from below how few sequences any packing needs. The solution's fractional uses are
+rounded to whole ones, the program is solved again for the pieces that are left, and so on; the few that no
+rounded column takes are packed best fit, longest first.
 
 Null and empty texts are one token (the end); long texts are cut, first piece shortest; repeated rows are
 packed each by itself; an empty table gives no rows; other columns are ignored.
@@ -15,8 +17,8 @@ packed each by itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,101 +26,53 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import ddl, map_texts, process_cache, staged, text_column
 
 END = 0
-#: A text can be cut for the tokenizer before a space between two characters that aren't white space.
-SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: What keeps a text from being taken word by word: white space side by side or at an end, or a special token.
-UNSAFE = re.compile(r"\s\s|^\s|\s$|<\|")
-MAX_CACHED = 300_000
-TAIL = ".,;:!?"
-LINE = 198  # the tokenizer's id of a line feed
+# Fixed value: how the byte-level tokenizer cuts a text before it merges bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def merge_ranks(vocabulary: dict[str, int], merges: list) -> dict[bytes, int] | None:
+    """The bytes of each token with its id, where ids follow the order of the merges (single bytes first); else None."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(printed)]
+    byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+    tokens = [t for t, _ in sorted(vocabulary.items(), key=lambda x: x[1])]
+    if tokens[256 : 256 + len(joined)] != joined or not set(tokens[:256]) == set(byte_of):
+        return None
+    return {bytes(byte_of[c] for c in t): i for i, t in enumerate(tokens[: 256 + len(joined)])}
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins across a space or line feed between two other characters, so most texts are taken
-    word by word, and a word is tokenized once as long as the cache holds it: a key is a word after a space, or
-    a line feed and the word after it. The cache has two generations; a key that is still used when the young
-    one is full survives.
+    A byte-level tokenizer file whose ids follow its merges says the same as a table of ranks, which the faster of
+    two public tokenizer libraries takes; any other file goes to the library that it was written for.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        if self.tokenizer.encode("\n", add_special_tokens=False).ids != [LINE]:
-            raise ValueError("a byte-level tokenizer with the line feed as id 198 is needed")
-
-    def ids(self, texts: list[str]):
-        import numpy as np
-
-        return [np.array(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str], each: int = 200) -> None:
-        """Puts words into the young generation. Many are tokenized as one text, one to a line."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) and not spec.get("normalizer")
+        level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        ranks = merge_ranks(model["vocab"], model["merges"]) if model.get("type") == "BPE" and plain and level else None
+        added = spec.get("added_tokens", [])
+        if ranks and not any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.fast, self.tokenizer = None, Tokenizer.from_file(path)
+
+    def encode(self, text: str):
         import numpy as np
 
-        if len(self.young) > MAX_CACHED:
-            self.old, self.young, self.tails = self.young, {}, {}
-        fresh, made = set(), []
-        for w in words:
-            if w in self.old:
-                self.young[w] = self.old[w]
-                continue
-            stem = w.rstrip(TAIL)
-            if stem == w or not stem[-1:].isalpha():
-                fresh.add(w)
-                continue
-            made.append((w, stem))  # letters and what follows them are never one token
-            if stem not in self.young and stem not in self.old:
-                fresh.add(stem)
-        fresh = list(fresh)
-        groups = [fresh[i : i + each] for i in range(0, len(fresh), each)]
-        for group in groups:
-            (ids,) = self.ids(["".join(w if w[0] == "\n" else f"\n {w}" for w in group)])
-            starts = np.flatnonzero(ids == LINE)
-            raw = ids.tobytes()
-            for w, a, b in zip(group, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-                self.young[w] = raw[4 * a : 4 * b] if w[0] == "\n" else raw[4 * a + 4 : 4 * b]
-        for w, stem in made:
-            tail = w[len(stem) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.ids([tail])[0].tobytes()
-            self.young[w] = (self.young.get(stem) or self.old[stem]) + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        later, missing, plain = [], set(), []
-        get = self.young.get
-        for i, text in enumerate(texts):
-            if not text or UNSAFE.search(text):
-                plain.append(i)
-                continue
-            words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            got = list(map(get, words))
-            if None in got:
-                missing.update(w for w, x in zip(words, got) if x is None)
-                later.append((i, words))
-            else:
-                out[i] = b"".join(got)[4:]
-        if missing:
-            known = self.young
-            self.learn(missing)
-            if known is not self.young:  # a new generation: it lacks what these texts found in the last one
-                self.learn({w for _, words in later for w in words} - self.young.keys())
-        for i, words in later:
-            out[i] = b"".join(map(self.young.__getitem__, words))[4:]
-        parts = [(i, part) for i in plain for part in SAFE_CUT.split(texts[i])]
-        joined: dict[int, list[bytes]] = {i: [] for i in plain}
-        for (i, _), ids in zip(parts, self.ids([part for _, part in parts])):
-            joined[i].append(ids.tobytes())
-        for i, found in joined.items():
-            out[i] = b"".join(found)
-        return out
+        if self.fast:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def encoder(path: str | None) -> Encoder:
@@ -139,74 +93,105 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None
     """doc_id, piece, start, length and ids_crc32 of each piece of each document's ids."""
 
     def compute(parts):
+        import numpy as np
+
         own = encoder(tokenizer_path)
-        end = END.to_bytes(4, "little")
+        end = np.array([END], "<u4")
         for part in parts:
             rows = [[] for _ in range(5)]
-            for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(text_column(part, "text"))):
-                ids += end
-                n = len(ids) // 4
+            for doc, text in zip(part.column("doc_id").to_pylist(), text_column(part, "text")):
+                ids = np.concatenate([own.encode(text), end])
+                n = len(ids)
                 first = n - (n - 1) // capacity * capacity
                 for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
-                    for column, value in zip(rows, (doc, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):
+                    for column, value in zip(rows, (doc, piece, a, b - a, zlib.crc32(ids[a:b]))):
                         column.append(value)
             yield rows
 
     return map_texts(docs.select(F.col("doc_id").cast("bigint"), "text"), ddl(PIECES), compute)
 
 
-def best_column(lengths, values, capacity: int) -> list[int]:
-    """The lengths that fill a sequence with the most value; a length may come many times (unbounded knapsack)."""
-    import numpy as np
+class Knapsack:
+    """What fills a sequence best under prices of lengths; a length may come many times."""
 
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        n = upto[c]
-        value = best[c - lengths[:n]] + values[:n]
-        i = int(value.argmax())
-        best[c], took[c] = value[i], i
-    column, c = [], capacity
-    while c >= lengths[0] and took[c] >= 0:
-        column.append(int(took[c]))
-        c -= int(lengths[took[c]])
-    return column
-
-
-def solve_program(histogram: dict[int, int], capacity: int, rounds: int = 150, rate: float = 2.0, steps: int = 100, favour: float = 1.1) -> list[tuple[dict[int, int], float]]:
-    """(column, uses) with fractional uses. A column is {length: copies}; together they hold no more of a length than there is.
-
-    Values start as the share of a sequence that a length takes, the program's dual where sequences can be
-    filled, to the power favour: of columns alike, those with long pieces come first. Each is multiplied by a
-    weight that grows with the share of the length's pieces that still wait.
+    def __init__(self, lengths, prices, capacity: int):
+        import numpy as np
+
+        self.capacity = capacity
+        dense = np.full(capacity + 1, -np.inf)
+        dense[lengths] = prices
+        room = np.zeros(capacity + 1)  # room[capacity - c]: the value of c tokens' room; so each step reads two runs of neighbours
+        took = np.zeros(capacity + 1, np.int64)
+        for c in range(int(lengths[0]), capacity + 1):
+            value = room[capacity - c + 1 :] + dense[1 : c + 1]
+            length = int(value.argmax())
+            room[capacity - c], took[c] = value[length], length + 1
+        self.took = took.tolist()
+        self.with_each = prices + room[lengths]  # the value of the best column that has a length
+
+    def column(self, lead: int) -> dict[int, int]:
+        """{length: copies} of the best column that has that length."""
+        found, c = {lead: 1}, self.capacity - lead
+        while self.took[c]:
+            found[self.took[c]] = found.get(self.took[c], 0) + 1
+            c -= self.took[c]
+        return found
+
+
+def filled(column: dict[int, int]) -> int:
+    return sum(n * copies for n, copies in column.items())
+
+
+def solve_program(histogram: dict[int, int], capacity: int, gap: float = 0.01, full: float = 0.995, steps: int = 25, each: int = 64, slack: float = 0.01, rate: float = 2.0, favour: float = 1.1) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(column, uses) with fractional uses that together hold every piece, and a lower bound of the program's value.
+
+    A column is {length: copies}. Prices start as the share of a sequence that a length takes, the program's dual
+    where sequences can be filled, to the power favour: of columns alike, those with long pieces come first. Each
+    is multiplied by a weight that grows with the share of the length's pieces that still wait. A round uses the
+    best columns of up to `each` lengths, those within slack of the best of all, for a 1 / steps of all sequences.
+    Any prices prove a bound: the pieces' worth over the best column's. Rounds end when the value, with what still
+    waits in sequences of one length each, is within gap of the bound, or when no length has a `full` column any more.
     """
     import numpy as np
 
-    lengths = np.array(sorted(histogram), np.int64)
-    there = np.array([histogram[int(x)] for x in lengths], float)
-    left, found = there.copy(), {}
-    total = float(lengths @ there) / capacity
-    for _ in range(rounds):
-        waits = left > 0.02 * there
-        if not waits.any():
+    every = lengths = np.array(sorted(histogram), np.int64)
+    there, left = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    there[every] = left[every] = [histogram[int(x)] for x in every]
+    total = float(every @ there[every]) / capacity
+    found, value, bound = {}, 0.0, total  # no sequence holds more than its capacity
+    while True:
+        lengths = lengths[left[lengths] > 1e-6 * there[lengths]]
+        alone = left[every] / (capacity // every)
+        if value + float(alone.sum()) <= (1 + gap) * bound or not len(lengths):
             break
-        share = left[waits] / there[waits]
-        values = (lengths[waits] / capacity) ** favour * np.exp(rate * (share - share.mean()))
-        column = np.bincount(np.flatnonzero(waits)[best_column(lengths[waits], values, capacity)], minlength=len(lengths))
-        column = np.minimum(column, there).astype(np.int64)
-        used = column > 0
-        uses = min(total / steps, float((left[used] / column[used]).min()))
-        left = np.maximum(0, left - uses * column)
-        key = tuple((int(lengths[i]), int(column[i])) for i in np.flatnonzero(used))
-        found[key] = found.get(key, 0.0) + uses
-    return [(dict(k), v) for k, v in found.items()]
+        share = left[lengths] / there[lengths]
+        prices = (lengths / capacity) ** favour * np.exp(rate * (share - share.mean()))
+        best = Knapsack(lengths, prices, capacity)
+        most = float(best.with_each.max())
+        bound = max(bound, float(prices @ there[lengths]) / most)
+        leads = np.argsort(-best.with_each, kind="stable")[:each]
+        leads = lengths[leads[best.with_each[leads] >= (1 - slack) * most]].tolist()
+        used = False
+        for lead in leads:
+            column = {n: min(copies, int(there[n])) for n, copies in best.column(lead).items()}
+            uses = min(total / steps / len(leads), *(left[n] / copies for n, copies in column.items()))
+            if uses > 0 and filled(column) >= full * capacity:
+                for n, copies in column.items():
+                    left[n] = max(0.0, left[n] - uses * copies)
+                key = tuple(sorted(column.items()))
+                found[key] = found.get(key, 0.0) + uses
+                value, used = value + uses, True
+        if not used:  # these lengths fill no sequence with what waits
+            lengths = np.setdiff1d(lengths, leads)
+    columns = [(dict(k), v) for k, v in found.items()]
+    return columns + [({n: capacity // n}, uses) for n, uses in zip(every.tolist(), alone.tolist()) if uses], bound
 
 
 def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
     """(contents, sequences) by best fit, longest first, on top of sequences begun; those with equal contents are kept as one, so the work doesn't grow with the counts."""
     open_: dict[int, list[list]] = {}  # by room: [contents, number of sequences]
     for contents, number in begun:
-        open_.setdefault(capacity - sum(n * copies for n, copies in contents.items()), []).append([contents, number])
+        open_.setdefault(capacity - filled(contents), []).append([contents, number])
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n > 0:
@@ -229,23 +214,42 @@ def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[dict[in
     return [(contents, number) for groups in open_.values() for contents, number in groups if number]
 
 
+def round_program(columns: list[tuple[dict[int, int], float]], left: dict[int, int]) -> list[tuple[dict[int, int], int]]:
+    """(column, whole uses): the whole part of each use, then one more in order of the fractions, as far as there are pieces. Takes them from left."""
+    groups = []
+    for whole in (True, False):
+        for column, uses in sorted(columns, key=lambda x: (-(x[1] % 1), -len(x[0]), sorted(x[0].items()))):
+            times = min(int(uses + 1e-9) if whole else 1, *(left[n] // copies for n, copies in column.items()))
+            if times > 0:
+                groups.append((column, times))
+                for n, copies in column.items():
+                    left[n] -= copies * times
+    return groups
+
+
+def program_columns(histogram: dict[int, int], capacity: int, least_share: float = 0.1, full: float = 0.995) -> tuple[list[tuple[dict[int, int], int]], dict[int, int], float]:
+    """(column, sequences) placed by the program, the pieces of each length that it leaves, and by what share the first solution's value is over its lower bound.
+
+    The program is solved and rounded again for what the last rounding left, as long as that places
+    least_share of it. Columns that fill less than `full` of a sequence are left to best fit.
+    """
+    left, groups, gap = {n: count for n, count in histogram.items() if count}, [], None
+    while left:
+        columns, bound = solve_program(left, capacity, full=full)
+        gap = sum(uses for _, uses in columns) / bound - 1 if gap is None else gap
+        before = sum(left.values())
+        groups += round_program([x for x in columns if filled(x[0]) >= full * capacity], left)
+        left = {n: count for n, count in left.items() if count}
+        if before - sum(left.values()) < least_share * before:
+            break
+    return groups, left, gap or 0.0
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first, pieces, each, sequence, offset): pieces first to first + pieces - 1 of a length go `each` to a sequence, from that sequence and offset on."""
-    histogram = {n: c for n, c in histogram.items() if c}
-    if not histogram:
-        return []
-    left, begun = dict(histogram), []
-    for column, uses in solve_program(histogram, capacity):
-        whole = min(int(uses + 1e-9), *(left[n] // copies for n, copies in column.items()))
-        if whole:
-            begun.append((column, whole))
-            for n, copies in column.items():
-                left[n] -= copies * whole
-    # Where there are few pieces of each length rounding may cost more than the program gains.
-    ways = best_fit({n: c for n, c in left.items() if c}, capacity, begun), best_fit(histogram, capacity, [])
-    groups = min(ways, key=lambda g: sum(number for _, number in g))
+    columns, left, _ = program_columns(histogram, capacity)
     given, rows, sequence = dict.fromkeys(histogram, 0), [], 0
-    for contents, number in groups:
+    for contents, number in best_fit(left, capacity, columns):
         offset = 0
         for n, copies in sorted(contents.items(), reverse=True):
             rows.append((n, given[n], copies * number, copies, sequence, offset))

@@ -79,14 +79,6 @@ class Levels:
     def add(self, depth, keys, n0, n1, share):
         self.keys[depth], self.share[depth], self.one[depth] = keys, share, (n1 + 0.5) / (n0 + n1 + 1)
 
-    def joined(self, other: Levels) -> Levels:
-        both = Levels()
-        for part in (self, other):
-            both.keys |= part.keys
-            both.share |= part.share
-            both.one |= part.one
-        return both
-
 
 def block_log(n0, n1):
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
@@ -103,7 +95,7 @@ def combined(own, below):
 
 
 def grow(grams, counts, depth: int, lowest: int):
-    """(levels, bottom) of the nodes of depth `lowest` to `depth`; bottom: keys, n0, n1 and weighted log of those of depth `lowest`. All contexts must agree in their last `lowest` bytes, or all be there."""
+    """(levels, bottom) of the nodes of depth `lowest` to `depth`; bottom: keys, n0, n1 and weighted log of those of depth `lowest`. Contexts that agree in their last `lowest` bytes must all be there."""
     import numpy as np
 
     levels, weighted, keys_below = Levels(), None, None
@@ -112,7 +104,7 @@ def grow(grams, counts, depth: int, lowest: int):
         symbol = own & np.uint64(255)
         keys, ones = [], []
         for k in range(8):
-            keys.append(((own >> np.uint64(8)) << np.uint64(8)) | ((symbol | np.uint64(256)) >> np.uint64(8 - k)))
+            keys.append(decision(own, k))
             ones.append(n * ((symbol >> np.uint64(7 - k)) & np.uint64(1)))
         node, both = tally(np.concatenate(keys), np.tile(n, 8) + 1j * np.concatenate(ones))
         n1, n0 = both.imag, both.real - both.imag
@@ -127,39 +119,40 @@ def grow(grams, counts, depth: int, lowest: int):
     return levels, (node, n0, n1, weighted)
 
 
-def top(keys, n0, n1, weighted, depth: int) -> Levels:
-    """The levels above those nodes of the given depth."""
+def decision(grams, k: int):
+    """Keys of the k-th decision of each gram's lowest byte, after all bytes above it."""
     import numpy as np
 
-    levels = Levels()
-    for d in range(depth - 1, -1, -1):
-        parent = keys & np.uint64((1 << (8 * (d + 1))) - 1)
-        keys, both = tally(parent, n0 + 1j * n1)
-        _, below = tally(parent, weighted)
-        n0, n1 = both.real, both.imag
-        share, weighted = combined(block_log(n0, n1), below)
-        levels.add(d, keys, n0, n1, share)
-    return levels
+    symbol = grams & np.uint64(255)
+    return ((grams >> np.uint64(8)) << np.uint64(8)) | ((symbol | np.uint64(256)) >> np.uint64(8 - k))
+
 
+def cost(levels: Levels, grams, above: tuple | None = None):
+    """Bits that the lowest byte of each gram costs after the bytes above it.
 
-def cost(levels: Levels, grams):
-    """Bits that the lowest byte of each gram costs after the bytes above it."""
+    above: what the levels over those given make of it, as sorted keys of the lowest level given and for each
+    (added, kept, alone): a chance becomes added + kept * chance, and alone where no level given saw the decision.
+    """
     import numpy as np
 
     bits = np.zeros(len(grams))
     symbol = grams & np.uint64(255)
     for k in range(8):
-        tail = (symbol | np.uint64(256)) >> np.uint64(8 - k)
+        whole = decision(grams, k)
         chance, seen = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
         for d in sorted(levels.keys, reverse=True):
             if not len(levels.keys[d]):
                 continue
-            key = (((grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | tail
+            key = whole & np.uint64((1 << (8 * (d + 1))) - 1)
             at = np.minimum(np.searchsorted(levels.keys[d], key), len(levels.keys[d]) - 1)
             share = np.where(seen, levels.share[d][at], 1.0)
             there = levels.keys[d][at] == key
             chance = np.where(there, share * levels.one[d][at] + (1 - share) * chance, chance)
             seen |= there
+        if above is not None:
+            keys, added, kept, alone = above
+            at = np.searchsorted(keys, whole & np.uint64((1 << (8 * (min(levels.keys) + 1))) - 1))
+            chance = np.where(seen, added[at] + kept[at] * chance, alone[at])
         one = (symbol >> np.uint64(7 - k)) & np.uint64(1)
         bits -= np.log2(np.where(one == 1, chance, 1 - chance))
     return bits

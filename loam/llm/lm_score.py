@@ -2,13 +2,13 @@
 
 Documents whose crc32(doc_id as text) mod 5 is 1 are held out: they are scored, not learnt from.
 
-The model: Spark counts the byte grams of all texts, grows the trees in groups of contexts with the same last
-byte, and works out what each gram costs. Those costs are broadcast, 12 bytes each, at most `most_grams` of
-them; a corpus with more gets the deepest tree that fits, from all its counts, never from part of them.
+Documents are dealt in blocks of about `block_bytes`, written once with their block. A block asks for the cost of
+each different byte gram and for the corpus count of each different word that it has; both come back to it by
+shuffle, so neither the model nor the vocabulary is ever in one place, and the tree has one depth at every size.
 
-The base needs the corpus count of every word of every document, a table that grows without bound. So it is
-not broadcast: documents are dealt in blocks of rows, each block asks for the counts of its different words
-only, the counts are made in one shuffle by word and come back to the block.
+The tree: its lower levels, from `depth` up to LOW bytes of context, grow where the grams of equal last LOW
+context bytes meet (at most 256 ** (depth - LOW + 1) of them: 2 ** 24 at depth 5). The levels above are sums over
+those below, made by Spark level by level, and joined back to the contexts that hang from them.
 
 Null and empty texts are the end token alone; rows are scored each by itself; a null doc_id is never held out;
 an empty table gives no rows; other columns are ignored.
@@ -17,135 +17,202 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ddl, map_texts, staged, utf8_column
-from .ctw import GramCosts, cost, grow, spread, tally, top
+from .common import bound_batches, ddl, map_texts, slices, staged, utf8_column
+from .ctw import GramCosts, block_log, combined, cost, decision, grow, spread, tally
 
 FOLDS, HELD_OUT = 5, 1
-END_TOKEN = b""
+END_TOKEN = ""
+LOW = 3
 
 
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def blocked_documents(spark: SparkSession, path: str, rows: int = 1024) -> DataFrame:
-    """The documents of Parquet files with a column block: the same for neighbouring rows of a file, however often and wherever it is read."""
-    docs = spark.read.parquet(path)
-    at = (F.col("_metadata.row_index") / rows).cast("long")
-    return docs.select("doc_id", "text", F.xxhash64(F.col("_metadata.file_path"), at).alias("block"))
+def blocked(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id, text, train and block, written once: neighbouring rows of about block_bytes of text, or one longer text, share a block."""
+    bound_batches(docs.sparkSession)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
+
+    def deal(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, block))], names=[*part.schema.names, "block"])
+                size += 64 * part.num_rows + (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
+                if size >= block_bytes:
+                    block, size = block + 1, 0
+
+    return staged(base.mapInArrow(deal, ddl("doc_id bigint, text string, train boolean, block bigint")), "blocked")
 
 
-def with_blocks(docs: DataFrame, block: str | None, blocks: int) -> DataFrame:
-    """doc_id, text, block and train. Without a block column rows are dealt by hash of doc_id and text."""
-    at = F.col(block) if block else F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", at.cast("bigint").alias("block"), (~held_out(F.col("doc_id"))).alias("train"))
+def by_block(parts):
+    """The parts of Arrow batches that lie in one block, with its number."""
+    import numpy as np
+
+    for part in parts:
+        block = part.column("block").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+        for a, b in zip(starts, [*starts[1:], len(block)]):
+            yield int(block[a]), part.slice(a, b - a)
 
 
-def gram_counts(docs: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
-    """gram and n, how often the training texts have it, of every gram of every text. Tasks add up before Spark does."""
+def block_grams(docs: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
+    """block, gram and n for each different gram of each block: how often the block's training texts have it, 0 if only others do."""
 
     def compute(parts):
         import numpy as np
         import pyarrow as pa
 
-        held, size = [], 0
-        for part in parts:
+        def rows(block, keys, n):
+            return [pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))]
+
+        at, held, size = None, [], 0
+        for block, part in by_block(parts):
+            if held and (block != at or size > most):
+                held = [tally(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                if block != at or size > most // 2:
+                    yield rows(at, *held[0])
+                    held, size = [], 0
+            at = block
             grams, counts = spread([t.lower() for t in utf8_column(part, "text")], depth)
             weights = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(float), counts)
             coded = pa.array(grams).dictionary_encode()
             held.append((coded.dictionary.to_numpy(zero_copy_only=False), np.bincount(coded.indices.to_numpy(zero_copy_only=False), weights, len(coded.dictionary))))
             size += len(held[-1][0])
-            if size > most:
-                held = [tally(*(np.concatenate(x) for x in zip(*held)))]
-                size = len(held[0][0])
-                if size > most // 2:
-                    yield [pa.array(held[0][0].view(np.int64)), pa.array(held[0][1].astype(np.int64))]
-                    held, size = [], 0
         if held:
-            keys, n = tally(*(np.concatenate(x) for x in zip(*held)))
-            yield [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))]
-
-    partial = map_texts(docs.select("text", "train"), ddl("gram bigint, n bigint"), compute)
-    return partial.groupBy("gram").agg(F.sum("n").alias("n"))
+            yield rows(at, *tally(*(np.concatenate(x) for x in zip(*held))))
 
+    return map_texts(docs.select("block", "text", "train"), ddl("block bigint, gram bigint, n bigint"), compute)
 
-def gram_costs(docs: DataFrame, depth: int, most_grams: int) -> GramCosts:
-    """What each gram of the texts costs in a tree of the training texts: of the given depth, or the deepest with no more than most_grams grams.
 
-    The trees below each last byte are grown in groups, one for each last byte (at most 256, together no more
-    than most_grams); what they come to is joined on the driver (at most 256 * 255 nodes) and goes back.
-    """
+def words_of(texts):
+    """(words, document of each, lower-cased texts) of an Arrow array of texts, without the end tokens."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    counts = staged(gram_counts(docs, depth), "grams")
-    while counts.count() > most_grams and depth > 1:
-        mask = (1 << (8 * depth)) - 1
-        counts = staged(counts.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        depth -= 1
-    grouped = counts.withColumn("last", F.shiftright("gram", 8).bitwiseAND(F.lit(255)).cast("int")).groupBy("last")
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(low)
+    words, doc = lists.flatten(), np.repeat(np.arange(len(low)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), doc[some.to_numpy(zero_copy_only=False)], low.cast(pa.large_binary() if pa.types.is_large_string(low.type) else pa.binary())
 
-    def read(group):
-        grams, n = group.column("gram").to_numpy().view(np.uint64), group.column("n").to_numpy()
-        return grams, *grow(grams[n > 0], n[n > 0], depth, 1)
 
-    def bottoms(group):
-        _, _, (keys, n0, n1, weighted) = read(group)
-        return pa.table({"key": keys.view(np.int64), "n0": n0, "n1": n1, "weighted": weighted})
+def block_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """block, word and n for each different word of each block: how often the block's training texts have it, 0 if only others do."""
 
-    rows = grouped.applyInArrow(bottoms, ddl("key bigint, n0 double, n1 double, weighted double")).toArrow()
-    above = docs.sparkSession.sparkContext.broadcast(top(rows["key"].to_numpy().view(np.uint64), *(rows[c].to_numpy() for c in ("n0", "n1", "weighted")), 1))
+    def compute(parts):
+        import numpy as np
+        import pyarrow as pa
 
-    def costs(group):
-        grams, levels, _ = read(group)
-        return pa.table({"gram": grams.view(np.int64), "bits": cost(levels.joined(above.value), grams).astype(np.float32)})
+        def summed(held):
+            coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            return coded.dictionary, np.bincount(coded.indices.to_numpy(zero_copy_only=False), np.concatenate([n for _, n in held]), len(coded.dictionary))
 
-    found = grouped.applyInArrow(costs, ddl("gram bigint, bits float")).toArrow()
-    return GramCosts(found["gram"].to_numpy().view(np.uint64), found["bits"].to_numpy(), depth)
+        def rows(block, words, n):
+            return [pa.array(np.full(len(words), block)), words.cast(pa.string()), pa.array(n.astype(np.int64))]
 
+        at, held, size = None, [], 0
+        for block, part in by_block(parts):
+            if held and (block != at or size > most):
+                held = [summed(held)]
+                size = len(held[0][0])
+                if block != at or size > most // 2:
+                    yield rows(at, *held[0])
+                    held, size = [], 0
+            at = block
+            train = part.column("train").to_numpy(zero_copy_only=False).astype(float)
+            words, doc, _ = words_of(part.column("text"))
+            held.append(summed([(words, train[doc]), (pa.array([END_TOKEN], words.type), np.array([train.sum()]))]))
+            size += len(held[-1][0])
+        if held:
+            yield rows(at, *summed(held))
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """block, word and n for each different word of each block: how often the block's training texts have it, 0 if only others do."""
+    return map_texts(docs.select("block", "text", "train"), ddl("block bigint, word string, n bigint"), compute)
 
-    def compute(parts):
+
+def gram_costs(counts: DataFrame, depth: int, grams_each: int = 400_000) -> DataFrame:
+    """gram and bits: what each gram of counts (gram, n: how often training has it) costs in the tree of those with n > 0."""
+    import numpy as np
+
+    low = min(LOW, depth)
+    parts = max(1, -(-counts.count() // grams_each))
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * low)) - 1))
+    dealt = counts.withColumn("part", F.pmod(F.xxhash64(context), F.lit(parts)))
+
+    def lower(table):
+        grams, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        return grams, *grow(grams[n > 0], n[n > 0], depth, low)
+
+    def asked(grams):
+        mask = np.uint64((1 << (8 * (low + 1))) - 1)
+        return np.unique(np.concatenate([np.unique(decision(grams & mask, k)) for k in range(8)]))
+
+    def contexts(table):
         import pyarrow as pa
 
-        def rows(block, counts):
-            words = pa.array(list(counts), pa.binary()).cast(pa.string())
-            return [pa.array([block] * len(counts), pa.int64()), words, pa.array(list(counts.values()), pa.int64())]
-
-        at, counts = None, Counter()
-        for part in parts:
-            for text, block, train in zip(utf8_column(part, "text"), part.column("block").to_pylist(), part.column("train").to_pylist()):
-                if block != at or len(counts) > 1_000_000:
-                    if counts:
-                        yield rows(at, counts)
-                    at, counts = block, Counter()
-                words = text.lower().split()
-                words.append(END_TOKEN)
-                if train:
-                    counts.update(words)
-                else:
-                    for w in words:
-                        if w not in counts:
-                            counts[w] = 0
-        if counts:
-            yield rows(at, counts)
+        grams, _, (keys, n0, n1, weighted) = lower(table)
+        rest = np.setdiff1d(asked(grams), keys)
+        zeros = np.zeros(len(rest))
+        columns = (np.concatenate(x) for x in ((keys.view(np.int64), rest.view(np.int64)), (n0, zeros), (n1, zeros), (weighted, zeros)))
+        return pa.table([pa.array(table.column("part")[0].as_py() + 0 * np.arange(len(keys) + len(rest))), *map(pa.array, columns)], names=["part", "key", "n0", "n1", "weighted"])
 
-    return map_texts(docs.select("block", "text", "train"), ddl("block bigint, word string, n bigint"), compute)
+    lowest = staged(dealt.groupBy("part").applyInArrow(contexts, ddl("part bigint, key bigint, n0 double, n1 double, weighted double")), "contexts")
 
+    def level(batches):
+        import pyarrow as pa
 
-def score_documents(docs: DataFrame, depth: int = 5, most_grams: int = 8_000_000, block: str | None = None, blocks: int = 64) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row of docs.
+        for batch in batches:
+            n0, n1, below = (batch.column(c).to_numpy() for c in ("n0", "n1", "below"))
+            share, weighted = combined(block_log(n0, n1), below)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, (n0, n1, weighted, share, (n1 + 0.5) / (n0 + n1 + 1)))], names=["key", "n0", "n1", "weighted", "share", "one"])
+
+    above, below = lowest.select("part", "key"), lowest.filter("n0 + n1 > 0")
+    added, kept, alone = F.lit(0.0), F.lit(1.0), F.lit(None).cast("double")
+    for d in range(low - 1, -1, -1):
+        key = F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
+        sums = below.groupBy(key.alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+        below = staged(sums.mapInArrow(level, ddl("key bigint, n0 double, n1 double, weighted double, share double, one double")), f"level{d}")
+        own = below.select(F.col("key").alias(f"key{d}"), F.col("share").alias(f"share{d}"), F.col("one").alias(f"one{d}"))
+        # Depth 1 has at most 256 * 255 nodes, depth 0 has 255.
+        above = above.join(F.broadcast(own) if d < 2 else own, key == F.col(f"key{d}"), "left")
+        share, one = F.col(f"share{d}"), F.col(f"one{d}")
+        added, kept = share * one + (1 - share) * added, (1 - share) * kept
+        alone = F.when(one.isNull(), alone).when(alone.isNull(), one).otherwise(share * one + (1 - share) * alone)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    above = above.select("part", "key", zero(added).alias("added"), zero(kept).alias("kept"), F.coalesce(alone, F.lit(0.5)).alias("alone"))
+
+    def costs(left, right):
+        import pyarrow as pa
 
-    block: a column that is equal for a bounded number of neighbouring rows and the same whenever docs is read.
-    """
-    dealt = with_blocks(docs, block, blocks)
-    tree = docs.sparkSession.sparkContext.broadcast(gram_costs(dealt, depth, most_grams))
+        grams, levels, _ = lower(left)
+        keys = right.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        bits = cost(levels, grams, (keys[order], *(right.column(c).to_numpy()[order] for c in ("added", "kept", "alone"))))
+        return pa.table({"gram": left.column("gram"), "bits": pa.array(bits.astype(np.float32))})
+
+    return dealt.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(costs, ddl("gram bigint, bits float"))
+
+
+def score_documents(docs: DataFrame, depth: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row of docs."""
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be 1 to 6: a gram is kept in 64 bits")
+    dealt = blocked(docs, block_bytes)
+    grams = staged(block_grams(dealt, depth), "grams")
+    counts = staged(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    costs = staged(gram_costs(counts, depth), "costs")
+    # A word has a row for each block that has it, so its window is as long as there are blocks.
     of_word = Window.partitionBy("word")
     counted = block_words(dealt).select("block", "word", "n", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
     counted = staged(counted, "words")
@@ -153,33 +220,32 @@ def score_documents(docs: DataFrame, depth: int = 5, most_grams: int = 8_000_000
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).collect()[0]["tokens"]
     distinct = counted.filter("first and c > 0").select("word").distinct().count()
     scale = math.log10(total + 0.5 * (distinct + 1))
+    no_word, no_gram = F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("gram")
+    answers = grams.join(costs, "gram").select("block", no_word, "gram", F.col("bits").cast("double").alias("x")).union(counted.select("block", "word", no_gram, F.col("c").cast("double")))
 
     def score(left, right):
         import numpy as np
         import pyarrow as pa
-
-        counts = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist()))
-        ids, n_tokens, n_known, base, bits, sizes = [], [], [], [], [], []
-        texts = left.column("text").cast(pa.binary())
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            low = (text.as_py() or b"").lower()
-            words = low.split()
-            words.append(END_TOKEN)
-            c = np.fromiter(map(counts.__getitem__, words), np.float64, len(words))
-            n_tokens.append(len(words))
-            n_known.append(int((c > 0).sum()))
-            base.append(float(np.log10(c + 0.5).sum()) - len(words) * scale)
-            sizes.append(len(low) + 1)
-            held.append(low)
-            size += len(low)
-            if size > 1 << 19 or i + 1 == len(texts):
-                bits.append(tree.value.text_bits(held))
-                held, size = [], 0
-        bits = np.concatenate(bits) if bits else np.zeros(0)
-        columns = [left.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(-bits * math.log10(2)), pa.array(bits / np.array(sizes))]
+        import pyarrow.compute as pc
+
+        of_words = pc.is_valid(right.column("word"))
+        known, rest = right.filter(of_words), right.filter(pc.invert(of_words))
+        tree = GramCosts(rest.column("gram").to_numpy().view(np.uint64), rest.column("x").to_numpy(), depth)
+        counts = known.column("x").to_numpy()
+        texts = left.column("text").combine_chunks()
+        words, doc, low = words_of(texts)
+        vocabulary = known.column("word").combine_chunks()
+        c = counts[pc.index_in(words, value_set=vocabulary.cast(words.type)).to_numpy(zero_copy_only=False)]
+        end = counts[pc.index(vocabulary, pa.scalar(END_TOKEN, vocabulary.type)).as_py()]
+        n_tokens = np.bincount(doc, minlength=len(low)) + 1
+        n_known = np.bincount(doc, c > 0, len(low)).astype(np.int64) + int(end > 0)
+        base = np.bincount(doc, np.log10(c + 0.5), len(low)) + math.log10(end + 0.5) - n_tokens * scale
+        batch = pa.RecordBatch.from_arrays([low], names=["text"])
+        bits = np.concatenate([tree.text_bits(part.column("text").to_pylist()) for part in slices(batch, "text", 1 << 19)])
+        sizes = pc.binary_length(low).to_numpy(zero_copy_only=False) + 1
+        columns = [left.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(-bits * math.log10(2)), pa.array(bits / sizes)]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     schema = ddl("doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
-    scored = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(score, schema)
+    scored = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")

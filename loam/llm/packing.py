@@ -259,11 +259,11 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 2048) -> list[tupl
     return rows
 
 
-def ranked_pieces(pieces: DataFrame, rows_each: int = 50_000) -> DataFrame:
-    """pieces with rank: 0, 1, ... within each length. Lengths are split into groups of about rows_each, so that a frequent length is no single task's."""
-    total = pieces.count()
-    group = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(max(1, total // rows_each))).cast("int")
-    grouped = pieces.withColumn("part", group)
+def ranked_pieces(pieces: DataFrame, histogram: dict[int, int], rows_each: int = 2_000) -> DataFrame:
+    """pieces with rank: 0, 1, ... within each length. A length with more than rows_each pieces is split into groups, so that a frequent one is no single task's."""
+    parts = pieces.sparkSession.createDataFrame([(n, -(-count // rows_each)) for n, count in sorted(histogram.items())], "length bigint, parts bigint")
+    group = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts")).cast("int")
+    grouped = pieces.join(F.broadcast(parts), "length").withColumn("part", group).drop("parts")
     counts = grouped.groupBy("length", "part").count()
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).drop("count")
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
@@ -299,4 +299,4 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
                 offset[rows] = shift[i] + where % each[i] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("bigint")).mapInArrow(place, ddl(f"{PIECES}, sequence_id bigint, offset bigint"))
+    return ranked_pieces(pieces, histogram).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("bigint")).mapInArrow(place, ddl(f"{PIECES}, sequence_id bigint, offset bigint"))

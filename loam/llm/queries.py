@@ -9,8 +9,7 @@ from .common import table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lm_score.blocked_documents(spark, f"{sf_dir}/documents.parquet")
-    return lm_score.score_documents(docs, block="block")
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

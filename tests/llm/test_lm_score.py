@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from loam.llm import ctw, lm_score, queries
 
@@ -53,17 +54,31 @@ def test_costs_equal_the_definition():
     grams, n = ctw.spread(texts, depth)
     assert n.tolist() == [12, 7, 1, 4] and len(grams) == 24
     keys, weights = ctw.tally(grams, np.ones(len(grams)))
-    levels, bottom = ctw.grow(keys, weights, depth, 1)
-    levels = levels.joined(ctw.top(*bottom, 1))
     whole, _ = ctw.grow(keys, weights, depth, 0)
     for t in (b"abra", b"zebra", b"", b"ca\xc3\xa9"):
         full = b"\xff\xff" + t + b"\xff"
         want = sum(plain_weighted(counts, depth, full[i - depth : i], full[i]) for i in range(depth, len(full)))
         own, _ = ctw.spread([t], depth)
-        assert abs(ctw.cost(levels, own).sum() - want) < 1e-9 and abs(ctw.cost(whole, own).sum() - want) < 1e-9
+        assert abs(ctw.cost(whole, own).sum() - want) < 1e-9
         assert abs(ctw.GramCosts(*np.unique(own, return_index=True)[:1], ctw.cost(whole, np.unique(own)), depth).text_bits([t])[0] - want) < 1e-4
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4, 5])
+def test_joined_levels_equal_one_tree(spark, depth):
+    """Costs from levels that Spark puts together equal those of one tree, for grams seen and not seen, in whatever groups they grow."""
+    texts = [b"the cat sat on the mat", b"the hat of the cat", b"abracadabra", b"a rat ate the oat"]
+    other = [b"the rat sat", b"zebra \xc3\xa9 cat", b"catamaran of the abbot"]
+    train, _ = ctw.spread(texts, depth)
+    both, _ = ctw.spread(texts + other, depth)
+    keys, n = ctw.tally(both, np.concatenate([np.ones(len(train)), np.zeros(len(both) - len(train))]))
+    whole, _ = ctw.grow(keys[n > 0], n[n > 0], depth, 0)
+    want = dict(zip(keys.view(np.int64).tolist(), ctw.cost(whole, keys).tolist()))
+    counts = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys.view(np.int64), n)], "gram bigint, n bigint")
+    for grams_each in (1_000_000, 7):
+        got = {r.gram: r.bits for r in lm_score.gram_costs(counts, depth, grams_each).collect()}
+        assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-5 for g in want)
+
+
 def test_probabilities_add_up_to_one():
     grams, _ = ctw.spread([b"the cat sat on the mat"] * 3, 3)
     levels, _ = ctw.grow(*ctw.tally(grams, np.ones(len(grams))), 3, 0)
@@ -102,5 +117,5 @@ def test_edges(spark):
     assert len(got) == 6 and all(r.score < 0 and r.n_tokens >= 1 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2)} == {1} and len({r.score for r in got if r.doc_id == 3}) == 1
     assert lm_score.score_documents(docs.limit(0)).count() == 0
-    shallow = lm_score.score_documents(docs, most_grams=5).collect()
-    assert len(shallow) == 6 and sum(r.score for r in shallow) < sum(r.score for r in got)
+    small = lm_score.score_documents(docs, block_bytes=10).collect()  # a block for each row changes nothing
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in small) == sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in got)

@@ -159,7 +159,7 @@ def cost(levels: Levels, grams, above: tuple | None = None):
 
 
 class GramCosts:
-    """The cost of every gram that the texts to be scored have."""
+    """The costs of some grams."""
 
     def __init__(self, grams, bits, depth: int):
         import numpy as np
@@ -167,16 +167,29 @@ class GramCosts:
         order = np.argsort(grams)
         self.grams, self.bits, self.depth = grams[order], bits[order].astype(np.float32), depth
 
-    def text_bits(self, texts: list[bytes]):
-        """Bits of each text."""
+    def places(self, grams):
+        """(places, absent): where the table has each gram, and which it doesn't have."""
+        import numpy as np
+
+        if not len(self.grams):
+            return np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return at, self.grams[at] != grams
+
+    def text_bits(self, texts: list[bytes], rest: GramCosts | None = None):
+        """Bits of each text; what this table doesn't have, rest must."""
         import numpy as np
         import pyarrow as pa
 
         grams, counts = spread(texts, self.depth)
         coded = pa.array(grams).dictionary_encode()
         own = coded.dictionary.to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(self.grams, own), max(0, len(self.grams) - 1))
-        if len(own) and not (self.grams[at] == own).all():
-            raise ValueError("a text has a gram without a cost: it was read differently before")
-        bits = self.bits[at].astype(float)[coded.indices.to_numpy(zero_copy_only=False)]
+        at, absent = self.places(own)
+        bits = self.bits[at].astype(float) if len(self.bits) else np.zeros(len(own))
+        if absent.any():
+            where, lost = rest.places(own[absent]) if rest else (None, absent)
+            if lost.any():
+                raise ValueError("a text has a gram without a cost: it was read differently before")
+            bits[absent] = rest.bits[where]
+        bits = bits[coded.indices.to_numpy(zero_copy_only=False)]
         return np.add.reduceat(bits, np.cumsum(counts) - counts) if len(counts) else np.zeros(0)

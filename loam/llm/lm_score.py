@@ -2,9 +2,10 @@
 
 Documents whose crc32(doc_id as text) mod 5 is 1 are held out: they are scored, not learnt from.
 
-Documents are dealt in blocks of about `block_bytes`, written once with their block. A block asks for the cost of
-each different byte gram and for the corpus count of each different word that it has; both come back to it by
-shuffle, so neither the model nor the vocabulary is ever in one place, and the tree has one depth at every size.
+What every byte gram costs and how often the corpus has every word are tables that grow without bound. The most
+frequent grams and words, at most `most_grams` and `most_words`, are broadcast; the rest come by shuffle to blocks
+of documents of bounded bytes, which ask for those that they have. Which way one comes changes no score, and the
+tree has one depth at every size.
 
 The tree: its lower levels, from `depth` up to LOW bytes of context, grow where the grams of equal last LOW
 context bytes meet (at most 256 ** (depth - LOW + 1) of them: 2 ** 24 at depth 5). The levels above are sums over
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bound_batches, ddl, map_texts, slices, staged, utf8_column
 from .ctw import GramCosts, block_log, combined, cost, decision, grow, spread, tally
@@ -32,10 +33,17 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def blocked(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """doc_id, text, train and block, written once: neighbouring rows of about block_bytes of text, or one longer text, share a block."""
+def blocked_documents(spark: SparkSession, path: str, rows: int = 4096, usual_bytes: int = 4096) -> DataFrame:
+    """The documents of Parquet files with a column block, the same wherever they are read: `rows` neighbours in a file, but texts of 2 ** k times the usual bytes are dealt to 2 ** k blocks, so that none holds over 2 * rows * usual_bytes, or one longer text."""
+    docs = spark.read.parquet(path)
+    at, size = F.col("_metadata.row_index"), F.coalesce(F.octet_length("text"), F.lit(0))
+    times = F.least(F.lit(rows), F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(size / usual_bytes))))).cast("long")
+    return docs.select("doc_id", "text", F.xxhash64(F.col("_metadata.file_path"), (at / rows).cast("long"), F.coalesce(times, F.lit(1)), F.pmod(at, F.coalesce(times, F.lit(1)))).alias("block"))
+
+
+def dealt_documents(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """docs with a column block, written once: neighbouring rows of about block_bytes of text, or one longer text, share a block."""
     bound_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
 
     def deal(batches):
         import numpy as np
@@ -51,48 +59,36 @@ def blocked(docs: DataFrame, block_bytes: int) -> DataFrame:
                 if size >= block_bytes:
                     block, size = block + 1, 0
 
-    return staged(base.mapInArrow(deal, ddl("doc_id bigint, text string, train boolean, block bigint")), "blocked")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return staged(base.mapInArrow(deal, ddl("doc_id bigint, text string, block bigint")), "blocked")
 
 
-def by_block(parts):
-    """The parts of Arrow batches that lie in one block, with its number."""
-    import numpy as np
-
-    for part in parts:
-        block = part.column("block").to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-        for a, b in zip(starts, [*starts[1:], len(block)]):
-            yield int(block[a]), part.slice(a, b - a)
-
-
-def block_grams(docs: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
-    """block, gram and n for each different gram of each block: how often the block's training texts have it, 0 if only others do."""
+def gram_counts(docs: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
+    """gram and n, how often the training texts have it, of every gram of every text. Tasks add up before Spark does."""
 
     def compute(parts):
         import numpy as np
         import pyarrow as pa
 
-        def rows(block, keys, n):
-            return [pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))]
-
-        at, held, size = None, [], 0
-        for block, part in by_block(parts):
-            if held and (block != at or size > most):
-                held = [tally(*(np.concatenate(x) for x in zip(*held)))]
-                size = len(held[0][0])
-                if block != at or size > most // 2:
-                    yield rows(at, *held[0])
-                    held, size = [], 0
-            at = block
+        held, size = [], 0
+        for part in parts:
             grams, counts = spread([t.lower() for t in utf8_column(part, "text")], depth)
             weights = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(float), counts)
             coded = pa.array(grams).dictionary_encode()
             held.append((coded.dictionary.to_numpy(zero_copy_only=False), np.bincount(coded.indices.to_numpy(zero_copy_only=False), weights, len(coded.dictionary))))
             size += len(held[-1][0])
+            if size > most:
+                held = [tally(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield [pa.array(held[0][0].view(np.int64)), pa.array(held[0][1].astype(np.int64))]
+                    held, size = [], 0
         if held:
-            yield rows(at, *tally(*(np.concatenate(x) for x in zip(*held))))
+            keys, n = tally(*(np.concatenate(x) for x in zip(*held)))
+            yield [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))]
 
-    return map_texts(docs.select("block", "text", "train"), ddl("block bigint, gram bigint, n bigint"), compute)
+    partial = map_texts(docs.select("text", "train"), ddl("gram bigint, n bigint"), compute)
+    return partial.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def words_of(texts):
@@ -108,8 +104,8 @@ def words_of(texts):
     return words.filter(some), doc[some.to_numpy(zero_copy_only=False)], low.cast(pa.large_binary() if pa.types.is_large_string(low.type) else pa.binary())
 
 
-def block_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """block, word and n for each different word of each block: how often the block's training texts have it, 0 if only others do."""
+def word_counts(docs: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """word and n, how often the training texts have it, of every word of every text and of the end token. Tasks add up before Spark does."""
 
     def compute(parts):
         import numpy as np
@@ -119,30 +115,39 @@ def block_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
             coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
             return coded.dictionary, np.bincount(coded.indices.to_numpy(zero_copy_only=False), np.concatenate([n for _, n in held]), len(coded.dictionary))
 
-        def rows(block, words, n):
-            return [pa.array(np.full(len(words), block)), words.cast(pa.string()), pa.array(n.astype(np.int64))]
-
-        at, held, size = None, [], 0
-        for block, part in by_block(parts):
-            if held and (block != at or size > most):
-                held = [summed(held)]
-                size = len(held[0][0])
-                if block != at or size > most // 2:
-                    yield rows(at, *held[0])
-                    held, size = [], 0
-            at = block
+        held, size = [], 0
+        for part in parts:
             train = part.column("train").to_numpy(zero_copy_only=False).astype(float)
             words, doc, _ = words_of(part.column("text"))
             held.append(summed([(words, train[doc]), (pa.array([END_TOKEN], words.type), np.array([train.sum()]))]))
-            size += len(held[-1][0])
+            size += held[-1][0].nbytes + held[-1][1].nbytes
+            if size > most_bytes:
+                held = [summed(held)]
+                size = held[0][0].nbytes + held[0][1].nbytes
+                if size > most_bytes // 2:
+                    yield [held[0][0].cast(pa.string()), pa.array(held[0][1].astype(np.int64))]
+                    held, size = [], 0
         if held:
-            yield rows(at, *summed(held))
+            words, n = summed(held)
+            yield [words.cast(pa.string()), pa.array(n.astype(np.int64))]
+
+    return map_texts(docs.select("text", "train"), ddl("word string, n bigint"), compute).groupBy("word").agg(F.sum("n").alias("n"))
 
-    return map_texts(docs.select("block", "text", "train"), ddl("block bigint, word string, n bigint"), compute)
+
+def most_common(table: DataFrame, most: int) -> DataFrame:
+    """The rows of largest n, at most `most`: all those from a bound upwards. The bound comes from eight counts for each doubling of n."""
+    rank = F.floor(8 * F.log2("n"))
+    bound, rows = None, 0
+    for r in sorted(table.filter("n > 0").groupBy(rank.alias("rank")).count().collect(), key=lambda r: -r["rank"]):
+        rows += r["count"]
+        if rows > most:
+            break
+        bound = r["rank"]
+    return table.filter(F.lit(False) if bound is None else (F.col("n") > 0) & (rank >= bound))
 
 
 def gram_costs(counts: DataFrame, depth: int, grams_each: int = 400_000) -> DataFrame:
-    """gram and bits: what each gram of counts (gram, n: how often training has it) costs in the tree of those with n > 0."""
+    """gram, n and bits: what each gram of counts (gram, n: how often training has it) costs in the tree of those with n > 0."""
     import numpy as np
 
     low = min(LOW, depth)
@@ -199,29 +204,60 @@ def gram_costs(counts: DataFrame, depth: int, grams_each: int = 400_000) -> Data
         keys = right.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         bits = cost(levels, grams, (keys[order], *(right.column(c).to_numpy()[order] for c in ("added", "kept", "alone"))))
-        return pa.table({"gram": left.column("gram"), "bits": pa.array(bits.astype(np.float32))})
+        return pa.table({"gram": left.column("gram"), "n": left.column("n"), "bits": pa.array(bits.astype(np.float32))})
+
+    return dealt.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(costs, ddl("gram bigint, n bigint, bits float"))
 
-    return dealt.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(costs, ddl("gram bigint, bits float"))
 
+def asked_for(docs: DataFrame, depth: int, tree, vocabulary) -> DataFrame:
+    """block, gram and word (one of them null): the grams and words of each block that are not among the broadcast ones."""
+
+    def compute(parts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def score_documents(docs: DataFrame, depth: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row of docs."""
+        for part in parts:
+            block = part.column("block").to_numpy(zero_copy_only=False)
+            words, doc, low = words_of(part.column("text"))
+            rare = pc.is_null(pc.index_in(words, value_set=vocabulary.value[0].cast(words.type)))
+            words, doc = words.filter(rare), doc[rare.to_numpy(zero_copy_only=False)]
+            grams, counts = spread(low.to_pylist(), depth)
+            rare = tree.value.places(grams)[1]
+            at = np.concatenate([np.repeat(block, counts)[rare], block[doc]])
+            grams = grams[rare].view(np.int64)
+            found = pa.table([pa.array(at), pa.concat_arrays([pa.array(grams), pa.nulls(len(words), pa.int64())]), pa.concat_arrays([pa.nulls(len(grams), words.type), words])], names=["block", "gram", "word"])
+            found = found.group_by(["block", "gram", "word"]).aggregate([]).combine_chunks()
+            yield [found.column("block").combine_chunks(), found.column("gram").combine_chunks(), found.column("word").combine_chunks().cast(pa.string())]
+
+    return map_texts(docs.select("block", "text"), ddl("block bigint, gram bigint, word string"), compute).distinct()
+
+
+def score_documents(docs: DataFrame, depth: int = 5, block: str | None = None, block_bytes: int = 16 << 20, most_grams: int = 4_000_000, most_words: int = 400_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row of docs.
+
+    block: a column that is equal for rows of bounded bytes only and the same whenever docs is read; without one,
+    docs is written with blocks of about block_bytes. At most most_grams costs (12 bytes each) and most_words
+    counts (words of 64 bytes at most) are broadcast.
+    """
     if not 1 <= depth <= 6:
         raise ValueError("depth must be 1 to 6: a gram is kept in 64 bits")
-    dealt = blocked(docs, block_bytes)
-    grams = staged(block_grams(dealt, depth), "grams")
-    counts = staged(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    costs = staged(gram_costs(counts, depth), "costs")
-    # A word has a row for each block that has it, so its window is as long as there are blocks.
-    of_word = Window.partitionBy("word")
-    counted = block_words(dealt).select("block", "word", "n", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
-    counted = staged(counted, "words")
-    # A block may have handed on a word twice; each word counts once among the distinct ones.
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).collect()[0]["tokens"]
-    distinct = counted.filter("first and c > 0").select("word").distinct().count()
-    scale = math.log10(total + 0.5 * (distinct + 1))
+    source = docs.select("doc_id", "text", F.col(block).cast("bigint").alias("block")) if block else dealt_documents(docs, block_bytes)
+    dealt = source.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "block", (~held_out(F.col("doc_id"))).alias("train"))
+    context = docs.sparkSession.sparkContext
+    costs = staged(gram_costs(staged(gram_counts(dealt, depth), "counts"), depth), "costs")
+    counted = staged(word_counts(dealt), "words")
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).collect()[0]
+    total, scale = sums["tokens"], math.log10(sums["tokens"] + 0.5 * (sums["distinct"] + 1))
+    common = most_common(costs, most_grams).select("gram", "bits").toArrow()
+    tree = context.broadcast(GramCosts(common["gram"].to_numpy().view("uint64"), common["bits"].to_numpy(), depth))
+    common = most_common(counted.filter(F.octet_length("word") <= 64), most_words).select("word", "n").toArrow().combine_chunks()
+    vocabulary = context.broadcast((common["word"].combine_chunks(), common["n"].to_numpy().astype(float)))
+    del common
+    asked = staged(asked_for(dealt, depth, tree, vocabulary), "asked")
     no_word, no_gram = F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("gram")
-    answers = grams.join(costs, "gram").select("block", no_word, "gram", F.col("bits").cast("double").alias("x")).union(counted.select("block", "word", no_gram, F.col("c").cast("double")))
+    cold_grams = asked.filter("gram is not null").select("block", "gram").join(costs, "gram").select("block", "gram", no_word, F.col("bits").cast("double").alias("x"))
+    cold_words = asked.filter("gram is null").select("block", "word").join(counted, "word").select("block", no_gram, "word", F.col("n").cast("double"))
 
     def score(left, right):
         import numpy as np
@@ -229,23 +265,22 @@ def score_documents(docs: DataFrame, depth: int = 5, block_bytes: int = 16 << 20
         import pyarrow.compute as pc
 
         of_words = pc.is_valid(right.column("word"))
-        known, rest = right.filter(of_words), right.filter(pc.invert(of_words))
-        tree = GramCosts(rest.column("gram").to_numpy().view(np.uint64), rest.column("x").to_numpy(), depth)
-        counts = known.column("x").to_numpy()
-        texts = left.column("text").combine_chunks()
-        words, doc, low = words_of(texts)
-        vocabulary = known.column("word").combine_chunks()
-        c = counts[pc.index_in(words, value_set=vocabulary.cast(words.type)).to_numpy(zero_copy_only=False)]
-        end = counts[pc.index(vocabulary, pa.scalar(END_TOKEN, vocabulary.type)).as_py()]
+        words_asked, grams_asked = right.filter(of_words), right.filter(pc.invert(of_words))
+        rest = GramCosts(grams_asked.column("gram").to_numpy().view(np.uint64), grams_asked.column("x").to_numpy(), depth)
+        words, doc, low = words_of(left.column("text").combine_chunks())
+        known = [vocabulary.value, (words_asked.column("word").combine_chunks(), words_asked.column("x").to_numpy())]
+        names, numbers = pa.concat_arrays([w.cast(words.type) for w, _ in known]), np.concatenate([n for _, n in known])
+        c = numbers[pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)]
+        end = numbers[pc.index(names, pa.scalar(END_TOKEN, names.type)).as_py()]
         n_tokens = np.bincount(doc, minlength=len(low)) + 1
         n_known = np.bincount(doc, c > 0, len(low)).astype(np.int64) + int(end > 0)
         base = np.bincount(doc, np.log10(c + 0.5), len(low)) + math.log10(end + 0.5) - n_tokens * scale
         batch = pa.RecordBatch.from_arrays([low], names=["text"])
-        bits = np.concatenate([tree.text_bits(part.column("text").to_pylist()) for part in slices(batch, "text", 1 << 19)])
+        bits = np.concatenate([tree.value.text_bits(part.column("text").to_pylist(), rest) for part in slices(batch, "text", 1 << 19)])
         sizes = pc.binary_length(low).to_numpy(zero_copy_only=False) + 1
         columns = [left.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(-bits * math.log10(2)), pa.array(bits / sizes)]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     schema = ddl("doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double")
-    scored = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    scored = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(cold_grams.union(cold_words).groupBy("block")).applyInArrow(score, schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")

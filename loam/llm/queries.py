@@ -9,7 +9,7 @@ from .common import table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return lm_score.score_documents(lm_score.blocked_documents(spark, f"{sf_dir}/documents.parquet"), block="block")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

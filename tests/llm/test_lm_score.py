@@ -117,5 +117,7 @@ def test_edges(spark):
     assert len(got) == 6 and all(r.score < 0 and r.n_tokens >= 1 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2)} == {1} and len({r.score for r in got if r.doc_id == 3}) == 1
     assert lm_score.score_documents(docs.limit(0)).count() == 0
-    small = lm_score.score_documents(docs, block_bytes=10).collect()  # a block for each row changes nothing
-    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in small) == sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in got)
+    plain = lambda rows: sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in rows)
+    # A block for each row, and grams and words by broadcast, by shuffle or both ways: nothing changes.
+    for options in ({"block_bytes": 10, "most_grams": 0, "most_words": 0}, {"most_grams": 40, "most_words": 2}, {"block_bytes": 10}):
+        assert plain(lm_score.score_documents(docs, **options).collect()) == plain(got)

@@ -149,13 +149,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, m
     windows = staged(item_windows(benchmark, width), "windows")
     blocks = max(1, -(-windows.count() // max_windows))
     keyed = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    out = docs
+    # The columns of docs get names of their own meanwhile, so that none is taken for one of the scan's.
+    results = ["n_words", *ddl(SUMMARY).names]
+    names = {c: c if c == "text" else f"aside_{i}_of_input" for i, c in enumerate(docs.columns) if c not in results}
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     for i in range(blocks):
         rows = keyed.filter(F.col("block") == i).select("window", "items").collect()
         out = scan_block(out, docs.sparkSession.sparkContext.broadcast([(r.window, r["items"]) for r in rows]), i + 1 == blocks)
         if i + 1 < blocks:
             out = staged(out, "scanned")
-    return out
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *results)
 
 
 @keeps_columns

@@ -215,15 +215,19 @@ def asked_for(docs: DataFrame, depth: int, tree, vocabulary) -> DataFrame:
     def compute(parts):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
+        shared = set(vocabulary.value[0].to_pylist())
         for part in parts:
             block = part.column("block").to_numpy(zero_copy_only=False)
             words, doc, low = words_of(part.column("text"))
-            rare = pc.is_null(pc.index_in(words, value_set=vocabulary.value[0].cast(words.type)))
-            words, doc = words.filter(rare), doc[rare.to_numpy(zero_copy_only=False)]
+            coded = words.dictionary_encode()
+            rare = np.fromiter((w not in shared for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+            rare = rare[coded.indices.to_numpy(zero_copy_only=False)]
+            words, doc = words.filter(pa.array(rare)), doc[rare]
             grams, counts = spread(low.to_pylist(), depth)
-            rare = tree.value.places(grams)[1]
+            coded = pa.array(grams).dictionary_encode()
+            rare = tree.value.places(coded.dictionary.to_numpy(zero_copy_only=False))[1]
+            rare = rare[coded.indices.to_numpy(zero_copy_only=False)]
             at = np.concatenate([np.repeat(block, counts)[rare], block[doc]])
             grams = grams[rare].view(np.int64)
             found = pa.table([pa.array(at), pa.concat_arrays([pa.array(grams), pa.nulls(len(words), pa.int64())]), pa.concat_arrays([pa.nulls(len(grams), words.type), words])], names=["block", "gram", "word"])
@@ -247,8 +251,8 @@ def score_documents(docs: DataFrame, depth: int = 5, block: str | None = None, b
     context = docs.sparkSession.sparkContext
     costs = staged(gram_costs(staged(gram_counts(dealt, depth), "counts"), depth), "costs")
     counted = staged(word_counts(dealt), "words")
-    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).collect()[0]
-    total, scale = sums["tokens"], math.log10(sums["tokens"] + 0.5 * (sums["distinct"] + 1))
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct"), F.coalesce(F.max(F.when(F.col("word") == END_TOKEN, F.col("n"))), F.lit(0)).alias("ends")).collect()[0]
+    total, ends, scale = sums["tokens"], sums["ends"], math.log10(sums["tokens"] + 0.5 * (sums["distinct"] + 1))
     common = most_common(costs, most_grams).select("gram", "bits").toArrow()
     tree = context.broadcast(GramCosts(common["gram"].to_numpy().view("uint64"), common["bits"].to_numpy(), depth))
     common = most_common(counted.filter(F.octet_length("word") <= 64), most_words).select("word", "n").toArrow().combine_chunks()
@@ -271,10 +275,9 @@ def score_documents(docs: DataFrame, depth: int = 5, block: str | None = None, b
         known = [vocabulary.value, (words_asked.column("word").combine_chunks(), words_asked.column("x").to_numpy())]
         names, numbers = pa.concat_arrays([w.cast(words.type) for w, _ in known]), np.concatenate([n for _, n in known])
         c = numbers[pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)]
-        end = numbers[pc.index(names, pa.scalar(END_TOKEN, names.type)).as_py()]
         n_tokens = np.bincount(doc, minlength=len(low)) + 1
-        n_known = np.bincount(doc, c > 0, len(low)).astype(np.int64) + int(end > 0)
-        base = np.bincount(doc, np.log10(c + 0.5), len(low)) + math.log10(end + 0.5) - n_tokens * scale
+        n_known = np.bincount(doc, c > 0, len(low)).astype(np.int64) + int(ends > 0)
+        base = np.bincount(doc, np.log10(c + 0.5), len(low)) + math.log10(ends + 0.5) - n_tokens * scale
         batch = pa.RecordBatch.from_arrays([low], names=["text"])
         bits = np.concatenate([tree.value.text_bits(part.column("text").to_pylist(), rest) for part in slices(batch, "text", 1 << 19)])
         sizes = pc.binary_length(low).to_numpy(zero_copy_only=False) + 1

@@ -15,7 +15,9 @@ the threshold out are not compared. Accepted pairs form the classes. Pairs are a
 so a class never rests on an estimate.
 
 Texts of fewer words than a shingle are one shingle; null, empty and wordless texts are alone in their
-classes, unless equal in text (nulls with nulls); equal rows share a class; an empty table gives no rows.
+classes, unless equal in text (nulls with nulls); equal rows share a class; an empty table gives no rows. A null
+doc_id comes after all others: class_id is null only where no document of the class has an id, and such a class is
+represented by its first text's rows.
 """
 
 from __future__ import annotations
@@ -262,10 +264,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     rows = texts.select("node", "rep", F.explode("bands").alias("band"))
     crowded = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = staged(rows.join(crowded, "band"), "members")
-    needed = members.select("node", "rep").distinct()
+    # A row is found by its id, one without an id by its text.
+    needed = members.select("node", F.coalesce(F.col("rep").cast("string"), "node").alias("at")).distinct()
     small = needed.count() <= broadcast_rows
-    source = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    found = source.join(F.broadcast(needed) if small else needed, "rep").filter(node_of(F.col("text")) == F.col("node"))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), node_of(F.col("text"))).alias("at"), "text")
+    found = source.join(F.broadcast(needed) if small else needed, "at").filter(node_of(F.col("text")) == F.col("node"))
     lookup = staged(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def compared(pairs):
@@ -288,17 +291,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k:
     if new.limit(1).count():
         labels = joined_components(labels, new)
     classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = classes.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("low"))
+    lowest = classes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("low"))
     of_node = classes.join(lowest, "label").select("node", F.col("low.rep").alias("class_id"), (F.col("low.node") == F.col("node")).alias("first_text"))
     judged = signed.select("doc_id", "node").join(of_node, "node")
-    return judged.select("doc_id", "node", "class_id", (F.col("first_text") & (F.col("doc_id") == F.col("class_id"))).alias("representative"))
+    return judged.select("doc_id", "node", "class_id", (F.col("first_text") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("representative"))
 
 
 @keeps_columns
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, the one of least doc_id; the columns stay as they are."""
-    kept = staged(near_duplicates(docs, **options).filter("representative").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")), "kept")
-    repeated = kept.groupBy("kept_id", "kept_node").count().filter("count > 1").limit(1).count()
+    """docs with one document of each class, the one of least doc_id; of rows equal in doc_id and text one stays; the columns stay as they are."""
+    kept = staged(near_duplicates(docs, **options).filter("representative").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct(), "kept")
     again = docs.withColumn("kept_node", node_of(F.col("text")))
-    out = again.join(kept.distinct(), (F.col("doc_id") == F.col("kept_id")) & (again.kept_node == kept.kept_node), "left_semi").select(*docs.columns)
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    out = again.join(kept, again.doc_id.eqNullSafe(kept.kept_id) & (again.kept_node == kept.kept_node), "left_semi")
+    return out.dropDuplicates(["doc_id", "kept_node"]).select(*docs.columns)

@@ -3,9 +3,10 @@
 A term near an entity discloses it when their pointwise mutual information, as a share of the entity's own
 information content, reaches a threshold: knowing the term, one could as well have read the entity.
 Co-occurrences are counted over different contexts (the words around an entity), so that copies of a document
-count once; how common a term is, is counted over all documents.
+count once; how common a term is, is counted over all documents. A term that discloses an entity is marked wherever
+it stands in a document that holds the entity.
 
-Null and empty texts hold nothing; repeated rows get the same spans each; ties between spans are ordered by
+Null and empty texts hold nothing; repeated rows get the same spans each; a null doc_id changes nothing; ties between spans are ordered by
 start, then kind; an empty table gives no rows; input columns named like a result are replaced.
 """
 
@@ -84,22 +85,21 @@ def entity_name(kind: int, text: str) -> str:
 
 
 FOUND = (
-    "spans array<struct<start: int, kind: int, end: int>>, row_digest string, "
+    "spans array<struct<start: int, kind: int, end: int>>, "
     "near array<struct<entity: string, window: bigint, term: string, start: int, end: int>>"
 )
 
 
 def find_base(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id with its base spans, a digest of its text, and the context words of each entity."""
+    """doc_id with its base spans, a digest of its text (null without entities), and the context words of each entity."""
 
     def compute(part):
         import xxhash
 
-        spans, digests, near = [], [], []
+        spans, near = [], []
         for text in text_column(part, "text"):
             own = base_spans(text)
             spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
-            digests.append(xxhash.xxh3_128_hexdigest(text.encode()) if own else None)
             rows = []
             inside = [(a, b) for a, _, b in own]
             for a, k, b in own:
@@ -108,9 +108,10 @@ def find_base(docs: DataFrame, width: int = 5) -> DataFrame:
                 entity = entity_name(k, text[a:b])
                 rows += [{"entity": entity, "window": window, "term": w, "start": x, "end": y} for w, x, y in words]
             near.append(rows)
-        return [spans, digests, near]
+        return [spans, near]
 
-    return with_computed(docs.select("doc_id", "text"), ddl(FOUND), compute).drop("text")
+    done = with_computed(docs.select("doc_id", "text"), ddl(FOUND), compute)
+    return done.withColumn("row_digest", F.when(F.size("spans") > 0, F.md5("text"))).drop("text")
 
 
 def document_frequency(docs: DataFrame, most: int = 300_000) -> DataFrame:
@@ -144,19 +145,29 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = 0.5,
     return known.withColumn("disclosure", share).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def near_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, row_digest, start and end of each disclosing term near its entity."""
-    near = found.select("doc_id", "row_digest", F.explode("near").alias("x")).select("doc_id", "row_digest", "x.entity", "x.term", "x.start", "x.end")
-    return near.join(terms, ["entity", "term"])
+def disclosed_places(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """row_digest and terms: the places of disclosing terms in each different text that holds one of their entities."""
+    held = found.select("row_digest", F.explode("near").alias("x")).select("row_digest", "x.entity").distinct()
+    words = staged(held.join(terms, "entity").groupBy("row_digest").agg(F.collect_set("term").alias("words")), "words")
+    texts = docs.select("text", F.md5("text").alias("row_digest")).join(words, "row_digest").dropDuplicates(["row_digest"])
+
+    def compute(part):
+        out = []
+        for text, own in zip(part.column("text").to_pylist(), part.column("words").to_pylist()):
+            wanted, inside = set(own), [(a, b) for a, _, b in base_spans(text)]
+            places = [m.span() for m in TERM.finditer(text) if m[0].lower() in wanted]
+            out.append([{"start": a, "end": b} for a, b in places if not any(a < y and b > x for x, y in inside)])
+        return [out]
+
+    return with_computed(texts, ddl("terms array<struct<start: int, end: int>>"), compute).select("row_digest", "terms")
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.5, support: int = 3, width: int = 5) -> DataFrame:
-    """doc_id, row_digest, base spans and terms (spans of words that disclose an entity near them, by start) of each row of docs."""
+    """doc_id, row_digest, base spans and terms (spans of words that disclose an entity of the text, by start) of each row of docs."""
     found = staged(find_base(docs, width), "found")
     terms = disclosing_terms(docs, found, threshold, support)
-    added = near_terms(found, terms).groupBy("doc_id", "row_digest").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    plain = found.select("doc_id", "row_digest", "spans")
-    return plain.join(staged(added, "terms"), ["doc_id", "row_digest"], "left")
+    added = staged(disclosed_places(docs, found, terms), "terms")
+    return found.select("doc_id", "row_digest", "spans").join(added, "row_digest", "left")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -199,23 +210,18 @@ def redact(docs: DataFrame, threshold: float = 0.5, support: int = 3, width: int
     """docs with [EMAIL], [IP], [CARD] and [PHONE] in place of entities and [TERM] in place of disclosing words; the columns stay as they are."""
     found = staged(find_base(docs, width), "found")
     terms = disclosing_terms(docs, found, threshold, support)
-    place = F.struct(F.col("row_digest").alias("digest"), "start", "end")
-    added = near_terms(found, terms).groupBy("doc_id").agg(F.array_sort(F.collect_set(place)).alias("disclosing_terms"))
+    added = disclosed_places(docs, found, terms).withColumnsRenamed({"terms": "disclosing_terms", "row_digest": "digest_of_text"})
 
     def compute(part):
-        import xxhash
-
         out = []
         for text, extra in zip(part.column("text").to_pylist(), part.column("disclosing_terms").to_pylist()):
             if text:
                 marks = [(a, b, KINDS[k].upper()) for a, k, b in base_spans(text)]
-                digest = xxhash.xxh3_128_hexdigest(text.encode()) if extra else None
-                marks += [(t["start"], t["end"], "TERM") for t in extra or [] if t["digest"] == digest]
-                text = masked(text, marks)
+                text = masked(text, marks + [(t["start"], t["end"], "TERM") for t in extra or []])
             out.append(text)
         return [out]
 
-    joined = docs.drop("disclosing_terms").join(staged(added, "terms"), "doc_id", "left")
+    joined = docs.join(staged(added, "terms"), F.md5(docs.text) == F.col("digest_of_text"), "left")
     done = with_computed(joined, ddl("redacted_text string"), compute).withColumn("text", F.col("redacted_text"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

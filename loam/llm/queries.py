@@ -33,7 +33,7 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each passage of each document that it shares with others: where it is, and the least doc_id that has it."""
-    return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
+    return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("tag", "doc_key")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ bytes at either side; so passages of over fifty words leave runs well above the
 Each digest is counted where its rows are (partial aggregates) and joined back by Spark, which may split a hot
 digest; no task gathers the documents of a passage. Null and empty texts, and texts of fewer than two chunks
 beyond the least sizes, have no passages; repetition inside one document alone is none; rows of one doc_id are
-one document; an empty table gives no rows; input columns other than doc_id and text are ignored or carried.
+one document, and so are rows without an id that are equal in text; these come after all others, and their doc_id
+stays null; ids are below 2 ** 62; an empty table gives no rows; input columns other than doc_id and text are ignored
+or carried.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import ddl, keeps_columns, map_texts, staged, utf8_column, with_computed
 
 WINDOW = 16
+UNNAMED = 1 << 62
 LEAST, MEAN, MOST = 8, 24, 256
 
 
@@ -63,6 +66,11 @@ def chunk_ends(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
+def document_key(doc_id, text):
+    """doc_id, or for a row without one a number from its text that no id reaches."""
+    return F.coalesce(doc_id.cast("bigint"), F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """digest, doc_id, place and size of each pair of neighbouring chunks. place holds start and words before it, size a tag of the text, length and words."""
 
@@ -105,11 +113,11 @@ def marked(docs: DataFrame) -> DataFrame:
 
             yield [pa.array(x, pa.int64()) for x in (np.concatenate(digests).view(np.int64), ids, place, size)]
 
-    return map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null"), ddl("digest bigint, doc_id bigint, place bigint, size bigint"), compute)
+    return map_texts(docs.select(document_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text"), ddl("digest bigint, doc_id bigint, place bigint, size bigint"), compute)
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 13, least_chars: int = 64) -> DataFrame:
-    """doc_id, tag, start and end (code points), n_words, first_doc_id and kept of each passage of each document that other documents share.
+    """doc_id, tag, start and end (code points), n_words, first_doc_id, kept and doc_key of each passage of each document that other documents share.
 
     Marks that the document is the first to have (kept) and marks that an earlier one has join to runs apart.
     first_doc_id is the least doc_id that shares a part of the run.
@@ -131,13 +139,14 @@ def repeated_passages(docs: DataFrame, least_words: int = 13, least_chars: int =
     runs = hits.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     passages = runs.groupBy("doc_id", "tag", "kept", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("word")).cast("bigint").alias("n_words"), F.min("first_doc").alias("first_doc_id"))
     long = passages.filter((F.col("n_words") >= least_words) & (F.col("end") - F.col("start") >= least_chars))
-    return long.select("doc_id", "tag", "start", "end", "n_words", "first_doc_id", "kept")
+    named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c)).alias(c)
+    return long.select(named("doc_id"), "tag", "start", "end", "n_words", named("first_doc_id"), "kept", F.col("doc_id").alias("doc_key"))
 
 
 @keeps_columns
 def remove_repeats(docs: DataFrame, least_words: int = 13, least_chars: int = 64) -> DataFrame:
     """docs without the passages that a document of lower doc_id has; the columns stay as they are."""
-    spans = repeated_passages(docs, least_words, least_chars).filter("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("repeated_spans"))
+    spans = repeated_passages(docs, least_words, least_chars).filter("not kept").groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("repeated_spans"))
 
     def compute(part):
         import xxhash
@@ -151,7 +160,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 13, least_chars: int = 64
             out.append(text)
         return [out]
 
-    joined = docs.drop("repeated_spans").join(staged(spans, "spans"), "doc_id", "left")
+    joined = docs.withColumn("doc_key", document_key(F.col("doc_id"), F.col("text"))).join(staged(spans, "spans"), "doc_key", "left")
     done = with_computed(joined, ddl("remaining_text string"), compute).withColumn("text", F.col("remaining_text"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

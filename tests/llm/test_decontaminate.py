@@ -51,3 +51,11 @@ def test_removal_and_edges(spark):
     assert cleaned[1].text == "zero  then eleven" and cleaned[1].n_hit == 7 and cleaned[4].text is None and cleaned[3].text == "a  and "
     assert D.find_contamination(docs.limit(0), items).count() == 0
     assert not D.find_contamination(docs, items.limit(0)).filter("contaminated").count()
+
+
+def test_columns_with_any_names_come_back(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", 5, "x", True, 7), (None, "nothing here", 6, "y", False, 8)], "doc_id bigint, text string, hit_at int, had_at string, clean boolean, n_hit int")
+    bench = spark.createDataFrame([(9, "b c d e f g h i j k")], "item_id bigint, text string")
+    for most in (1, 100):
+        rows = D.find_contamination(docs, bench, max_windows=most).collect()
+        assert sorted((r.hit_at, r.had_at, r.clean, r.n_hit, r.contaminated) for r in rows) == [(5, "x", True, 10, True), (6, "y", False, 0, False)]

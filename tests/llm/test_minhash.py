@@ -1,7 +1,9 @@
+import os
 import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from loam.llm import minhash
 
@@ -84,6 +86,26 @@ def test_chain_of_edits_and_many_copies(spark):
     assert kept == sorted(set(want.values()))
 
 
+def test_rows_without_ids_are_all_judged(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = text + " one more"
+    rows = [(None, "some words that no other text has at all"), (None, "quite different words of another text here"), (7, text), (None, near), (None, text), (None, None), (3, "seven small words stand here like that")]
+    rows += [(None, " ".join(f"v{i}" for i in range(60))), (None, " ".join(f"v{i}" for i in range(61)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and sum(r.class_id == 7 for r in got) == 3
+    kept = minhash.one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [3, 7] and len(kept) == 6
+    assert {r.text for r in kept if r.doc_id is None} >= {rows[0][1], rows[1][1], None}
+
+
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes minutes; set SLOW_TESTS=1")
+def test_nothing_is_lost_at_a_tenth(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x")], "doc_id bigint, text string, node string")
     assert minhash.near_duplicates(docs.limit(0)).count() == 0

@@ -64,6 +64,18 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0] == "worda othera [TERM] qaq [EMAIL] and taila" and clean[150] == rows[55][1] and clean[900] is None
 
 
+def test_terms_go_wherever_the_entity_is_known_with_or_without_id(spark):
+    rows = [(i, f"word{'abcdefgh'[i]} other{'abcdefgh'[i]} zorblax q{'abcdefgh'[i]}q boss@x.org and tail{'abcdefgh'[i]}") for i in range(5)]
+    far = "Zorblax came first. " + "plain words go on and on here. " * 20 + "write to boss@x.org now, says zorblax"
+    rows += [(None, rows[0][1]), (None, far), (200, "zorblax alone names nobody")] + [(300 + i, f"some plain words and nothing {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = [r.text for r in pii.redact(docs).collect()]
+    assert clean.count("worda othera [TERM] qaq [EMAIL] and taila") == 2 and "zorblax alone names nobody" in clean
+    assert [t for t in clean if t.startswith("[TERM] came first.") and t.endswith("says [TERM]")] and len(clean) == len(rows)
+    spans = [r.spans for r in pii.report(pii.find_personal_data(docs)).collect()]
+    assert sum(s.count("term:") for s in spans) == 5 + 1 + 2
+
+
 def test_copies_of_one_document_disclose_nothing(spark):
     docs = spark.createDataFrame([(i, "alpha zorblax boss@x.org beta") for i in range(50)] + [(99, "filler text here")], "doc_id bigint, text string")
     assert all("term" not in r.spans for r in pii.report(pii.find_personal_data(docs)).collect())

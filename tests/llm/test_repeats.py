@@ -51,3 +51,13 @@ def test_whole_copies_and_empty_table(spark):
     rows = repeats.repeated_passages(docs).collect()
     assert len(rows) == 300 and {(r.start, r.n_words, r.first_doc_id) for r in rows} == {(0, 100, 0)} and sum(r.kept for r in rows) == 1
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_rows_without_ids_lose_their_repeats_too(spark):
+    passage = words(random.Random(3), 60)
+    rows = [(1, "first " + passage + " one"), (None, "second " + passage + " two"), (None, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = repeats.repeated_passages(docs).collect()
+    assert sorted((r.doc_id is None, r.first_doc_id, r.kept) for r in found) == [(False, 1, True), (True, 1, False)]
+    left = {len(r.text) < len(passage) / 2 for r in repeats.remove_repeats(docs).collect() if r.doc_id is None}
+    assert left == {True} and repeats.remove_repeats(docs).count() == 3

@@ -146,3 +146,8 @@ def is_relevant(text: Column, topic: str) -> Column:
 def passes_quality(quality: Column, least: float = 0.05) -> Column:
     """Unscored rows, null or 0, pass."""
     return (F.coalesce(quality, F.lit(0.0)) == 0) | (quality >= least)
+
+
+def below_store_gate(score: Column, least: float = 0.0) -> Column:
+    """Is a chunk's content score too low to be stored? A gate of 0 is off."""
+    return F.lit(False) if least <= 0 else F.coalesce(score < least, F.lit(False))

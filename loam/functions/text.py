@@ -6,17 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-WHITE = r"[\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# White space of every kind.
+WHITE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_white(text: Column) -> Column:
     """Trims white space of every kind; trim() takes spaces alone."""
-    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def alnum_ratio(text: Column) -> Column:
     """Letters and digits, in characters, over the length in bytes; 0 for empty text."""
-    kept = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", ""))
+    kept = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", ""))
     return F.when(F.octet_length(text) > 0, kept / F.octet_length(text)).otherwise(F.lit(0.0))
 
 
@@ -26,10 +27,23 @@ def without_thinking(text: Column) -> Column:
 
 
 def truncated(text: Column, most: int = 50_000) -> Column:
-    """At most `most` characters, cut at the last line feed of the kept half or, without one, hard."""
-    head = F.substring(text, 1, most)
-    last = most - F.instr(F.reverse(head), "\n") + 1
-    return F.when(F.length(text) <= most, text).when((F.instr(head, "\n") > 0) & (last - 1 > most / 2), F.substring(head, F.lit(1), (last - 1).cast("int"))).otherwise(head)
+    """At most `most` bytes, cut at the last line feed of them if that is beyond half, else hard (never inside a character)."""
+    raw = text.cast("binary")
+    head = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, most - i).cast("string")) for i in range(4)])
+    line = F.substring(head, F.lit(1), F.length(head) - F.instr(F.reverse(head), "\n"))
+    by_line = (F.instr(head, "\n") > 0) & (F.octet_length(line) > most // 2)
+    return F.when(F.octet_length(text) <= most, text).when(by_line, line).otherwise(head)
+
+
+def response_text(body: Column) -> Column:
+    """The text blocks of a reply in JSON, one to a line; empty where there are none."""
+    blocks = F.from_json(F.get_json_object(body, "$.content"), "array<struct<text: string>>")
+    return F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"), F.lit(""))
+
+
+def sections(text: Column, least: int = 30) -> Column:
+    """The paragraphs of a text, redacted, that then have `least` bytes or more."""
+    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n|\n"), lambda p: redacted(trim_white(p))), lambda p: F.octet_length(p) >= least)
 
 
 # The character references that are decoded, in an order that leaves doubly escaped ones escaped once.

@@ -160,11 +160,11 @@ def labelled_rows(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", label.alias("label"))
 
 
-@query("matched_by_prefix", "SELECT d.doc_id, count(*) AS matches FROM documents d JOIN documents o ON substr(d.text, 1, 100) = substr(o.text, 1, 100) WHERE d.doc_id % 10 = 0 GROUP BY d.doc_id")
+@query("matched_by_prefix", "WITH s AS (SELECT substr(text, 1, 100) AS key, count(*) AS matches FROM documents GROUP BY 1) SELECT d.doc_id, s.matches FROM documents d JOIN s ON substr(d.text, 1, 100) = s.key")
 def matched_by_prefix(spark, sf):
     keyed = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 100).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("matches"))
-    return keyed.filter("doc_id % 10 = 0").join(sizes, "key").select("doc_id", "matches")
+    return keyed.join(sizes, "key").select("doc_id", "matches")
 
 
 @query("run_comparison", EV + "SELECT coalesce(a.stage, b.stage) AS stage, coalesce(a.n, 0) AS first_run, coalesce(b.n, 0) AS second_run, round(coalesce(a.mean, 0), 6) AS first_mean FROM (SELECT event_type AS stage, count(*) AS n, avg(value) AS mean FROM ev WHERE k % 2 = 0 AND event_type <> 'view' GROUP BY 1) a FULL JOIN (SELECT event_type AS stage, count(*) AS n FROM ev WHERE k % 2 = 1 AND event_type <> 'click' GROUP BY 1) b USING (stage)")
@@ -210,11 +210,20 @@ def wave_deltas(spark, sf):
     return waves.withColumn("delta", F.col("n") - F.coalesce(F.lag("n").over(Window.orderBy("wave")), F.lit(0)))
 
 
-@query("running_duplicates", EV + "SELECT event_id, cumulative FROM (SELECT event_id, sum(CASE WHEN k < 10 THEN 1 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT AS cumulative FROM ev) WHERE event_id % 1000 = 999")
-def running_duplicates(spark, sf):
-    """Running totals at every thousandth row: totals of runs of a thousand, then a running total of those few."""
-    runs = events(spark, sf).groupBy(F.expr("event_id div 1000").alias("run")).agg(F.max("event_id").alias("event_id"), F.count_if(F.col("k") < 10).alias("n"))
-    return runs.withColumn("cumulative", F.sum("n").over(Window.orderBy("run"))).filter("event_id % 1000 = 999").select("event_id", "cumulative")
+@query("running_duplicates", EV + "SELECT event_id, sum(CASE WHEN k < 10 THEN 1 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT AS cumulative FROM ev")
+def running_duplicates(spark, sf, run: int = 4096):
+    """Running totals of all rows: inside runs of ids, plus what the runs before come to, which is added up in runs of runs alike, so that no task orders all rows."""
+    rows = events(spark, sf).select("event_id", F.expr(f"event_id div {run}").alias("run"), (F.col("k") < 10).cast("bigint").alias("n"))
+
+    def before(table, group):
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy("run"))
+        return table.withColumn("before", upto - F.col("n"))
+
+    runs = rows.groupBy("run").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("above", F.expr(f"run div {run}"))
+    higher = before(runs.groupBy(F.col("above").alias("run")).agg(F.sum("n").alias("n")), []).select(F.col("run").alias("above"), F.col("before").alias("far"))
+    offsets = before(runs, ["above"]).join(F.broadcast(higher), "above").select("run", (F.col("before") + F.col("far")).alias("offset"))
+    inside = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("run").orderBy("event_id"))
+    return rows.withColumn("inside", inside).join(offsets, "run").select("event_id", (F.col("inside") + F.col("offset")).alias("cumulative"))
 
 
 @query("recent_log", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

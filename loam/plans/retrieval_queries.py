@@ -108,28 +108,45 @@ def similar_pairs(spark, sf):
     return curation.similar_pairs(_items(spark, sf), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("kept_in_order", None)
+IN_ORDER = (
+    PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", place AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM emb), told AS (SELECT b AS id, list(a) AS before FROM p GROUP BY b), line AS (SELECT place.r, place.id, coalesce(told.before, []) AS before FROM place LEFT JOIN told USING (id)), "
+    "st AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS held UNION ALL SELECT line.r, CASE WHEN list_has_any(st.held, line.before) THEN st.held ELSE list_append(st.held, line.id) END FROM st JOIN line ON line.r = st.r + 1), "
+    "held AS (SELECT unnest(held) AS id FROM (SELECT held FROM st ORDER BY r DESC LIMIT 1)) "
+)
+
+
+@query("kept_in_order", IN_ORDER + "SELECT emb.id, emb.id IN (SELECT id FROM held) AS kept FROM emb")
 def kept_in_order(spark, sf):
-    """Checked against the sequential rule in the tests."""
+    """Checked against the sequential rule in the tests, too."""
     with_checkpoints(spark)
     items = _items(spark, sf)
     return curation.kept_in_order(items.select("id"), curation.similar_pairs(items, 0.3))
 
 
-@query("source_extensions", PAIRS + ", " + MEMORIES_SQL + ", own AS (SELECT p.* FROM p JOIN mem x ON x.id = a JOIN mem y ON y.id = b), sides AS (SELECT b AS id, a AS other, similarity FROM own), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM sides) SELECT b.id, b.other AS extends, round(b.similarity, 6) AS similarity FROM best b JOIN mem m ON m.id = b.other WHERE r = 1 AND starts_with(m.source, 'source:') AND b.similarity >= 0.3 AND b.similarity < 0.9")
+@query("source_extensions", IN_ORDER + ", " + MEMORIES_SQL + ", sides AS (SELECT p.b AS id, p.a AS other, similarity FROM p JOIN held x ON x.id = p.a JOIN mem y ON y.id = p.b), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM sides) SELECT b.id, b.other AS extends, round(b.similarity, 6) AS similarity FROM best b JOIN mem m ON m.id = b.other WHERE r = 1 AND starts_with(m.source, 'source:') AND b.similarity < 0.9")
 def source_extensions(spark, sf):
+    """Items with the kept item that they are most like, where that is from a source and they don't say the same."""
+    with_checkpoints(spark)
     items = vectors(spark, sf)
-    pairs = curation.similar_pairs(items.select("id", "embedding"), 0.3)
-    return curation.source_extensions(items.select("id", "source"), pairs, 0.3, 0.9).withColumn("similarity", F.round("similarity", 6))
+    pairs = curation.similar_pairs(items.select("id", "embedding"), 0.3).checkpoint()
+    kept = curation.kept_in_order(items.select("id"), pairs).filter("kept").select(F.col("id").alias("a"))
+    return curation.source_extensions(items.select("id", "source"), pairs.join(kept, "a"), 0.3, 0.9).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("topic_boundaries", f"WITH {EMB}, x AS (SELECT id, list_cosine_similarity(e, lag(e) OVER (ORDER BY id)) AS s FROM emb) SELECT id, round(s, 6) AS similarity, s IS NULL OR s < 0.1 AS opens FROM x")
-def topic_boundaries(spark, sf):
-    """Likeness of neighbours. Chunks are numbered in runs of a hundred, each with the last of the run before, so that no task orders them all."""
-    items = _items(spark, sf).select("id", "embedding")
-    before = items.select((F.col("id") + 1).alias("id"), F.col("embedding").alias("last"))
+def topic_boundaries(spark, sf, run: int = 1024):
+    """Likeness of neighbours. The row before is looked for in runs of ids; the first of a run has the last of the run before that isn't empty, so that no task orders them all."""
+    from pyspark.sql import Window
+
+    items = _items(spark, sf).select("id", "embedding", F.expr(f"id div {run}").alias("run"))
+    lasts = items.groupBy("run").agg(F.max("id").alias("last_id"))  # a row a run
+    carried = lasts.select("run", F.lag("last_id").over(Window.orderBy("run")).alias("carried"))
+    inside = items.select("id", "run", F.lag("id").over(Window.partitionBy("run").orderBy("id")).alias("inside"))
+    order = inside.join(carried, "run").select("id", F.coalesce("inside", "carried").alias("before"))
+    last = items.select(F.col("id").alias("before"), F.col("embedding").alias("last"))
     near = F.when(F.col("last").isNotNull(), V.cosine(F.col("embedding"), F.col("last")))
-    return items.join(before, "id", "left").select("id", F.round(near, 6).alias("similarity"), (near.isNull() | (near < 0.1)).alias("opens"))
+    return items.join(order, "id").join(last, "before", "left").select("id", F.round(near, 6).alias("similarity"), (near.isNull() | (near < 0.1)).alias("opens"))
 
 
 @query("context_blocks", None)

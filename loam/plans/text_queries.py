@@ -124,12 +124,44 @@ def content_hashes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@query("redacted_emails", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)(password|passwd|pwd)[\t\n\f\r ]*[=:][\t\n\f\r ]*[\x22\x27]?[^\t\n\f\r \x22\x27,;]{4,}[\x22\x27]?', '\1=[REDACTED]', 'g'), '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[REDACTED:EMAIL]', 'g')) AS hash FROM documents WHERE NOT regexp_matches(text, 'AKIA|(?i)token')")
+def secrets_sql(column: str) -> str:
+    """The redaction patterns in the dialect of SQL's regular expressions, one around the other."""
+    for pattern, said in T.SECRETS:
+        plain = pattern.replace(T.EDGE, r"\b").replace("(?iu)", "(?i)").replace("'", r"\x27").replace('"', r"\x22")
+        column = f"regexp_replace({column}, '{plain}', '{said.replace('$', chr(92))}', 'g')"
+    return column
+
+
+@query("redacted_emails", f"SELECT doc_id, sha256({secrets_sql('text')}) AS hash FROM documents")
 def redacted_emails(spark, sf):
+    """The first pass of redaction, all its patterns, over every document."""
     from functools import reduce
 
-    rows = table(spark, sf, "documents").filter(~F.col("text").rlike("AKIA|(?i)token"))
-    return rows.select("doc_id", F.sha2(reduce(lambda t, p: F.regexp_replace(t, *p), T.SECRETS, F.col("text")), 256).alias("hash"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(reduce(lambda t, p: F.regexp_replace(t, *p), T.SECRETS, F.col("text")), 256).alias("hash"))
+
+
+@query("redacted_sections", None)
+def redacted_sections(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sections(F.col("text"))).alias("pos", "section"))
+
+
+@query("truncated_texts", None)
+def truncated_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.truncated(F.col("text"), 1000).alias("text"))
+
+
+@query("response_text", "WITH r AS (SELECT conv_id, list(text ORDER BY turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id) SELECT conv_id, array_to_string(said, chr(10)) AS reply FROM r")
+def response_text(spark, sf):
+    """Replies as a service gives them, in JSON, and the text in them."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    rows = table(spark, sf, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(said.alias("said"))
+    body = F.to_json(F.struct(F.lit("message").alias("type"), F.transform("said", lambda x: F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
+    return rows.select("conv_id", T.response_text(body).alias("reply"))
+
+
+@query("store_gate", EX + "SELECT id, score < 0.35 AS stopped FROM ex")
+def store_gate(spark, sf):
+    return exchanges(spark, sf).select("id", gates.below_store_gate(F.col("score"), 0.35).alias("stopped"))
 
 
 @query("redacted_documents", None)

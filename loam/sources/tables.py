@@ -16,6 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Sees to it that checkpoint() has the shared folder of spark.checkpoint.dir, or where that is unset (tests) one of its own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark
 

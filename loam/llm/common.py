@@ -24,13 +24,15 @@ def ascii_lower(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new temporary one, in local mode (tests) only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         if chosen.isDefined():
             root = chosen.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(root)
     return root

@@ -1,9 +1,9 @@
 """URL filter: a blocked Bloom filter in front of an exact join, and prefix rules that override the list.
 
 DataFrame functions only. The filter has 2**block_bits blocks of eight 64-bit
-lanes, one bit a key in each lane, so it is at most 2**16 * 72 bytes however long
-the list is; a longer list lets more false candidates through to the exact join,
-never a wrong verdict.
+lanes, one bit a key in each lane. Its size follows the list's length, up to 2**20
+blocks of 72 bytes (some 33 million URLs); a longer list lets more false candidates
+through to the exact join, never a wrong verdict.
 
 Null or malformed URLs have empty host and path and are never listed; repeated
 rows are judged each by itself; an empty list or table gives "allow" or no rows.
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower
 
-MAX_BLOCK_BITS = 16
+MAX_BLOCK_BITS = 20
 LANES = 8
+KEYS_A_BLOCK = 32  # eight bits each fill some two fifths of a block
 
 # Query parameters that don't change what a URL names.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)"
@@ -57,7 +58,12 @@ def bloom_key(key: Column, block_bits: int) -> tuple[Column, list[Column]]:
     return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << block_bits)).cast("int"), masks
 
 
-def bloom_filter(listed: DataFrame, block_bits: int = 14) -> DataFrame:
+def fitting_bits(listed: DataFrame) -> int:
+    """block_bits for a list (with a column canonical): KEYS_A_BLOCK keys a block, as far as MAX_BLOCK_BITS go."""
+    return min(MAX_BLOCK_BITS, max(1, (listed.count() // KEYS_A_BLOCK).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, block_bits: int) -> DataFrame:
     """One row a used block: bloom_block and lanes l0 to l7. listed has a column canonical."""
     if not 0 < block_bits <= MAX_BLOCK_BITS:
         raise ValueError(f"block_bits must be 1 to {MAX_BLOCK_BITS}, so that the filter can be broadcast")
@@ -66,12 +72,13 @@ def bloom_filter(listed: DataFrame, block_bits: int = 14) -> DataFrame:
     return keyed.groupBy("bloom_block").agg(*[F.bit_or(f"l{i}").alias(f"l{i}") for i in range(LANES)])
 
 
-def in_list(urls: DataFrame, listed: DataFrame, block_bits: int = 14) -> DataFrame:
+def in_list(urls: DataFrame, listed: DataFrame, block_bits: int | None = None) -> DataFrame:
     """urls (with a column canonical) and a column listed: is its canonical URL one of those of the other table?
 
     The filter is broadcast (bounded, see above). Rows that it rejects are done;
     the rest meet the list in a left join that Spark may split when a URL is hot.
     """
+    block_bits = block_bits or fitting_bits(listed)
     block, masks = bloom_key(F.col("canonical"), block_bits)
     probed = urls.withColumn("bloom_block", F.coalesce(block, F.lit(-1))).join(F.broadcast(bloom_filter(listed, block_bits)), "bloom_block", "left")
     hit = F.lit(True)
@@ -95,7 +102,7 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return name, action
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], block_bits: int = 14) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], block_bits: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and listed of each row of pages: the longest rule decides, else the list blocks."""
     url = F.col("url")
     rows = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), canonical_url(url).alias("canonical"))
@@ -112,7 +119,7 @@ UNWANTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bet
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
-def listed_pages(pages: DataFrame) -> DataFrame:
-    """canonical: the distinct canonical URLs of pages on unwanted sites."""
+def listed_pages(pages: DataFrame, sites: tuple[str, ...] = UNWANTED_SITES) -> DataFrame:
+    """canonical: the distinct canonical URLs of pages on unwanted sites, known by a label of their host."""
     labels = F.split(url_host(F.col("url")), r"\.")
-    return pages.filter(F.arrays_overlap(labels, F.array(*map(F.lit, UNWANTED_SITES)))).select(canonical_url(F.col("url")).alias("canonical")).filter("canonical is not null").distinct()
+    return pages.filter(F.arrays_overlap(labels, F.array(*map(F.lit, sites)))).select(canonical_url(F.col("url")).alias("canonical")).filter("canonical is not null").distinct()

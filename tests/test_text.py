@@ -86,3 +86,29 @@ def test_summary_round_trip(spark):
     assert row.s == "3 stored, 2 skipped (duplicate), 1 merged (topic grouping)." and row.none == "Nothing to store."
     parsed = spark.createDataFrame([(row.s,)], "s string").select(T.summary_count(F.col("s"), "stored"), T.summary_count(F.col("s"), "extend source")).first()
     assert tuple(parsed) == (3, 0)
+
+
+def test_cuts_by_bytes_equal_the_plain_rule(spark):
+    def plain(text, most):
+        raw = text.encode()
+        if len(raw) <= most:
+            return text
+        at = raw[:most].rfind(b"\n")
+        return (raw[:at] if at > most // 2 else raw[:most]).decode(errors="ignore")
+
+    texts = ["", "short", "a" * 50, "é" * 30, "日本語" * 9, "line one\nline two\nline three\nline four", "x\n" + "y" * 60, "ab\n" * 20, "👍" * 12, "12345678901234567890\n"]
+    for most in (20, 21, 22, 23):
+        assert column(spark, texts, lambda c: T.truncated(c, most)) == [plain(t, most) for t in texts]
+
+
+def test_reply_text_and_sections(spark):
+    bodies = ['{"content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}', '{"content": "no list"}', "no json", '{"other": 1}']
+    assert column(spark, bodies, T.response_text) == ["a\nb", "", "", ""]
+    found = column(spark, ["short\n\nA paragraph that is long enough to stay.\n \npassword = hunter2hunter2hunter2hunter2"], T.sections)
+    assert found == [["A paragraph that is long enough to stay."]]
+
+
+@pytest.mark.parametrize("least,want", [(0.0, [False, False, False]), (0.35, [True, False, False])])
+def test_store_gate(spark, least, want):
+    rows = spark.createDataFrame([(0, 0.2), (1, 0.35), (2, None)], "i int, score double")
+    assert [r[0] for r in rows.orderBy("i").select(gates.below_store_gate(F.col("score"), least)).collect()] == want

@@ -173,7 +173,8 @@ class GramCosts:
 
         if not len(self.grams):
             return np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        at, order = np.empty(len(grams), np.int64), np.argsort(grams)  # in order, neighbours are found near each other
+        at[order] = np.minimum(np.searchsorted(self.grams, grams[order]), len(self.grams) - 1)
         return at, self.grams[at] != grams
 
     def text_bits(self, texts: list[bytes], rest: GramCosts | None = None):

@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, depth: int = 5, block: str | None = None, b
         n_known = np.bincount(doc, c > 0, len(low)).astype(np.int64) + int(ends > 0)
         base = np.bincount(doc, np.log10(c + 0.5), len(low)) + math.log10(ends + 0.5) - n_tokens * scale
         batch = pa.RecordBatch.from_arrays([low], names=["text"])
-        bits = np.concatenate([tree.value.text_bits(part.column("text").to_pylist(), rest) for part in slices(batch, "text", 1 << 19)])
+        bits = np.concatenate([tree.value.text_bits(part.column("text").to_pylist(), rest) for part in slices(batch, "text")])
         sizes = pc.binary_length(low).to_numpy(zero_copy_only=False) + 1
         columns = [left.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(-bits * math.log10(2)), pa.array(bits / sizes)]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, table
+from ..operators.ranks import at_ranks, percent, places
+from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, table, with_checkpoints
 from .registry import query
 
 EX = "WITH " + EXCHANGES_SQL
@@ -65,16 +66,14 @@ def length_buckets(spark, sf):
 def compression(spark, sf):
     rows = exchanges(spark, sf).filter("answer <> ''").select((F.octet_length("user_msg") / F.octet_length("answer")).alias("r"), F.octet_length("answer").alias("b"), F.octet_length("user_msg").alias("a"))
     counted = rows.agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.sum("b").alias("before"), F.sum("a").alias("after"))
-    ordered = rows.groupBy("r").count().withColumn("upto", F.sum("count").over(Window.orderBy("r")))
-    middle = ordered.crossJoin(F.broadcast(counted.select("n"))).filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.round(F.min("r"), 6).alias("median"))
+    middle = at_ranks(rows, [], "r", {"median": lambda n: F.floor(n / 2) + 1}).select(F.round("median", 6).alias("median"))
     return counted.crossJoin(F.broadcast(middle)).select("n", "mean", "median", "before", "after")
 
 
 PERCENTS = (50, 90, 95, 99)
 
 
-def _percentiles(column: str):
-    return [F.expr(f"percentile_disc({p / 100}) within group (order by {column})").alias(f"p{p}") for p in PERCENTS]
+RANKS = {f"p{p}": percent(p) for p in PERCENTS}
 
 
 LAT = ", ".join(f"quantile_disc(value, {p / 100}) AS p{p}" for p in PERCENTS)
@@ -82,32 +81,28 @@ LAT = ", ".join(f"quantile_disc(value, {p / 100}) AS p{p}" for p in PERCENTS)
 
 @query("latency_overall", f"SELECT count(*) AS n, {LAT}, round(avg(value), 6) AS mean, max(value) AS most FROM events")
 def latency_overall(spark, sf):
-    return table(spark, sf, "events").agg(F.count("*").alias("n"), *_percentiles("value"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    rows = table(spark, sf, "events")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most")).crossJoin(at_ranks(rows, [], "value", RANKS)).select("n", *RANKS, "mean", "most")
 
 
 @query("latency_by_stage", f"SELECT event_type AS stage, count(*) AS n, {LAT} FROM events GROUP BY event_type")
 def latency_by_stage(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), *_percentiles("value"))
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("stage"), "value")
+    return rows.groupBy("stage").agg(F.count("*").alias("n")).join(at_ranks(rows, ["stage"], "value", RANKS), "stage").select("stage", "n", *RANKS)
 
 
 @query("floor_percentiles", "WITH s AS (SELECT event_type AS stage, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT stage, v[greatest(1, len(v) * 50 // 100)] AS p50, v[greatest(1, len(v) * 95 // 100)] AS p95 FROM s")
 def floor_percentiles(spark, sf):
-    """The value at floor(n * p / 100) - 1, from 0, of each sorted group, by rank within counted values."""
-    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("stage"), "value").count()
-    ranked = rows.withColumn("upto", F.sum("count").over(Window.partitionBy("stage").orderBy("value")))
-    sized = ranked.join(rows.groupBy("stage").agg(F.sum("count").alias("n")), "stage")
-    at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("n") * p / 100)), F.col("value"))).alias(f"p{p}")
-    return sized.groupBy("stage").agg(at(50), at(95))
+    """The value at floor(n * p / 100) - 1, from 0, of each sorted group."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("stage"), "value")
+    return at_ranks(rows, ["stage"], "value", {f"p{p}": lambda n, p=p: F.greatest(F.lit(1), F.floor(n * p / 100)) for p in (50, 95)})
 
 
 @query("score_distribution", "WITH s AS (SELECT list_sort(list(value)) AS v FROM events) SELECT v[1] AS low, round(list_avg(v), 6) AS mean, v[CAST(floor(len(v) * 0.1) AS BIGINT) + 1] AS p10, v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(len(v) * 0.9) AS BIGINT) + 1] AS p90 FROM s")
 def score_distribution(spark, sf):
-    rows = table(spark, sf, "events").groupBy("value").count()
-    ranked = rows.withColumn("upto", F.sum("count").over(Window.orderBy("value")))
-    total = rows.agg(F.sum("count").alias("n"), (F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("mean"))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("value")))
-    joined = ranked.crossJoin(F.broadcast(total))
-    return joined.agg(F.min("value").alias("low"), F.round(F.first("mean"), 6).alias("mean"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    rows = table(spark, sf, "events")
+    total = rows.agg(F.min("value").alias("low"), F.round(F.avg("value"), 6).alias("mean"))
+    return total.crossJoin(at_ranks(rows, [], "value", {f"p{p}": lambda n, p=p: F.floor(n * p / 100) + 1 for p in (10, 50, 90)}))
 
 
 @query("counter_sums", EV + "SELECT sum(k)::BIGINT AS k, count(*) FILTER (WHERE k > 50) AS high, round(sum(value), 4) AS total FROM ev WHERE event_type = 'purchase'")
@@ -200,8 +195,10 @@ def steward_totals(spark, sf):
 
 @query("checkpoints", EV + "SELECT k // 10 AS wave, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, round(count(*) FILTER (WHERE event_type = 'error') * 1.0 / count(*), 6) AS error_rate FROM ev GROUP BY 1")
 def checkpoints(spark, sf):
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return events(spark, sf).groupBy(F.expr("k div 10").alias("wave")).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 6).alias("error_rate"))
+    rows = events(spark, sf).select(F.expr("k div 10").alias("wave"), "event_type", "value")
+    counted = rows.groupBy("wave").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 6).alias("error_rate"))
+    at = at_ranks(rows, ["wave"], "value", {"p50": percent(50), "p99": percent(99)}).withColumnRenamed("wave", "own")
+    return counted.join(at, F.col("wave").eqNullSafe(F.col("own")), "left").select("wave", "n", "p50", "p99", "error_rate")
 
 
 @query("wave_deltas", EV + "SELECT wave, n, n - coalesce(lag(n) OVER (ORDER BY wave), 0) AS delta FROM (SELECT k // 10 AS wave, count(*) AS n FROM ev GROUP BY 1)")
@@ -233,7 +230,7 @@ def recent_log(spark, sf):
 
 @query("export_files", "WITH " + MEMORIES_SQL + ", x AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(quality_score, 0) DESC, created_at, id) AS place, count(*) OVER (PARTITION BY source) AS n FROM mem WHERE coalesce(quality_score, 0) = 0 OR quality_score >= 0.5) SELECT id, source, place, n FROM x")
 def export_files(spark, sf):
-    kept = memories(spark, sf).filter((F.coalesce("quality_score", F.lit(0.0)) == 0) | (F.col("quality_score") >= 0.5))
-    order = Window.partitionBy("source").orderBy(F.desc(F.coalesce("quality_score", F.lit(0.0))), "created_at", "id")
+    with_checkpoints(spark)
+    kept = memories(spark, sf).filter((F.coalesce("quality_score", F.lit(0.0)) == 0) | (F.col("quality_score") >= 0.5)).select("id", "source", "created_at", F.coalesce("quality_score", F.lit(0.0)).alias("quality"))
     sizes = kept.groupBy("source").agg(F.count("*").alias("n"))
-    return kept.select("id", "source", F.row_number().over(order).cast("bigint").alias("place")).join(sizes, "source").select("id", "source", "place", "n")
+    return places(kept, ["source"], [F.desc("quality"), F.asc("created_at"), F.asc("id")]).join(sizes, "source").select("id", "source", "place", "n")

@@ -21,28 +21,19 @@ def spread(texts: list[bytes], depth: int):
     import numpy as np
 
     pad = bytes([END]) * max(1, depth)
-    data = np.frombuffer(b"".join([*(pad + t for t in texts), pad]), np.uint8)
     counts = np.array([len(t) + 1 for t in texts], np.int64)
-    step = len(pad)
-    runs = {1: data.astype(np.uint64)}
-
-    def run(n):
-        """Every n bytes in a row as one integer, from two shorter runs."""
-        if n not in runs:
-            right = n // 2
-            length = len(data) - n + 1
-            own = run(n - right)[:length] << np.uint64(8 * right)
-            runs[n] = np.bitwise_or(own, run(right)[n - right : n - right + length], out=own)
-        return runs[n]
-
-    grams = run(depth + 1)
-    runs.clear()
+    step, width = len(pad), depth + 1
+    data = b"".join([*(pad + t for t in texts), pad, bytes(8 - width)])
+    # Every eight bytes in a row as one integer, most significant first; a gram is the first `width` of them.
+    runs = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
     # Of each text's padding only the first byte is coded, as the end mark of the text before.
-    starts = np.cumsum(counts - 1 + step) - (counts - 1 + step)
-    keep = np.zeros(len(grams) + step, bool)
-    for start, n in zip((starts + step - depth).tolist(), counts.tolist()):
-        keep[start : start + n] = True
-    return grams[keep[: len(grams)]], counts
+    ends = np.cumsum(counts - 1 + step) + 1 - depth
+    keep = np.ones(len(runs), bool)
+    keep[: step - depth] = False
+    keep[(ends[:, None] + np.arange(step - 1)).ravel() if len(ends) else slice(None)] = False
+    grams = runs[keep].astype(np.uint64)
+    grams >>= np.uint64(8 * (8 - width))
+    return grams, counts
 
 
 def tally(keys, weights):

@@ -27,6 +27,7 @@ from .ctw import GramCosts, block_log, combined, cost, decision, grow, spread, t
 FOLDS, HELD_OUT = 5, 1
 END_TOKEN = ""
 LOW = 3
+SLICE_BYTES = 2 << 20  # of text at a time: the longer, the fewer different grams a byte
 
 
 def held_out(doc_id):
@@ -87,7 +88,7 @@ def gram_counts(docs: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame
             keys, n = tally(*(np.concatenate(x) for x in zip(*held)))
             yield [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))]
 
-    partial = map_texts(docs.select("text", "train"), ddl("gram bigint, n bigint"), compute)
+    partial = map_texts(docs.select("text", "train"), ddl("gram bigint, n bigint"), compute, most=SLICE_BYTES)
     return partial.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -234,7 +235,7 @@ def asked_for(docs: DataFrame, depth: int, tree, vocabulary) -> DataFrame:
             found = found.group_by(["block", "gram", "word"]).aggregate([]).combine_chunks()
             yield [found.column("block").combine_chunks(), found.column("gram").combine_chunks(), found.column("word").combine_chunks().cast(pa.string())]
 
-    return map_texts(docs.select("block", "text"), ddl("block bigint, gram bigint, word string"), compute).distinct()
+    return map_texts(docs.select("block", "text"), ddl("block bigint, gram bigint, word string"), compute, most=SLICE_BYTES).distinct()
 
 
 def score_documents(docs: DataFrame, depth: int = 5, block: str | None = None, block_bytes: int = 16 << 20, most_grams: int = 4_000_000, most_words: int = 400_000) -> DataFrame:
@@ -279,7 +280,7 @@ def score_documents(docs: DataFrame, depth: int = 5, block: str | None = None, b
         n_known = np.bincount(doc, c > 0, len(low)).astype(np.int64) + int(ends > 0)
         base = np.bincount(doc, np.log10(c + 0.5), len(low)) + math.log10(ends + 0.5) - n_tokens * scale
         batch = pa.RecordBatch.from_arrays([low], names=["text"])
-        bits = np.concatenate([tree.value.text_bits(part.column("text").to_pylist(), rest) for part in slices(batch, "text")])
+        bits = np.concatenate([tree.value.text_bits(part.column("text").to_pylist(), rest) for part in slices(batch, "text", SLICE_BYTES)])
         sizes = pc.binary_length(low).to_numpy(zero_copy_only=False) + 1
         columns = [left.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(-bits * math.log10(2)), pa.array(bits / sizes)]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import curation, retrieval
+from ..operators import curation, retrieval, scoring
+from ..operators.embed import hash_embedded
 from ..sources.tables import MEMORIES_SQL, memories, table, vectors, with_checkpoints
 from .registry import query
 
@@ -88,11 +89,18 @@ PROTO = f"WITH {EMB}, g AS (SELECT m.id, list_cosine_similarity(m.e, p.e) AS s F
 
 @query("content_scores", PROTO + "SELECT id, round(CASE WHEN q + n <= 0 THEN 0.5 ELSE least(1, greatest(0, q / (q + n))) END, 6) AS score FROM a")
 def content_scores(spark, sf):
+    """The first 16 vectors stand for texts worth keeping and for noise."""
     items = _items(spark, sf)
-    protos = items.filter("id < 16").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("p"))  # 16 rows
-    like = lambda lo, hi: F.transform(F.filter("p", lambda p: p["id"].between(lo, hi)), lambda p: V.cosine(F.col("embedding"), p["embedding"]))
-    scored = items.crossJoin(F.broadcast(protos)).select("id", like(0, 5).alias("good"), like(6, 15).alias("noise"))
-    return scored.select("id", F.round(V.content_score(F.col("good"), F.col("noise")), 6).alias("score"))
+    protos = [list(r["embedding"]) for r in items.filter("id < 16").orderBy("id").collect()]  # 16 rows
+    return scoring.scored(items.select("id", "embedding"), protos[:6], protos[6:]).select("id", F.round("content_score", 6).alias("score"))
+
+
+@query("default_scores", None)
+def default_scores(spark, sf):
+    """All documents, by hashed vectors, against the default prototypes."""
+    good, noise = scoring.prototypes(spark, hash_embedded)
+    docs = hash_embedded(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding")
+    return scoring.scored(docs, good, noise).select("doc_id", F.round("content_score", 6).alias("score"))
 
 
 @query("half_lives", "SELECT doc_id, round(604800 + ((doc_id % 11) / 10.0) * (7776000 - 604800), 3) AS seconds FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import gates, text as T
-from ..operators import curation
+from ..operators import curation, records
 from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, crawled, memories, table
 from .registry import query
 
@@ -54,6 +54,40 @@ def update_content(spark, sf):
     return memories(spark, sf).select("id", "content").join(fresh, "id", "left").select("id", F.coalesce("fresh", "content").alias("content"))
 
 
+NOW = "timestamp_ntz '2024-03-01 00:00:00'"
+
+
+@query("inserted_memories", WITH + "SELECT id, source, epoch(created_at)::BIGINT AS created FROM mem UNION ALL SELECT item_id + 1000000, 'benchmark', epoch(CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-03-01 00:00:00' END)::BIGINT FROM benchmark")
+def inserted_memories(spark, sf):
+    """Benchmark items as new memories; every second one has no time of its own."""
+    at = F.when(F.col("item_id") % 2 == 0, F.expr("timestamp_ntz '2024-02-01 00:00:00'"))
+    fresh = table(spark, sf, "benchmark").select((F.col("item_id") + 1000000).alias("id"), F.lit("benchmark").alias("source"), at.alias("created_at"))
+    return records.inserted(memories(spark, sf).select("id", "source", "created_at"), fresh, F.expr(NOW)).select("id", "source", epoch("created_at").alias("created"))
+
+
+@query("updated_memories", WITH + ", emb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), o AS (SELECT m.id, m.content, emb.e FROM mem m JOIN emb ON emb.id = m.id) SELECT o.id, coalesce(b.text, o.content) AS content, round(coalesce(n.e, o.e)[1], 6) AS first, len(coalesce(n.e, o.e)) AS dim FROM o LEFT JOIN benchmark b ON b.item_id = o.id LEFT JOIN emb n ON b.item_id IS NOT NULL AND n.id = (SELECT max(id) FROM emb) - o.id")
+def updated_memories(spark, sf):
+    """Content and vector change together: benchmark item n becomes memory n, with the vector that is n-th from the last."""
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows = memories(spark, sf).select("id", "content").join(own, "id")
+    last = own.agg(F.max("id").alias("last"))
+    back = own.join(F.broadcast(last)).select((F.col("last") - F.col("id")).alias("id"), "embedding")
+    changes = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content")).join(back, "id")
+    return records.changed(rows, changes, "id").select("id", "content", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("bigint").alias("dim"))
+
+
+@query("changed_sources", "WITH s AS (SELECT source AS name, count(*) AS pages FROM documents GROUP BY source), l AS (SELECT d.source AS name, count(*) AS memories FROM documents d JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY d.source), i AS (SELECT name, 'pending' AS status, 0 AS page_count, 0 AS memory_count FROM s UNION ALL SELECT DISTINCT 'benchmark', 'pending', 0, 0 FROM benchmark) SELECT i.name, CASE WHEN l.name IS NULL THEN i.status ELSE 'ready' END AS status, CASE WHEN l.name IS NULL THEN i.page_count ELSE s.pages END AS page_count, coalesce(l.memories, 0) AS memory_count FROM i LEFT JOIN s USING (name) LEFT JOIN l USING (name) WHERE i.name <> 'src3'")
+def changed_sources(spark, sf):
+    """Sources are entered as pending, get the state of their crawl, and one goes."""
+    docs, fine = table(spark, sf, "documents"), table(spark, sf, "labels").filter("toxic = 0").select("doc_id")
+    pending = [F.lit("pending").alias("status"), F.lit(0).cast("bigint").alias("page_count"), F.lit(0).cast("bigint").alias("memory_count")]
+    entered = docs.select(F.col("source").alias("name")).distinct().select("name", *pending)
+    entered = entered.union(table(spark, sf, "benchmark").select(F.lit("benchmark").alias("name")).distinct().select("name", *pending))
+    stored = docs.join(fine, "doc_id").groupBy("source").agg(F.count("*").alias("memory_count"))
+    crawls = docs.groupBy("source").agg(F.count("*").alias("page_count")).join(stored, "source").select(F.col("source").alias("name"), F.lit("ready").alias("status"), "page_count", "memory_count")
+    return records.changed(entered, crawls, "name").filter("name <> 'src3'")
+
+
 PAGES = "WITH p AS (SELECT url, page_id, sha256(html) AS content_hash FROM pages), known AS (SELECT url, CASE WHEN page_id % 5 = 0 THEN 'old' ELSE content_hash END AS content_hash FROM p WHERE page_id % 3 <> 0) "
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import gates
+from ..operators.upkeep import tended
+from ..plans.settings import Settings
 
 
 def gated(stream: DataFrame, least: int = 80, pre_gate: float = 0.35) -> DataFrame:
@@ -57,3 +59,21 @@ def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], ch
     """Runs work on every batch once: the write path after the gates, or a sweep."""
     query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def sweeps(ticks: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], now: Callable[[], Column], checkpoint: str, every: str | None = None, settings: Settings = Settings()):
+    """The sweep (see upkeep.tended) at each batch of ticks, over what read() gives then; write keeps its rows. The started query.
+
+    every: a trigger's interval, as "1 hour" for a stream of the rate source; without one, the ticks that are there are
+    taken and the query ends. A batch that fails is run again, so write should replace what an earlier run wrote.
+    """
+    work = lambda batch, _: None if batch.isEmpty() else write(tended(read(), now(), settings))
+    writer = ticks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def rebuilt_noise(signals: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, settings: Settings = Settings()):
+    """At each batch that has a rebuild signal, the newest rejected texts of read() (id, answer) go to write, as the noise prototypes from then on. The started query."""
+    newest = lambda: read().orderBy(F.desc("id")).limit(settings.noise_prototypes).select("id", F.substring("answer", 1, 500).alias("prototype"))
+    work = lambda batch, _: None if batch.isEmpty() else write(newest())
+    return signals.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

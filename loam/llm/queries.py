@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, lm_score, minhash, packing, pii, quality_net, quality_rules, repeats, urlfilter
+from . import decontaminate, filter_audit, html_extract, license_scan, lm_score, minhash, packing, pii, quality_net, quality_rules, repeats, resample, urlfilter
 from .common import table
 
 
@@ -54,6 +54,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    scored = resample.score_documents(docs.select("doc_id", "text"), target).drop("text")
+    return resample.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_lm_score": op1_lm_score,
@@ -66,6 +80,9 @@ def queries() -> dict:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
+        "op11_resample": op11_resample,
+        "op12_license_scan": op12_license_scan,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -124,5 +141,72 @@ FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USIN
 """
 
 
+OP11_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(n, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY n) AS crc
+  FROM (SELECT unnest(range(256))::UBIGINT AS n)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), places AS (
+  SELECT doc_id, unnest(w) AS word FROM doc_words
+), buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT word, list_transform(range(length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::UBIGINT) AS bytes
+        FROM (SELECT word FROM places UNION SELECT word FROM item_words)), crc_table
+), s AS (
+  SELECT bucket, count(*) AS n FROM places JOIN buckets USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS n FROM item_words JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (all_s + 10000) / ((s.n + 1)::DOUBLE * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), (SELECT count(*)::DOUBLE AS all_s FROM places), (SELECT count(*)::DOUBLE AS all_t FROM item_words)
+), weights AS (
+  SELECT doc_id, sum(gain) AS weight FROM places JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc_words LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), judged AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM words LEFT JOIN labels USING (doc_id)
+), failing AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails,
+         count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM judged GROUP BY 1, 2
+), orders AS (
+  SELECT [v.f, w.f, x.f, y.f, z.f] AS o FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) v, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) w, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) x,
+       (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) y, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) z WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5
+), steps AS (
+  SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders
+), counted AS (
+  SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS filter,
+         sum(n) FILTER (WHERE NOT list_has_any(fails, o[1:step])) AS kept,
+         sum(n) FILTER (WHERE list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])) AS removed,
+         sum(n) FILTER (WHERE list_contains(fails, o[step]) AND list_has_any(fails, o[1:step - 1])) AS redundant,
+         sum(n) FILTER (WHERE fails = [o[step]]) AS unique_fails,
+         sum(good) FILTER (WHERE list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])) AS good_lost,
+         sum(toxic) FILTER (WHERE list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])) AS toxic_lost
+  FROM failing, steps GROUP BY part, o, step
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op11_resample": OP11_SQL, "op13_filter_audit": OP13_SQL}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,6 +28,8 @@ from .common import ddl, map_texts, process_cache, staged, text_column
 
 END = 0
 # Fixed value: how the byte-level tokenizer cuts a text before it merges bytes.
+#: White space as the pattern knows it, in runs that it would take long over.
+LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -57,6 +60,7 @@ class Encoder:
         level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         ranks = merge_ranks(model["vocab"], model["merges"]) if model.get("type") == "BPE" and plain and level else None
         added = spec.get("added_tokens", [])
+        self.special = tuple(t["content"] for t in added)
         if ranks and not any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")):
             import tiktoken
 
@@ -71,10 +75,21 @@ class Encoder:
         import numpy as np
 
         if self.fast:
-            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            parts, done = [], 0
+            # The pattern can't take endless white space. It makes a word of all but a run's last character, which
+            # goes with what follows, and of the whole run where the text ends or is cut by a special token.
+            for run in LONG_WHITE.finditer(text):
+                end = run.end() - (run.end() < len(text) and not text.startswith(self.special, run.end()))
+                parts += [self.encode_words(text[done : run.start()]), np.array(self.fast._encode_single_piece(text[run.start() : end]), "<u4")]
+                done = end
+            return np.concatenate([*parts, self.encode_words(text[done:])]) if parts else self.encode_words(text)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+    def encode_words(self, text: str):
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+
+
 def encoder(path: str | None) -> Encoder:
     if path is None:
         import public_tokenizers

@@ -34,6 +34,21 @@ def test_encoder_equals_the_tokenizer(tokenizer, tmp_path):
     assert not other.fast and other.encode(" the").tolist() == Tokenizer.from_file(str(tmp_path / "other.json")).encode(" the").ids
 
 
+@pytest.mark.parametrize("kind", [" ", "\n", " \n", "\t", "\xa0", "\u3000", "a", "7", ".", "é"])
+def test_endless_runs(kind, tokenizer):
+    own = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    run = kind * (2_000_000 // len(kind))
+    assert len(own.encode(run)) and len(own.encode(f"w{run}w")) > 2
+    for n in (998, 999, 1000, 1001, 2500):
+        for text in (kind * n, f"a{kind * n}", f"{kind * n}b", f"a {kind * n}'s", f"{kind * n}<|endoftext|>{kind * n}.{kind * n}"):
+            assert own.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_table_with_an_endless_run(spark):
+    docs = spark.createDataFrame([(1, " " * 2_000_000), (2, "x")], "doc_id bigint, text string")
+    assert sum(r["length"] for r in packing.pack(docs).collect()) == len(packing.encoder(None).encode(" " * 2_000_000)) + len(packing.encoder(None).encode("x")) + 2
+
+
 def least_sequences(lengths, capacity=2048):
     """A lower bound (Martello and Toth): what is longer than half must be alone with what is short enough to join it."""
     best = 0

@@ -2,7 +2,7 @@
 
 A term near an entity discloses it when their pointwise mutual information, as a share of the entity's own
 information content, reaches a threshold: knowing the term, one could as well have read the entity.
-Co-occurrences are counted over different contexts (the words around an entity), so that copies of a document
+Co-occurrences are counted over different contexts (the `width` words on either side of an entity, however far), so that copies of a document
 count once; how common a term is, is counted over all documents. A term that discloses an entity is marked wherever
 it stands in a document that holds the entity.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
@@ -29,7 +30,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-REACH = 160  # characters on either side of an entity in which its context words are looked for
 
 
 def luhn(digits: str) -> bool:
@@ -59,7 +59,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                 found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -72,12 +72,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context(text: str, start: int, end: int, width: int) -> list[tuple[str, int, int]]:
-    """The width words before and after a span, lower-cased, with their places."""
-    lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-    before = [(m[0].lower(), m.start(), m.end()) for m in TERM.finditer(text, lo, start) if m.start() > lo or lo == 0]
-    after = [(m[0].lower(), m.start(), m.end()) for m in TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)]
-    return before[-width:] + after[:width]
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """The lower-cased words of a text that touch none of its spans, with their places, in order."""
+    found, covered = [], covering(spans)
+    i = 0
+    for m in TERM.finditer(text):
+        while i < len(covered) and covered[i][1] <= m.start():
+            i += 1
+        if i == len(covered) or m.end() <= covered[i][0]:
+            found.append((m[0].lower(), m.start(), m.end()))
+    return found
+
+
+def covering(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """The runs of places that spans (start, kind, end; by start) cover."""
+    runs: list[list[int]] = []
+    for a, _, b in spans:
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def context(words: list[tuple[str, int, int]], ends: list[int], starts: list[int], start: int, end: int, width: int) -> list[tuple[str, int, int]]:
+    """The width words before and after a span, of a text's words with their ends and starts."""
+    upto, since = bisect_right(ends, start), bisect_left(starts, end)
+    return words[max(0, upto - width) : upto] + words[since : since + width]
 
 
 def entity_name(kind: int, text: str) -> str:
@@ -101,9 +122,10 @@ def find_base(docs: DataFrame, width: int = 5) -> DataFrame:
             own = base_spans(text)
             spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
             rows = []
-            inside = [(a, b) for a, _, b in own]
+            said = words_outside(text, own) if own else []
+            starts, ends = [w[1] for w in said], [w[2] for w in said]
             for a, k, b in own:
-                words = [w for w in context(text, a, b, width) if not any(w[1] < y and w[2] > x for x, y in inside)]
+                words = context(said, ends, starts, a, b, width)
                 window = xxhash.xxh3_64_intdigest(" ".join(w for w, _, _ in words).encode()) - (1 << 63)
                 entity = entity_name(k, text[a:b])
                 rows += [{"entity": entity, "window": window, "term": w, "start": x, "end": y} for w, x, y in words]
@@ -154,9 +176,8 @@ def disclosed_places(docs: DataFrame, found: DataFrame, terms: DataFrame) -> Dat
     def compute(part):
         out = []
         for text, own in zip(part.column("text").to_pylist(), part.column("words").to_pylist()):
-            wanted, inside = set(own), [(a, b) for a, _, b in base_spans(text)]
-            places = [m.span() for m in TERM.finditer(text) if m[0].lower() in wanted]
-            out.append([{"start": a, "end": b} for a, b in places if not any(a < y and b > x for x, y in inside)])
+            wanted = set(own)
+            out.append([{"start": a, "end": b} for w, a, b in words_outside(text, base_spans(text)) if w in wanted])
         return [out]
 
     return with_computed(texts, ddl("terms array<struct<start: int, end: int>>"), compute).select("row_digest", "terms")
@@ -167,7 +188,10 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5, support: int = 3
     found = staged(find_base(docs, width), "found")
     terms = disclosing_terms(docs, found, threshold, support)
     added = staged(disclosed_places(docs, found, terms), "terms")
-    return found.select("doc_id", "row_digest", "spans").join(added, "row_digest", "left")
+    rows = found.select("doc_id", "row_digest", "spans")
+    # Most rows hold nothing: they would meet under one null key.
+    empty = rows.filter("row_digest is null").withColumn("terms", F.lit(None).cast(added.schema["terms"].dataType))
+    return rows.filter("row_digest is not null").join(added, "row_digest", "left").select("doc_id", "row_digest", "spans", "terms").union(empty.select("doc_id", "row_digest", "spans", "terms"))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -13,7 +15,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 def by_regex(text):
     out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         d = [int(c) for c in m[0] if c.isdigit()]
         s = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d)))
@@ -40,6 +42,57 @@ def test_long_text_is_linear():
     assert pii.base_spans("a" * 200_000 + "@" + "1" * 200_000) == []
 
 
+def test_long_numbers(spark):
+    text = "0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1 +" + "1" * 100_000
+    assert pii.base_spans(text) == [(0, 1, 5006)] == by_regex(text)
+    rows = pii.report(pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).collect()
+    assert rows[0].n_ip == 1 and rows[0].spans == "ip:0:5006"
+
+
+def plain_terms(texts, threshold=0.5, support=3, width=5):
+    """(entity, term) pairs that disclose, straight from the definition of pointwise mutual information."""
+    seen, df, word = set(), {}, re.compile(r"[^\W\d_]{3,}")
+    for text in texts:
+        spans = by_regex(text or "")
+        for w in set(word.findall((text or "").lower())):
+            df[w] = df.get(w, 0) + 1
+        said = [(m[0].lower(), m.start(), m.end()) for m in word.finditer(text or "") if not any(m.start() < b and m.end() > a for a, _, b in spans)]
+        for a, k, b in spans:
+            near = [w for w in said if w[2] <= a][-width:] + [w for w in said if w[1] >= b][:width]
+            key = tuple(w for w, _, _ in near)
+            digits = text[a:b].lower() if k == 0 else "".join(c for c in text[a:b] if c.isdigit() or k == 1 and c == ".")
+            seen |= {((k, digits), key, w) for w in key}
+    out = set()
+    for entity in {e for e, _, _ in seen}:
+        contexts = {c for e, c, _ in seen if e == entity}
+        for term in {w for e, _, w in seen if e == entity}:
+            both = len({c for e, c, w in seen if e == entity and w == term})
+            n = max(len(texts), len(contexts))
+            if both >= support and len(contexts) < n and math.log(both * n / (len(contexts) * max(df[term], both))) / math.log(n / len(contexts)) >= threshold:
+                out.add((entity, term))
+    return out
+
+
+def test_terms_equal_a_plain_count(spark):
+    rnd = random.Random(4)
+    names, common = ["zorblax", "quentin", "ferrum", "oslo"], "and the with other plain words here some more filler text".split()
+    mails = [f"user{i}@x.org" for i in range(4)] + ["+1 (988) 555-2485", "10.0.0.1"]
+    texts = []
+    for _ in range(250):
+        i = rnd.randrange(8)
+        words = rnd.choices(common, k=rnd.randrange(3, 14))
+        if i < 6:
+            at = rnd.randrange(len(words))
+            words[at:at] = [rnd.choice(names) if rnd.random() < 0.2 else names[i % 4], *(["ab", "."] * rnd.choice([0, 200])), mails[i], rnd.choice(common)]
+        texts.append(" ".join(words))
+    texts += [None, ""] + texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.find_base(docs).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else pii.find_base(docs)
+    got = {(r.entity, r.term) for r in pii.disclosing_terms(docs, found).collect()}
+    want = {(f"{pii.KINDS[k]}:{name}", term) for (k, name), term in plain_terms(texts)}
+    assert got == want and len(want) > 3
+
+
 def test_whole_table(spark, sf_dir):
     rows = {r.doc_id: r for r in queries.op9_pii(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -22,8 +23,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<svg\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*/>"
     r"|<(script|style|noscript|template|textarea|svg|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|</?([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>"
-    r"|</?([a-zA-Z][^\s/>]*)([^>]*)>"
+    r"|</?([a-zA-Z][^\s/>]*+)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
+    r"|</?([a-zA-Z][^\s/>]*+)([^>]*)>"
     r"|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
@@ -39,6 +40,8 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body center div html main section td".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tr td th thead tbody", "thead": "tbody", "tfoot": "tr td th tbody"}
 CLOSES = {tag: frozenset(those.split()) for tag, those in CLOSES.items()}
+CLOSED = frozenset(("p", *(tag for those in CLOSES.values() for tag in those)))
+HOLDERS = frozenset("ul ol blockquote table tbody tr".split())
 SCOPES = frozenset("article section main aside nav header footer body html div ul ol dl table blockquote form".split())
 # Words in class, id and role that mark what is not the article.
 MARKS = frozenset(
@@ -51,12 +54,20 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "dropped")
+    """An element. above: the nearest element that takes points, itself included; block: the nearest block; nearest: of each tag that a start tag
+    may close, the innermost open one in the scope."""
+
+    __slots__ = ("tag", "parent", "parts", "score", "dropped", "depth", "above", "block", "nearest", "inline", "chars", "linked", "chosen")
 
     def __init__(self, tag, parent, dropped=False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list = []  # texts and nodes
-        self.score = 0.0
+        self.score, self.chars, self.linked, self.chosen = 0.0, 0, 0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.above = self if tag in CONTAINERS or tag in HOLDERS else parent.above
+        self.block = self if tag in BLOCKS or parent is None else parent.block
+        self.nearest = {} if tag in SCOPES else {**parent.nearest, tag: self} if tag in CLOSED else parent.nearest
+        self.inline: dict[str, int] = {}  # of a block: how many inline elements of each tag are open in it
 
 
 def is_marked(tag: str, attributes: str) -> bool:
@@ -71,54 +82,71 @@ def is_marked(tag: str, attributes: str) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
-    """The page's tree; dropped parts keep a place but no content."""
-    top = here = Node("html", None)
-    for m in TOKEN.finditer(page):
+def parse(page: str) -> list[Node]:
+    """The page's elements in page order, the top one first; dropped parts keep a place but no content. No token looks further up than it closes."""
+    top = here = block = Node("html", None)
+    nodes, open_blocks = [top], Counter()
+
+    def close(node):
+        """Closes everything up to and with node."""
+        nonlocal here, block
+        while True:
+            gone, here = here, here.parent
+            if gone is block:
+                open_blocks[gone.tag] -= 1
+                block = here.block
+            else:
+                block.inline[gone.tag] -= 1
+            if gone is node:
+                return
+
+    tokens = [m for m in TOKEN.finditer(page + ">")]  # what is cut off in a tag is closed
+    for i, m in enumerate(tokens):
         token = m[0]
         if token[0] != "<" or token == "<":
             if not here.dropped:
-                here.parts.append(token)
+                here.parts.append(token if i + 1 < len(tokens) else token[:-1])
             continue
         tag = m[2] or m[4]
         if not tag:
             continue
         tag = tag.lower()
         if token[1] == "/":
-            node = here
-            while node.parent and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    break  # an inline end tag closes no block
-                node = node.parent
-            if node.parent and node.tag == tag:
-                here = node.parent
+            if open_blocks[tag] > 0 if tag in BLOCKS else block.inline.get(tag, 0) > 0:  # an inline end tag closes no block
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
             continue
         if tag in ("html", "body"):
-            here = top if tag == "body" else here
+            if tag == "body":
+                here = block = top
+                open_blocks.clear()
+                top.inline.clear()
             continue
         if tag in VOID:
             if not here.dropped:
                 here.parts.append("\n" if tag in BLOCKS or tag == "br" else " " if tag in ("input", "img") else "")
             if tag == "hr":
-                here.parts.append(Node("hr", here))
+                nodes.append(Node("hr", here))
+                here.parts.append(nodes[-1])
             continue
         if tag in BLOCKS:
-            node = here
-            while node.parent and node.tag not in SCOPES and node.tag != "p":
-                node = node.parent
-            if node.tag == "p" and node.parent:
-                here = node.parent
-            if tag in CLOSES:
-                node = here
-                while node.parent and node.tag not in SCOPES and node.tag not in CLOSES[tag]:
-                    node = node.parent
-                if node.parent and node.tag in CLOSES[tag]:
-                    here = node.parent
+            if "p" in here.nearest:
+                close(here.nearest["p"])
+            if tag in CLOSES and (open_ := [here.nearest[t] for t in CLOSES[tag] if t in here.nearest]):
+                close(max(open_, key=lambda node: node.depth))
         child = Node(tag, here, here.dropped or tag in DROPPED or is_marked(tag, m[3] or m[5] or ""))
+        nodes.append(child)
         here.parts.append(child)
         if not token.endswith("/>") or tag in BLOCKS:
             here = child
-    return top
+            if tag in BLOCKS:
+                block = child
+                open_blocks[tag] += 1
+            else:
+                block.inline[tag] = block.inline.get(tag, 0) + 1
+    return nodes
 
 
 def clean(parts: list[str]) -> str:
@@ -165,31 +193,29 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
 
 
 def main_text(page: str) -> str:
-    found = blocks(parse(page))
+    nodes = parse(page)
+    found = blocks(nodes[0])
     if not found:
         return ""
-    chars: dict[int, int] = {}
-    linked: dict[int, int] = {}
-    nodes: dict[int, Node] = {}
+    scored = []
     for block, text, in_links in found:
+        block.chars += len(text)
+        block.linked += in_links
         points = 1 + text.count(",") + min(len(text) / 100, 3.0)
         place = block if block.tag in CONTAINERS else block.parent
         if len(text) >= 25 or block.tag == "p":
-            share, above = 1.0, place
+            share, above = 1.0, place.above if place else None
             while above is not None and share >= 0.25:
-                if above.tag in CONTAINERS or above.tag in ("ul", "ol", "blockquote", "table", "tbody", "tr"):
-                    above.score += points * share * (1 - in_links / max(1, len(text)))
-                    nodes[id(above)] = above
-                    share /= 2
-                above = above.parent
-        above = block
-        while above is not None:
-            chars[id(above)] = chars.get(id(above), 0) + len(text)
-            linked[id(above)] = linked.get(id(above), 0) + in_links
-            above = above.parent
-    density = lambda node: linked.get(id(node), 0) / max(1, chars.get(id(node), 0))
+                above.score += points * share * (1 - in_links / max(1, len(text)))
+                scored.append(above)
+                share /= 2
+                above = above.parent.above if above.parent else None
+    for node in reversed(nodes[1:]):  # from the leaves up
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+    density = lambda node: node.linked / max(1, node.chars)
     ranked = lambda node: node.score * (1 - density(node))
-    candidates = [n for n in nodes.values() if n.tag in CONTAINERS]
+    candidates = [n for n in dict.fromkeys(scored) if n.tag in CONTAINERS]
     if not candidates:
         return "\n".join(text for _, text, _ in found)
     best = max(candidates, key=ranked)  # the first of equals, in page order
@@ -201,26 +227,20 @@ def main_text(page: str) -> str:
             if above.tag == "article":
                 break
         above = above.parent
-    chosen = {id(best)}
+    best.chosen = True
     if best.parent is not None and best.tag not in ("article", "main"):
         for sibling in best.parent.parts:
-            if isinstance(sibling, Node) and not sibling.dropped and id(sibling) in chars:
+            if isinstance(sibling, Node) and not sibling.dropped and sibling.chars:
                 well = ranked(sibling) >= max(5.0, 0.2 * ranked(best)) and density(sibling) < 0.5
                 prose = sibling.tag in ("p", "h1", "h2", "blockquote", "pre") and density(sibling) < 0.25
-                if well or prose:
-                    chosen.add(id(sibling))
+                sibling.chosen |= well or prose
     elif best.tag == "article" and best.parent is not None:
         for sibling in best.parent.parts:
             if isinstance(sibling, Node) and sibling.tag == "article" and ranked(sibling) >= 0.2 * ranked(best):
-                chosen.add(id(sibling))
-    out = []
-    for block, text, _ in found:
-        above = block
-        while above is not None and id(above) not in chosen:
-            above = above.parent
-        if above is not None:
-            out.append(text)
-    return "\n".join(out)
+                sibling.chosen = True
+    for node in nodes[1:]:  # what is in a chosen element is chosen
+        node.chosen |= node.parent.chosen
+    return "\n".join(text for block, text, _ in found if block.chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:

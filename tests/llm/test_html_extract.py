@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from loam.llm import html_extract as H, queries
@@ -46,6 +48,23 @@ def test_long_and_deep_pages_are_linear():
     H.main_text('<a "' * 50_000)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, '<a href="' * 50_000, "<h1>x" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 50_000, "<li>x<b>" * 50_000, "<" + "a" * 200_000 + ' "<x>', "<script " * 50_000,
+        "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<table><tr><td>" * 20_000 + "x", "<p>x<b>" * 50_000,
+    ],
+)
+def test_deep_pages_take_seconds(page):
+    began = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_what_is_cut_off_in_a_tag_goes():
+    assert H.main_text('<p>kept text</p><p class="x') == "kept text" and H.main_text("<p>a < b") == "a < b" and H.main_text("<p>x <!-- y") == "x"
+
+
 def test_whole_table(spark, sf_dir):
     import re
     from html import unescape

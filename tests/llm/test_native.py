@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -71,6 +72,33 @@ def test_estimates():
     assert p == Q.fit_rules(patterns[::-1]) and Q.fit_rules([]) == {}
 
 
+def plain_posteriors(rows, rounds=100, prior=0.5, start=0.8, trust=0.25):
+    """Expectation-maximisation row by row: a rule's chance of being right is the share of its votes that agree with the posterior, with `trust` times its votes, and one more, that agree as often as at the start."""
+    right = [start] * len(rows[0])
+    for _ in range(rounds):
+        good = []
+        for votes in rows:
+            yes, no = prior, 1 - prior
+            for v, p in zip(votes, right):
+                yes, no = yes * (p if v == 1 else 1 - p if v == -1 else 1), no * (p if v == -1 else 1 - p if v == 1 else 1)
+            good.append(yes / (yes + no))
+        for r in range(len(right)):
+            agreed = [g if votes[r] == 1 else 1 - g for votes, g in zip(rows, good) if votes[r]]
+            extra = trust * len(agreed) + 1
+            right[r] = min(0.999, max(0.5, (sum(agreed) + extra * start) / (len(agreed) + extra)))
+    return good
+
+
+def test_estimates_equal_plain_expectation_maximisation():
+    rnd = random.Random(8)
+    for _ in range(5):
+        truth = [rnd.random() < 0.7 for _ in range(400)]
+        skill = [rnd.uniform(0.55, 0.95) for _ in range(5)]
+        rows = [tuple(0 if rnd.random() < 0.4 else (1 if t == (rnd.random() < s) else -1) for s in skill) for t in truth]
+        got = Q.fit_rules(list(Counter(rows).items()))
+        assert all(abs(got[v] - p) < 1e-6 for v, p in zip(rows, plain_posteriors(rows)))
+
+
 def test_keep_good_and_empty(spark):
     docs = spark.createDataFrame([(1, "plain words here. " * 30, 3), (1, "*** $$$ " * 60, 4), (None, "plain text again. " * 30, 5)], "doc_id bigint, text string, good_id int")
     kept = Q.keep_good(docs).collect()

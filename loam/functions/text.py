@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
+
+from .urls import resolved
 
 # White space of every kind.
 WHITE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,33 +45,27 @@ def response_text(body: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"), F.lit(""))
 
 
-def sections(text: Column, least: int = 30) -> Column:
-    """The paragraphs of a text, redacted, that then have `least` bytes or more."""
-    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n|\n"), lambda p: redacted(trim_white(p))), lambda p: F.octet_length(p) >= least)
-
-
-# The character references that are decoded, in an order that leaves doubly escaped ones escaped once.
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and tags go, references are decoded, blank runs collapse."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", "")
-    bare = F.regexp_replace(bare, r"<[^>]+>", " ")
-    bare = reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, bare)
+    """Text of a page: scripts, then styles, then what is for browsers without scripts, then tags go; all character references are decoded once; blank runs collapse."""
+    bare = reduce(lambda t, tag: F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", ""), ("script", "style", "noscript"), html)
+    bare = unescaped(F.regexp_replace(bare, r"<[^>]+>", " "))
     bare = F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return trim_white(bare)
 
 
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """The 2,231 named references of HTML and the numbered ones, decoded; Spark has no function that knows them."""
+    from html import unescape
+
+    return texts.map(lambda t: unescape(t) if t and "&" in t else t)
+
+
 def links(html: Column, base: Column) -> Column:
-    """Distinct absolute targets of quoted hrefs in page order, without fragments; script, mail and in-page targets are left out."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""), F.lit(1)), lambda h: F.regexp_replace(h, "#.*$", ""))
-    site = F.regexp_extract(base, r"^([a-z]+://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([a-z]+:)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<!/)/[^/]*$", "")
-    absolute = lambda h: F.when(h.rlike("^[a-z]+://"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(site, h)).otherwise(F.concat(folder, F.lit("/"), h))
-    wanted = F.filter(found, lambda h: (h != "") & ~h.rlike("^(javascript|mailto):"))
-    return F.array_distinct(F.transform(wanted, absolute))
+    """Distinct targets of all quoted hrefs in page order, resolved against base, without fragments; targets in the page, scripts, mail and what is no reference are left out."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    wanted = F.filter(found, lambda h: ~(h.startswith("#") | h.startswith("javascript:") | h.startswith("mailto:")))
+    return F.array_distinct(F.filter(F.transform(wanted, lambda h: resolved(h, base)), lambda u: u.isNotNull()))
 
 
 def in_scope(link: Column, base: Column) -> Column:
@@ -106,19 +104,32 @@ def redacted(text: Column) -> Column:
     return redacted_values(out)
 
 
-def redacted_values(text: Column) -> Column:
-    """On ASCII lines: the value (four characters or more, not yet redacted) after the first place of each keyword and a = or : gives way to [REDACTED]. The line is looked at anew for each keyword."""
+@F.pandas_udf(StringType())
+def redacted_values(texts: pd.Series) -> pd.Series:
+    """On ASCII lines (up to a line feed): after the first place of each keyword and a = or :, a value of four characters
+    or more that isn't redacted yet gives way to [REDACTED], at its first place in the line. The line is looked at anew
+    for each keyword."""
+    import re
+
+    any_keyword = re.compile("|".join(map(re.escape, SENSITIVE)), re.I)
+    after = re.compile(r"[ \t\"']*[=:][ \t\"']*([^ \t\n\"',;]*)")
 
-    def line(value):
-        pattern = lambda k: rf"^((?i:(?:(?!{k}).)*{k})[ \t\"']*[=:][ \t\"']*)(?!\[REDACTED)[^ \t\"',;]{{4,}}"
-        return F.when(value.rlike(r"[^\x00-\x7e]"), value).otherwise(reduce(lambda v, k: F.regexp_replace(v, pattern(k), "$1[REDACTED]"), SENSITIVE, value))
+    def line(value: str) -> str:
+        if not any_keyword.search(value) or any(c > "~" for c in value):
+            return value
+        for keyword in SENSITIVE:
+            at = value.lower().find(keyword)
+            found = after.match(value, at + len(keyword)) if at >= 0 else None
+            if found and len(found[1]) >= 4 and not found[1].startswith("[REDACTED"):
+                value = value.replace(found[1], "[REDACTED]", 1)
+        return value
 
-    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+    return texts.map(lambda t: "\n".join(map(line, t.split("\n"))) if t and any_keyword.search(t) else t)
 
 
 def first_word(text: Column) -> Column:
-    """The first word in lower case; words end at white space or . , ! ? ; :"""
-    return F.lower(F.regexp_extract(trim_white(text), r"^[ \t\n.,!?;:]*([^ \t\n.,!?;:]+)", 1))
+    """What comes before the first white space or . , ! ? ; : in lower case; empty where the text starts with one of these."""
+    return F.lower(F.regexp_extract(trim_white(text), r"^([^ \t\n.,!?;:]*)", 1))
 
 
 def first_line(text: Column, most: int = 80) -> Column:

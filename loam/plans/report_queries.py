@@ -26,7 +26,7 @@ def rejection_stats(spark, sf):
     return exchanges(spark, sf).groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg(F.octet_length("user_msg")), 1).alias("user_len"), F.round(F.avg(F.octet_length("answer")), 1).alias("answer_len"))
 
 
-@query("top_first_words", EX + ", w AS (SELECT lower(regexp_extract(trim(answer), '^[ \\t\\n.,!?;:]*([^ \\t\\n.,!?;:]+)', 1)) AS word FROM ex) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 15")
+@query("top_first_words", EX + ", w AS (SELECT lower(regexp_extract(trim(answer), '^([^ \\t\\n.,!?;:]*)', 1)) AS word FROM ex) SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 15")
 def top_first_words(spark, sf):
     return exchanges(spark, sf).groupBy(T.first_word(F.col("answer")).alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(15)
 

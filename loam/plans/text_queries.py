@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import gates, text as T
+from ..operators import curation
 from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, table
 from .registry import query
 
@@ -104,12 +105,12 @@ def without_thinking(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.without_thinking(text).alias("t"))
 
 
-@query("html_text", r"WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages), u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b) SELECT page_id, sha256(" + trim_sql(r"regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + ") AS hash FROM u")
+@query("html_text", r"WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages), u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b) SELECT page_id, sha256(" + trim_sql(r"regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + ") AS hash FROM u")
 def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(T.html_to_text(F.col("html")), 256).alias("hash"))
 
 
-@query("html_links", r"WITH h AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*href=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1), lambda x: regexp_replace(x, '#.*$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^(javascript|mailto):')) AS l FROM pages), x AS (SELECT page_id, unnest(l) AS link, site FROM h) SELECT DISTINCT page_id, site || link AS link FROM x")
+@query("html_links", r"WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, unnest(regexp_extract_all(html, '(?i)href\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS l FROM pages) SELECT DISTINCT page_id, CASE WHEN starts_with(l, '/') THEN site || replace(replace(url_encode(regexp_extract(l, '^([^?#]*)', 1)), '%2F', '/'), '%2C', ',') || regexp_extract(l, '^[^?#]*(\?[^#]*)', 1) ELSE regexp_replace(l, '#.*$', '') END AS link FROM h WHERE NOT regexp_matches(l, '^(#|javascript:|mailto:)')")
 def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(T.links(F.col("html"), F.col("url"))).alias("link"))
 
@@ -142,7 +143,7 @@ def redacted_emails(spark, sf):
 
 @query("redacted_sections", None)
 def redacted_sections(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sections(F.col("text"))).alias("pos", "section"))
+    return curation.sections(table(spark, sf, "documents"))
 
 
 @query("truncated_texts", None)
@@ -164,12 +165,20 @@ def store_gate(spark, sf):
     return exchanges(spark, sf).select("id", gates.below_store_gate(F.col("score"), 0.35).alias("stopped"))
 
 
-@query("redacted_documents", None)
+VALUE = r"regexp_extract(substr(v, strpos(lower(v), k) + length(k)), '^[ \t\x22\x27]*[=:][ \t\x22\x27]*([^ \t\n\x22\x27,;]+)', 1)"
+VALUES = (
+    "list_reduce(list_prepend(line, [" + ", ".join(f"'{k}'" for k in T.SENSITIVE) + f"]), lambda v, k: CASE WHEN contains(lower(v), k) AND length({VALUE}) >= 4 AND NOT starts_with({VALUE}, '[REDACTED') "
+    f"THEN substr(v, 1, strpos(v, {VALUE}) - 1) || '[REDACTED]' || substr(v, strpos(v, {VALUE}) + length({VALUE})) ELSE v END)"
+)
+
+
+@query("redacted_documents", f"WITH p AS (SELECT doc_id, {secrets_sql('text')} AS t FROM documents) SELECT doc_id, sha256(array_to_string(list_transform(string_split(t, chr(10)), lambda line: CASE WHEN regexp_matches(line, '[^\\x00-\\x7e]') THEN line ELSE {VALUES} END), chr(10))) AS hash FROM p")
 def redacted_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.redacted(F.col("text")).alias("text"))
+    """Both passes of redaction over every document."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("hash"))
 
 
-@query("first_words", rf"SELECT lower(regexp_extract({trim_sql('text')}, '^[ \t\n.,!?;:]*([^ \t\n.,!?;:]+)', 1)) AS word, count(*) AS n FROM documents GROUP BY 1")
+@query("first_words", rf"SELECT lower(regexp_extract({trim_sql('text')}, '^([^ \t\n.,!?;:]*)', 1)) AS word, count(*) AS n FROM documents GROUP BY 1")
 def first_words(spark, sf):
     return table(spark, sf, "documents").groupBy(T.first_word(F.col("text")).alias("word")).agg(F.count("*").alias("n"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.urls import resolved
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 500, least_bytes: int = 50) -> DataFrame:
@@ -13,7 +14,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 500, l
     A link leads to the page of the same host and path. The limit is the crawl's budget of pages.
     """
     address = lambda u: F.regexp_replace(F.regexp_replace(u, r"[?#].*$", ""), r"/$", "")
-    known = pages.select("url", address(F.col("url")).alias("address"), F.transform(T.links(F.col("html"), F.col("url")), address).alias("targets"), T.html_to_text(F.col("html")).alias("content"))
+    known = pages.select("url", address(resolved(F.col("url"), F.col("url"))).alias("address"), F.transform(T.links(F.col("html"), F.col("url")), address).alias("targets"), T.html_to_text(F.col("html")).alias("content"))
     seen = known.join(seeds.distinct(), "url", "left_semi").select("address").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for level in range(1, depth + 1):
         edge = seen.filter(F.col("depth") == level - 1).join(known, "address").select(F.explode("targets").alias("address")).distinct()

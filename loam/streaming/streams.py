@@ -77,3 +77,103 @@ def rebuilt_noise(signals: DataFrame, read: Callable[[], DataFrame], write: Call
     newest = lambda: read().orderBy(F.desc("id")).limit(settings.noise_prototypes).select("id", F.substring("answer", 1, 500).alias("prototype"))
     work = lambda batch, _: None if batch.isEmpty() else write(newest())
     return signals.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def text_pieces(events: DataFrame) -> DataFrame:
+    """message, place, piece, ends and at of streamed reply events (message, place, data, at): data is an event in JSON; what is no text delta has an empty piece; a message_stop ends its message."""
+    kind, delta = F.get_json_object("data", "$.type"), F.get_json_object("data", "$.delta.type")
+    piece = F.when(delta == "text_delta", F.get_json_object("data", "$.delta.text"))
+    return events.select("message", "place", F.coalesce(piece, F.lit("")).alias("piece"), F.coalesce(kind == "message_stop", F.lit(False)).alias("ends"), "at")
+
+
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """message and said of text_pieces that are all there: the batch form."""
+    parts = F.array_sort(F.collect_set(F.struct("place", "piece")))
+    return pieces.groupBy("message").agg(parts.alias("p")).select("message", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("said"))
+
+
+class PieceBuffer(StatefulProcessor):
+    """Keeps a message's pieces until its end and all places before it (from 0) are there, or until no piece has come for `wait` seconds of event time; then gives the text in order, once."""
+
+    def __init__(self, wait: float):
+        self.wait = int(wait * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "place bigint", "piece string")
+        self.state = handle.getValueState("state", "last bigint, timer bigint, given boolean")
+
+    def give(self, key, complete: bool):
+        found = sorted((k[0], v[0]) for k, v in self.pieces.iterator())
+        self.pieces.clear()
+        return pd.DataFrame({"message": [key[0]], "said": ["".join(p for _, p in found)], "complete": [complete]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, timer, given = self.state.get() if self.state.exists() else (-1, 0, False)
+        newest = timer
+        for frame in rows:
+            if given:
+                continue  # what comes after the text was given comes too late
+            for place, piece, ends, at in zip(frame["place"], frame["piece"], frame["ends"], frame["at"]):
+                if not self.pieces.containsKey((int(place),)):
+                    self.pieces.updateValue((int(place),), (piece,))
+                last = int(place) if ends else last
+                newest = max(newest, int(at.timestamp() * 1000) + self.wait)
+        if not given and last >= 0 and sum(1 for k in self.pieces.keys() if k[0] <= last) == last + 1:
+            yield self.give(key, True)
+            given = True
+        if newest != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest)
+        self.state.update((last, newest, given))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, _, given = self.state.get()
+        self.state.clear()
+        if not given:
+            yield self.give(key, False)
+
+    def close(self) -> None:
+        pass
+
+
+def streamed_texts(pieces: DataFrame, wait: float = 60.0) -> DataFrame:
+    """message (long), said and complete of a stream of text_pieces: once a message's pieces are all there, in whatever order they came; what there is of it, with complete false, when none has come for `wait` seconds. Pieces of a given message that still come are dropped."""
+    timed = pieces.withWatermark("at", f"{wait} seconds")
+    return timed.groupBy("message").transformWithStateInPandas(PieceBuffer(wait), "message bigint, said string, complete boolean", "append", "eventTime")
+
+
+def learning_gate(stream: DataFrame, prototypes: str, out: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str, settings: Settings = Settings()):
+    """Exchanges (id, user_msg, answer, reply) through the gates, by a scorer that is read anew for each batch. The started query.
+
+    prototypes: a StoredTable (id, kind: good or noise, text) of what the scorer goes by. out gets, by batch: the
+    exchanges with content_score, stage and scorer, the version that judged them. When the rejected ones pass a multiple
+    of settings.rebuild_every, the newest settings.noise_prototypes of them become the noise, as a new version, for the
+    batches from the next one on. A batch that is run again is judged by the version that judged it before.
+    """
+    from ..operators.scoring import scored
+    from ..sources.store import StoredTable
+
+    spark = stream.sparkSession
+
+    def judged_before(number: int) -> int | None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={number}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        row = spark.read.parquet(f"{out}/batch={number}").select("scorer").first()
+        return None if row is None else row.scorer
+
+    def work(batch: DataFrame, number: int) -> None:
+        table = StoredTable(spark, prototypes, judged_before(number))
+        vectors = {kind: [list(r["embedding"]) for r in embed(table.rows().filter(F.col("kind") == kind).select("id", "text")).orderBy("id").collect()] for kind in ("good", "noise")}  # some hundreds
+        rows = scored(embed(batch.withColumn("text", F.col("answer"))), vectors["good"], vectors["noise"]).drop("embedding", "text")
+        told = gated(rows.withColumn("score", F.col("content_score")), settings.ingest_bytes, settings.pre_gate).withColumn("scorer", F.lit(table.version))
+        told.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rejected = spark.read.parquet(out).filter((F.col("stage") != "stored") & (F.col("batch") <= number))
+        counts = rejected.agg(F.count("*").alias("now"), F.count_if(F.col("batch") < number).alias("before")).first()
+        if counts.now // settings.rebuild_every > counts.before // settings.rebuild_every and table.version == StoredTable(spark, prototypes).version:
+            newest = rejected.orderBy(F.desc("batch"), F.desc("id")).limit(settings.noise_prototypes).select(F.xxhash64("batch", "id").alias("id"), F.lit("noise").alias("kind"), F.substring("answer", 1, 500).alias("text"))
+            table.replaced(table.rows().filter("kind = 'noise'").select("id"), newest)
+
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

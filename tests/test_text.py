@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import gates, text as T
+from loam.functions.urls import resolved
+from loam.operators import curation
 
 
 def column(spark, values, expr, name="text"):
@@ -54,7 +58,7 @@ def test_secrets_are_redacted(spark):
 
 def test_names_words_and_lines(spark):
     assert column(spark, ["A/b c:d", "***", "--x--y--", "Été"], T.file_name) == ["A-b-c-d", "unnamed", "x-y", "t"]
-    assert column(spark, ["  Hello, world", "!?wait", ""], T.first_word) == ["hello", "wait", ""]
+    assert column(spark, ["  Hello, world", "!?wait", "", "One", "a\tb", "Été:x"], T.first_word) == ["hello", "", "", "one", "a", "été"]
     assert column(spark, ["a" * 100, " one\ntwo"], T.first_line) == ["a" * 77 + "...", "one"]
 
 
@@ -67,8 +71,64 @@ def test_links_and_scope(spark):
 
 
 def test_html_text(spark):
-    page = "<html><script>x()</script><style>p{}</style><noscript>no</noscript><p>One &amp; two</p>\n\n\n\n<b>&lt;three&gt;</b></html>"
-    assert column(spark, [page], T.html_to_text) == ["One & two \n\n <three>"]
+    pages = {
+        "<html><script>x()</script><style>p{}</style><noscript>no</noscript><p>One &amp; two</p>\n\n\n\n<b>&lt;three&gt;</b></html>": "One & two \n\n <three>",
+        "<noscript><style>p{}</style>hidden words</noscript>shown": "shown",
+        '<script>var a = "</style>"; rest()</script>shown': "shown",
+        "<SCRIPT src=x>\n1\n</SCRIPT >kept</script>end": "end",
+        "caf&eacute; &mdash; &#8364;&#x20AC; &amp;lt; &hearts; &unknown; 1 & 2": "café — €€ &lt; ♥ &unknown; 1 & 2",
+        "a\t \t b<br/>c\n\n\n\nd": "a b c\n\nd", "": "",
+    }
+    assert column(spark, pages, T.html_to_text) == list(pages.values())
+
+
+def test_hrefs_of_every_kind(spark):
+    base = "https://s.org/dir/sub/page.html?x=1#f"
+    cases = {
+        "g": "https://s.org/dir/sub/g", "./g": "https://s.org/dir/sub/g", "g/": "https://s.org/dir/sub/g/", "/g": "https://s.org/g", "//o.org": "https://o.org", "//o.org/a/../b": "https://o.org/b",
+        "?q=1": "https://s.org/dir/sub/page.html?q=1", "g?y#s": "https://s.org/dir/sub/g?y", ".": "https://s.org/dir/sub/", "./": "https://s.org/dir/sub/", "..": "https://s.org/dir/", "../": "https://s.org/dir/",
+        "../g": "https://s.org/dir/g", "../..": "https://s.org/", "../../g": "https://s.org/g", "../../../g": "https://s.org/g", "/./g": "https://s.org/g", "/../g": "https://s.org/g", "g.": "https://s.org/dir/sub/g.", "..g": "https://s.org/dir/sub/..g",
+        "./g/.": "https://s.org/dir/sub/g/", "g/./h": "https://s.org/dir/sub/g/h", "g/../h": "https://s.org/dir/sub/h", "g;x=1/../y": "https://s.org/dir/sub/y", "g?y/../x": "https://s.org/dir/sub/g?y/../x",
+        "HTTP://O.org/a/./b": "http://O.org/a/b", "http://o.org": "http://o.org", "tel:123": "tel:123", "a b": "https://s.org/dir/sub/a%20b", "été": "https://s.org/dir/sub/%C3%A9t%C3%A9", "a%20b+c": "https://s.org/dir/sub/a%20b+c",
+        "%zz": None, "a\x01": None, ":x": None, "a//b": "https://s.org/dir/sub/a//b", "/a/b/../../..": "https://s.org/",
+    }
+    rows = spark.createDataFrame([(k, base) for k in cases], "ref string, base string").select("ref", resolved(F.col("ref"), F.col("base")).alias("u")).collect()
+    assert {r.ref: r.u for r in rows} == cases
+    bare = spark.createDataFrame([("g", "https://s.org"), ("?a", "https://s.org"), ("../g", "https://s.org/x")], "ref string, base string").select(resolved(F.col("ref"), F.col("base"))).collect()
+    assert [r[0] for r in bare] == ["https://s.org/g", "https://s.org?a", "https://s.org/g"]
+
+
+def test_links_in_page_order(spark):
+    page = """<link href="/s.css"><A HREF = '../up'>1</A><a href="#top">2</a><a href="mailto:x@y">3</a><a href="?q=1">4</a><a href="javascript:x">5</a><area href="/s.css#a"><a data-x=1 href=unquoted>6</a><a href="%zz">7</a>"""
+    rows = spark.createDataFrame([(page, "https://s.org/a/b")], "html string, url string")
+    assert rows.select(T.links(F.col("html"), F.col("url"))).first()[0] == ["https://s.org/s.css", "https://s.org/up", "https://s.org/a/b?q=1"]
+
+
+def plain_values(line):
+    """The rule for one line, step by step."""
+    if any(c > "~" for c in line):
+        return line
+    for k in T.SENSITIVE:
+        i = line.lower().find(k)
+        rest = line[i + len(k) :].lstrip(" \t\"'") if i >= 0 else ""
+        if rest[:1] in ("=", ":") and rest:
+            value = rest[1:].lstrip(" \t\"'")
+            n = next((j for j, c in enumerate(value) if c in " \t\n\"',;"), len(value))
+            if n >= 4 and not value.startswith("[REDACTED"):
+                line = line.replace(value[:n], "[REDACTED]", 1)
+    return line
+
+
+def test_values_of_keywords(spark):
+    cases = {
+        "x\rcredential: hunter22zz": "x\rcredential: [REDACTED]", "abcd1 credential: abcd1": "[REDACTED] credential: abcd1", "token token: abcde": "token token: abcde", "secret = 'abc' token: 12345": "secret = 'abc' token: [REDACTED]",
+        "é token: abcde\ntoken: abcde": "é token: abcde\ntoken: [REDACTED]", "auth \" ': \t\"val1,x": "auth \" ': \t\"[REDACTED],x", "pwd: [REDACTED:X] y": "pwd: [REDACTED:X] y", "SSH_Password=abcd;efgh": "SSH_Password=[REDACTED];efgh",
+    }
+    assert column(spark, cases, T.redacted_values) == list(cases.values())
+    rnd = random.Random(6)
+    bits = [*T.SENSITIVE, " ", ":", "=", "'", '"', "abcd", "abcd1", ",", "é", "\r", "[REDACTED]", "xy", "\n", "\t"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randrange(12))) for _ in range(2000)]
+    assert column(spark, texts, T.redacted_values) == ["\n".join(map(plain_values, t.split("\n"))) for t in texts]
 
 
 @pytest.mark.parametrize(("reply", "skip"), [("SKIP", True), (" SKIP\n", True), ("SKIP\nreason", True), ("SKIP this", True), ("STAGE 1: x", True), ("STAGE 3: x", False), ("SKIPPED", False), ("A fact", False)])
@@ -101,11 +161,24 @@ def test_cuts_by_bytes_equal_the_plain_rule(spark):
         assert column(spark, texts, lambda c: T.truncated(c, most)) == [plain(t, most) for t in texts]
 
 
-def test_reply_text_and_sections(spark):
+def test_reply_text(spark):
     bodies = ['{"content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}', '{"content": "no list"}', "no json", '{"other": 1}']
     assert column(spark, bodies, T.response_text) == ["a\nb", "", "", ""]
-    found = column(spark, ["short\n\nA paragraph that is long enough to stay.\n \npassword = hunter2hunter2hunter2hunter2"], T.sections)
-    assert found == [["A paragraph that is long enough to stay."]]
+
+
+def test_sections_are_what_stands_under_a_heading(spark):
+    texts = {
+        1: "# Title\n\nLine one of a paragraph that is\nlong, and line two of it, and\nok",
+        2: "no heading here, one paragraph that is long enough\n\nand another paragraph of it that stays with the first",
+        3: "## A\n\nshort\n\n## B\n\n" + "a sentence of B that fills the section. " * 100 + "\n\n## C\n\npassword = hunter2hunter2hunter2hunter2 and more",
+        4: "tiny", 5: "", 6: None, 7: "## Only a heading that is long enough to stay alone",
+    }
+    rows = curation.sections(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).orderBy("doc_id", "section").collect()
+    by_doc = {i: [r.text for r in rows if r.doc_id == i] for i in texts}
+    assert len(by_doc[1]) == 1 and by_doc[1][0].startswith("## Title\n\n") and by_doc[1][0].endswith("Line one of a paragraph that is\nlong, and line two of it, and\nok")
+    assert len(by_doc[2]) == 1 and "one paragraph" in by_doc[2][0] and by_doc[2][0].endswith("stays with the first")
+    assert [t.split("\n")[0] for t in by_doc[3]] == ["## B", "## C"] and by_doc[3][0].count("a sentence of B") == 100 and "hunter2" not in by_doc[3][1]
+    assert by_doc[4] == by_doc[5] == by_doc[6] == []
 
 
 @pytest.mark.parametrize("least,want", [(0.0, [False, False, False]), (0.35, [True, False, False])])

@@ -43,6 +43,20 @@ def learnt_centroids(vectors, cells: int, rounds: int = 12):
     return centroids
 
 
+def cells_to_probe(vectors, centroids, recall: float, k: int = 10, queries: int = 200) -> int:
+    """How many cells hold the share `recall` of the k nearest in a sample of some of its rows. The sample's neighbours are farther away than those in all rows, so these are found rather more often."""
+    import numpy as np
+
+    v = unit(vectors)
+    q = v[np.linspace(0, len(v) - 1, min(queries, len(v))).astype(int)]
+    cell = np.concatenate([(part @ centroids.T).argmax(axis=1) for part in np.array_split(v, max(1, len(v) // 2000))])
+    order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    near = np.argsort(-(q @ v.T), axis=1, kind="stable")[:, :k]
+    needed = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
 class VectorIndex:
     """The index in a folder: `centroids` (cell, centroid), `schema` and `rows` (id, embedding and what else items have, by cell).
 
@@ -55,15 +69,16 @@ class VectorIndex:
 
         self.spark, self.path = spark, path
         rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # at most SAMPLE
-        self.schema = StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first()[0]))
+        told = json.loads(spark.read.text(f"{path}/schema").first()[0])
+        self.schema, self.probe = StructType.fromJson(told["schema"]), told["probe"]
         self.centroids = np.array([r.centroid for r in rows], float) if rows else np.zeros((0, 0))
 
     @classmethod
-    def built(cls, items: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> VectorIndex:
+    def built(cls, items: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE, recall: float = 0.95) -> VectorIndex:
         """The index of items (id, embedding, any further columns) in an empty folder.
 
         The sample is the `sample` rows of least id hash, whatever the number of items; cells: the root of the number of
-        items, at most an eighth of the sample.
+        items, at most an eighth of the sample. How many of them a search looks at is measured on the sample, by recall.
         """
         import numpy as np
 
@@ -73,9 +88,10 @@ class VectorIndex:
         rows = known.filter(F.size("embedding") == (length or 0)).select("id", F.col("embedding").cast("array<double>").alias("e")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
         wanted = cells or max(1, math.isqrt(n or 0))
         learnt = learnt_centroids(np.array([r.e for r in rows], float), min(wanted, max(1, len(rows) // (1 if cells else 8)))) if rows else np.zeros((0, 0))
+        probe = cells_to_probe(np.array([r.e for r in rows], float), learnt, recall) if rows else 0
         spark.createDataFrame([Row(cell=i, centroid=[float(x) for x in c]) for i, c in enumerate(learnt)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
         schema = StructType([*items.schema.fields, StructField("cell", IntegerType())])
-        spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(f"{path}/schema")
+        spark.createDataFrame([(json.dumps({"schema": json.loads(schema.json()), "probe": probe}),)], "value string").coalesce(1).write.text(f"{path}/schema")
         index = cls(spark, path)
         index.append(items)
         return index
@@ -112,13 +128,13 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probe: int | None = None, least_quality: float | None = None, source_prefix: str | None = None) -> DataFrame:
         """query_id, id, score and rank of k rows near each query (query_id, vector), in blocks of MOST_QUERIES queries.
 
-        probe: how many cells a query looks at (an eighth of them, 8 at least). Queries that find fewer than k rows there,
+        probe: how many cells a query looks at, in place of the number measured when the index was built. Queries that find fewer than k rows there,
         because filters leave few, look at four times as many, and so on.
         """
         import numpy as np
 
         cells = len(self.centroids)
-        first = min(cells, probe or max(8, cells // 8))
+        first = min(cells, probe or self.probe)
         blocks = max(1, -(-queries.count() // MOST_QUERIES))
         dealt = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
         out = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import curation, retrieval, scoring
 from ..operators.embed import hash_embedded
-from ..sources.tables import MEMORIES_SQL, memories, table, vectors, with_checkpoints
+from ..sources.tables import MEMORIES_SQL, memories, shared_folder, table, vectors, with_checkpoints
 from .registry import query
 
 EMB = "emb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
@@ -44,13 +44,35 @@ def filtered_search(spark, sf):
 WORDS = "q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 5 = 0), dw AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> '') AS w FROM documents), shape AS (SELECT count(*) AS n, avg(len(w)) AS m FROM dw), qw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> '')) AS word FROM q), p AS (SELECT word, id, size, count(*) AS tf FROM (SELECT id, len(w) AS size, unnest(w) AS word FROM dw) WHERE word IN (SELECT word FROM qw) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM p GROUP BY 1), sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))), 9) AS score FROM p JOIN df USING (word) JOIN qw USING (word), shape GROUP BY ALL), kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc)"
 
 
+def _texts(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
 def _text_queries(spark, sf):
     return table(spark, sf, "benchmark").filter("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("keyword_search", f"WITH {WORDS} SELECT query_id, id, round(score, 6) AS score, rank FROM kr WHERE rank < 10")
 def keyword_search(spark, sf):
-    found = retrieval.keyword_search(memories(spark, sf), _text_queries(spark, sf), 10)
+    found = retrieval.keyword_search(_texts(spark, sf), _text_queries(spark, sf), 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("stored_keyword_search", f"WITH {WORDS} SELECT query_id, id, round(score, 6) AS score, rank FROM kr WHERE rank < 10")
+def stored_keyword_search(spark, sf):
+    """keyword_search from a stored index, which reads no text and skips blocks of postings that can't win."""
+    from ..operators.keyword_index import KeywordIndex
+
+    found = KeywordIndex.built(_texts(spark, sf), shared_folder(spark)).search(_text_queries(spark, sf), 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("indexed_search", None)
+def indexed_search(spark, sf):
+    """vector_search by the inverted-file index."""
+    from ..operators.vector_index import VectorIndex
+
+    found = VectorIndex.built(_items(spark, sf), shared_folder(spark)).search(_queries(spark, sf), 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -60,14 +82,24 @@ FUSED = f"WITH {WORDS}, {EMB}, vq AS (SELECT item_id AS query_id, e AS v FROM be
 @query("rank_fusion", FUSED + "SELECT query_id, id, round(score, 9) AS score FROM f")
 def rank_fusion(spark, sf):
     both = _text_queries(spark, sf).join(_items(spark, sf).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    lists = retrieval.fused(retrieval.nearest(_items(spark, sf), both.select("query_id", "vector"), 20), retrieval.keyword_search(memories(spark, sf), both.select("query_id", "text"), 20))
+    lists = retrieval.fused(retrieval.nearest(_items(spark, sf), both.select("query_id", "vector"), 20), retrieval.keyword_search(_texts(spark, sf), both.select("query_id", "text"), 20))
     return lists.select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query("hybrid_search", None)
+HYBRID = (
+    f"WITH RECURSIVE {MEMORIES_SQL}, {EMB}, {WORDS}, vq AS (SELECT item_id AS query_id, e AS v FROM benchmark JOIN emb ON id = item_id WHERE item_id % 5 = 0), "
+    f"vs AS (SELECT query_id, m.id, {COS} AS score FROM emb m JOIN mem USING (id), vq WHERE coalesce(quality_score, 0) = 0 OR quality_score >= 0.05), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM vs), "
+    "f AS (SELECT query_id, id, sum(1.0 / (rank + 61)) AS score FROM (SELECT query_id, id, rank FROM vr WHERE rank < 20 UNION ALL SELECT query_id, id, rank FROM kr WHERE rank < 20 AND query_id IN (SELECT query_id FROM vq)) GROUP BY ALL), "
+    f"c AS (SELECT f.query_id, f.id, f.score, e, round({COS}, 12) AS rel FROM f JOIN emb USING (id) JOIN vq USING (query_id)), "
+    "pick AS (SELECT query_id, 1 AS step, [min(id)] AS ids FROM (SELECT query_id, id, rank() OVER (PARTITION BY query_id ORDER BY round(0.7 * rel, 12) DESC) AS k FROM c) WHERE k = 1 GROUP BY query_id UNION ALL SELECT query_id, step + 1, list_append(ids, nid) FROM (SELECT p.query_id, p.step, p.ids, (SELECT x.id FROM (SELECT c.id, round(0.7 * c.rel - 0.3 * greatest(0, (SELECT max(round(list_cosine_similarity(c.e, o.e), 12)) FROM c o WHERE o.query_id = c.query_id AND list_contains(p.ids, o.id))), 12) AS val FROM c WHERE c.query_id = p.query_id AND NOT list_contains(p.ids, c.id)) x ORDER BY val DESC, x.id LIMIT 1) AS nid FROM pick p WHERE p.step < 5)), "
+    "o AS (SELECT query_id, unnest(ids) AS id, unnest(generate_series(0, 4))::INTEGER AS place FROM pick WHERE step = 5) SELECT query_id, id, round(score, 9) AS score, place FROM o JOIN c USING (query_id, id)"
+).replace("FROM documents), shape", "FROM documents WHERE doc_id IN (SELECT id FROM emb)), shape")
+
+
+@query("hybrid_search", HYBRID)
 def hybrid_search(spark, sf):
     both = _text_queries(spark, sf).join(_items(spark, sf).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    return retrieval.hybrid_search(vectors(spark, sf), both, 5)
+    return retrieval.hybrid_search(vectors(spark, sf), both, 5).withColumn("score", F.round("score", 9))
 
 
 @query("diverse_results", f"WITH RECURSIVE {EMB}, {QUERY}, s AS (SELECT query_id, id, e, round({COS}, 12) AS rel FROM emb, q), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, id) AS r FROM s) WHERE r <= 12), pick AS (SELECT query_id, 1 AS step, [min(id)] AS ids FROM (SELECT query_id, id, rank() OVER (PARTITION BY query_id ORDER BY round(0.7 * rel, 12) DESC) AS k FROM c) WHERE k = 1 GROUP BY query_id UNION ALL SELECT query_id, step + 1, list_append(ids, nid) FROM (SELECT p.query_id, p.step, p.ids, (SELECT x.id FROM (SELECT c.id, round(0.7 * c.rel - 0.3 * greatest(0, (SELECT max(round(list_cosine_similarity(c.e, o.e), 12)) FROM c o WHERE o.query_id = c.query_id AND list_contains(p.ids, o.id))), 12) AS val FROM c WHERE c.query_id = p.query_id AND NOT list_contains(p.ids, c.id)) x ORDER BY val DESC, x.id LIMIT 1) AS nid FROM pick p WHERE p.step < 5)) SELECT query_id, id, place FROM (SELECT query_id, unnest(ids) AS id, unnest(generate_series(0, 4))::INTEGER AS place FROM pick WHERE step = 5)")
@@ -157,7 +189,15 @@ def topic_boundaries(spark, sf, run: int = 1024):
     return items.join(order, "id").join(last, "before", "left").select("id", F.round(near, 6).alias("similarity"), (near.isNull() | (near < 0.1)).alias("opens"))
 
 
-@query("context_blocks", None)
+HEAD, FOOT = (x.replace("'", "''") for x in (retrieval.CONTEXT_HEAD, retrieval.CONTEXT_FOOT))
+BLOCKS = (
+    NEAR + f", {MEMORIES_SQL}, t AS (SELECT query_id, rank, chr(10) || '---' || chr(10) || '[' || (rank + 1) || '] (source: ' || source || ', score: ' || printf('%.2f', score) || ')' || chr(10) || content || chr(10) AS entry FROM r JOIN mem USING (id) WHERE rank < 5), "
+    "u AS (SELECT *, sum(octet_length(encode(entry))) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM t) "
+    f"SELECT query_id, '{HEAD}' || coalesce(string_agg(entry, '' ORDER BY rank) FILTER (WHERE used <= {2048 * 4 - len(retrieval.CONTEXT_HEAD.encode()) - len(retrieval.CONTEXT_FOOT)}), '') || '{FOOT}' AS context FROM u GROUP BY query_id"
+)
+
+
+@query("context_blocks", BLOCKS)
 def context_blocks(spark, sf):
     found = retrieval.nearest(vectors(spark, sf), _queries(spark, sf), 5)
     return retrieval.context_block(found.join(memories(spark, sf).select("id", "source", "content"), "id"))
@@ -201,4 +241,4 @@ def merged_memories(spark, sf):
     from ..operators.merging import merged
 
     with_checkpoints(spark)
-    return merged(vectors(spark, sf).select("id", "content", "embedding", "hit_count", "created_at"), 0.3, scan=None)
+    return merged(vectors(spark, sf).select("id", "content", "embedding", "hit_count", "created_at"), 0.3, scan=None).select("id", "content", "absorbed")

@@ -246,10 +246,13 @@ def write_summaries(spark, sf):
 
 @query("delta_texts", "SELECT conv_id, string_agg(delta, '' ORDER BY turn, part) AS said FROM (SELECT conv_id, turn, unnest([1, 2]) AS part, unnest([substr(text, 1, 20), substr(text, 21)]) AS delta FROM conversations WHERE role = 'assistant') GROUP BY conv_id")
 def delta_texts(spark, sf):
-    """Texts put together again from streamed pieces."""
-    rows = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.array(F.substring("text", 1, 20), F.expr("substr(text, 21)"))).alias("part", "delta"))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "part", "delta")))
-    return rows.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.transform("p", lambda x: x["delta"]), "").alias("said"))
+    """Replies put together again from the events of a stream, two pieces a reply."""
+    from ..streaming.streams import joined_pieces, text_pieces
+
+    said = table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.array(F.substring("text", 1, 20), F.expr("substr(text, 21)"))).alias("part", "text"))
+    event = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), "text").alias("delta")))
+    events = said.select(F.col("conv_id").alias("message"), (F.col("turn") * 2 + F.col("part")).cast("bigint").alias("place"), event.alias("data"), F.lit(None).cast("timestamp").alias("at"))
+    return joined_pieces(text_pieces(events)).select(F.col("message").alias("conv_id"), "said")
 
 
 @query("heading_sections", "WITH s AS (SELECT doc_id, pos, 'H' || ((pos // 2) % 3) AS heading, line AS text FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''), o AS (SELECT *, CASE WHEN lag(heading) OVER w IS NULL OR lag(heading) OVER w <> heading THEN 1 ELSE 0 END AS opens FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM o) SELECT doc_id, section::BIGINT AS section, any_value(heading) AS heading, '## ' || any_value(heading) || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM g GROUP BY doc_id, section")

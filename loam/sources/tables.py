@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -22,6 +23,12 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The path of a new folder that driver and executors share, below that of with_checkpoints."""
+    root = with_checkpoints(spark).conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/loam-{uuid.uuid4().hex}"
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, content, source, created_at, hit_count, last_retrieved, quality_score and content_score of each document."""
     docs, events, labels = (table(spark, sf_dir, n) for n in ("documents", "events", "labels"))

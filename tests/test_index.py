@@ -77,3 +77,10 @@ def test_pivot_join_edges(spark):
     items = spark.createDataFrame(rows, "id bigint, embedding array<double>")
     assert sorted((r.a, r.b) for r in curation.similar_pairs(items, 0.5).collect()) == [(1, 2), (6, 7)]
     assert curation.similar_pairs(items.limit(0), 0.5).count() == 0
+
+
+def test_indexed_query_recalls_nine_in_ten(spark, sf_dir):
+    from loam.plans import QUERIES
+
+    share, n, m = recall(QUERIES["indexed_search"](spark, sf_dir), QUERIES["vector_search"](spark, sf_dir))
+    assert share >= 0.9 and n == m == 100

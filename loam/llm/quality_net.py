@@ -1,11 +1,14 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with calibrated probabilities.
 
-Every word has a sparse random index vector, drawn from its hash. A word's own vector is the sum of the index
-vectors of the words around it, over all documents; words are kept in 2**15 hashed places, so the table is
-8 MB whatever the corpus. A document is the mean of its words' vectors, the mean likeness of words side by
-side, and the length. A network of two layers, trained in
-numpy on at most `most_labelled` labelled documents (those of least hash), gives a logit; a temperature fitted
-on a fifth of them makes its probabilities honest.
+Every word has a sparse random index vector, drawn from its hash, and a vector of its own: the sum of the index vectors
+of the words beside it, over all documents, at unit length. A word has one once it was seen LEAST times; no two words
+share one. A document is the mean of its words' vectors, that mean's length (near 1 where a text says one thing over
+and over), the share of words without a vector, and the logarithm of their number. A network of two layers, trained in
+numpy on at most `most_labelled` labelled documents (those of least hash), gives a logit; a temperature fitted on a
+fifth of them makes its probabilities honest.
+
+The vectors of the `most_sent` most frequent words (72 bytes each) are broadcast; all others reach the documents by a
+shuffle of words. Which way a vector comes changes no score.
 
 Null and empty texts, and texts without words, have the zero vector and the score that the network gives it;
 rows are scored each by itself; labels of a document that differ count as the higher one, null labels not at
@@ -21,115 +24,306 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ddl, map_texts, process_cache, staged, text_column
 
-PLACES, DIM, NONZERO, REACH = 1 << 15, 64, 4, 2
-INPUTS = DIM + 2
+DIM, NONZERO, LEAST = 32, 4, 5
+INPUTS = DIM + 3
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-MAX_CACHED = 500_000
+#: Most words that a process remembers, and their most letters.
+MAX_CACHED, MAX_LETTERS = 400_000, 64
+MOST_SENT, DENSE = 1_000_000, 32_768
+#: Words and codes that a task holds before it hands them on.
+HELD = 2_000_000
 
 
-def word_place(word: str) -> int:
-    """Words are told apart in lower case, but words all in capitals from others."""
+def word_hash(word: str) -> int:
+    """Words are told apart in lower case, but words all in capitals from others. 64 bits, signed."""
     import xxhash
 
     shaped = f"^{word.lower()}" if len(word) > 1 and word.isupper() else word.lower()
-    return xxhash.xxh3_64_intdigest(shaped.encode()) % PLACES
+    return xxhash.xxh3_64_intdigest(shaped.encode()) - (1 << 63)
 
 
-def places_of(texts: list[str]):
-    """(places, counts): the places of all words of all texts, and how many each text has."""
+def hashes_of(texts: list[str]):
+    """(hashes, counts): the hashes of all words of all texts, and how many each text has."""
     import numpy as np
 
-    known = process_cache("word_places")
-    if len(known) > MAX_CACHED:
-        known.clear()
+    known = process_cache("word_hashes")
     words, counts = [], []
     for text in texts:
         own = TOKEN.findall(text)
         counts.append(len(own))
         words += own
-    for w in set(words) - known.keys():
-        known[w] = word_place(w)
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.array(counts, np.int64)
+    fresh = set(words) - known.keys()
+    if len(known) + len(fresh) > MAX_CACHED:
+        known.clear()
+        fresh = set(words)
+    known.update((w, word_hash(w)) for w in fresh)
+    found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    for w in fresh:
+        if len(w) > MAX_LETTERS:
+            del known[w]
+    return found, np.array(counts, np.int64)
+
+
+def index_code(hashes):
+    """The index vector of each word in 24 bits: NONZERO places of five bits and their signs."""
+    return ((hashes >> 7) & 0xFFFFFF).astype("uint32")
+
 
+def code_parts(codes):
+    """(place, sign) arrays for each of the NONZERO places of codes."""
+    return [((codes >> (5 * i)) & (DIM - 1), 1.0 - 2.0 * ((codes >> (5 * NONZERO + i)) & 1)) for i in range(NONZERO)]
 
-def index_vectors():
-    """(dimension, sign) of the nonzeros of each place's index vector; a last row of zeros stands for no word."""
+
+def binaries(values, starts):
+    """An Arrow column of the bytes of values, cut at starts (the first is 0)."""
     import numpy as np
+    import pyarrow as pa
 
-    rng = np.random.default_rng(20240229)
-    at = np.array([rng.permutation(DIM)[:NONZERO] for _ in range(PLACES)])
-    sign = rng.choice([-1.0, 1.0], (PLACES, NONZERO))
-    return np.vstack([at, np.zeros((1, NONZERO), np.int64)]), np.vstack([sign, np.zeros((1, NONZERO))])
+    raw = np.ascontiguousarray(values)
+    offsets = (np.append(starts, len(raw)) * raw.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def word_vectors(docs: DataFrame) -> DataFrame:
-    """place and d0 to d63: the sum of index vectors around each word, over all documents. Tasks add up before Spark does."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (a hash) and n, over all documents. Tasks add up before Spark does."""
 
     def compute(parts):
         import numpy as np
         import pyarrow as pa
 
-        at, sign = index_vectors()
-        total = np.zeros((PLACES + 1) * DIM)
+        held, size = [], 0
+
+        def summed():
+            words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+
         for part in parts:
-            places, counts = places_of(text_column(part, "text"))
-            # REACH places of no word between texts, so that no word sees another text.
-            ids = np.full(len(places) + REACH * len(counts), PLACES)
-            ids[np.arange(len(places)) + REACH * np.repeat(np.arange(len(counts)), counts)] = places
-            for step in range(1, REACH + 1):
-                a, b = ids[:-step], ids[step:]
-                both = (a != PLACES) & (b != PLACES)
-                a, b = a[both], b[both]
-                for word, near in ((a, b), (b, a)):
-                    for j in range(NONZERO):
-                        total += np.bincount(word * DIM + at[near, j], sign[near, j], len(total))
-        table = total.reshape(-1, DIM)[:PLACES]
+            words, n = np.unique(hashes_of(text_column(part, "text"))[0], return_counts=True)
+            held.append((words, n))
+            size += len(words)
+            if size > HELD:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield [pa.array(x) for x in held[0]]
+                    held, size = [], 0
+        if held:
+            yield [pa.array(x) for x in summed()]
+
+    return map_texts(docs.select("text"), ddl("word bigint, part_n bigint"), compute, most=4 << 20).groupBy("word").agg(F.sum("part_n").alias("n"))
+
+
+def word_contexts(docs: DataFrame, frequent, complete: bool) -> DataFrame:
+    """word, codes (of the words beside it) and sums (of their index vectors), in part: the DENSE first of frequent come as sums a task, all others as codes.
+
+    frequent: a broadcast (words in order of hash, their ranks by frequency); complete: whether it holds every word that gets a vector.
+    """
+
+    def compute(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        words, ranks = frequent.value
+        dense = np.sort(words[ranks < DENSE])
+        total = np.zeros(len(dense) * DIM)
+        held, size = [], 0
+
+        def given():
+            w, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(w, kind="stable")
+            w, c = w[order], c[order]
+            starts = np.flatnonzero(np.diff(w, prepend=w[0] - 1)) if len(w) else np.zeros(0, np.int64)
+            return [pa.array(w[starts]), binaries(c, starts), pa.nulls(len(starts), pa.binary())]
+
+        for part in parts:
+            hashes, counts = hashes_of(text_column(part, "text"))
+            if len(hashes) < 2:
+                continue
+            ends = np.cumsum(counts)
+            beside = np.ones(len(hashes) - 1, bool)
+            beside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False  # no word sees another text
+            # Of each different word once: whether it is frequent, and where.
+            different, place = np.unique(hashes, return_inverse=True)
+            at = np.minimum(np.searchsorted(dense, different), max(0, len(dense) - 1))
+            row = np.where(dense[at] == different, at, -1) if len(dense) else np.full(len(different), -1)
+            if complete:
+                spot = np.minimum(np.searchsorted(words, different), max(0, len(words) - 1))
+                wanted = (words[spot] == different) if len(words) else np.zeros(len(different), bool)
+            else:
+                wanted = np.ones(len(different), bool)
+            code = index_code(different)
+            a, b = place[:-1][beside], place[1:][beside]
+            for own, other in ((a, b), (b, a)):
+                inside = row[own] >= 0
+                base, codes = row[own[inside]] * DIM, code[other[inside]]
+                for where, sign in code_parts(codes):
+                    total += np.bincount(base + where, sign, len(total))
+                rest = ~inside & wanted[own]
+                held.append((different[own[rest]], code[other[rest]]))
+                size += int(rest.sum())
+            if size > HELD:
+                yield given()
+                held, size = [], 0
+        if size:
+            yield given()
+        table = total.reshape(-1, DIM)
         used = np.flatnonzero(table.any(axis=1))
-        yield [pa.array(used, pa.int32()), *(pa.array(table[used, i]) for i in range(DIM))]
+        yield [pa.array(dense[used]), pa.nulls(len(used), pa.binary()), binaries(table[used].astype(np.int32).ravel(), np.arange(len(used)) * DIM)]
+
+    return map_texts(docs.select("text"), ddl("word bigint, codes binary, sums binary"), compute, most=4 << 20)
+
 
-    columns = ", ".join(f"d{i} double" for i in range(DIM))
-    partial = map_texts(docs.select("text"), ddl(f"place int, {columns}"), compute, most=4 << 20)
-    return partial.groupBy("place").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(DIM)])
+def word_vectors(contexts: DataFrame) -> DataFrame:
+    """word and vector (half-precision bytes, unit length or zeros) of word_contexts: each word's rows stand together in a sorted partition and are added up batch by batch."""
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def unit_table(vectors: DataFrame):
-    """The word vectors at unit length, as an array of PLACES rows (8 MB)."""
+        last, pending = None, np.zeros(DIM)
+
+        def rows(words, sums):
+            unit = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
+            return pa.RecordBatch.from_arrays([pa.array(words), binaries(unit.astype(np.float16).ravel(), np.arange(len(words)) * DIM)], names=["word", "vector"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, place = np.unique(batch.column("word").to_numpy(), return_inverse=True)
+            total = np.zeros(len(words) * DIM)
+            codes, dense = batch.column("codes").to_pylist(), batch.column("sums").to_pylist()
+            lengths = np.array([len(c) // 4 if c else 0 for c in codes])
+            own = np.repeat(place, lengths) * DIM
+            for where, sign in code_parts(np.frombuffer(b"".join(c for c in codes if c), np.uint32)):
+                total += np.bincount(own + where, sign, len(total))
+            total = total.reshape(-1, DIM)
+            full = [i for i, d in enumerate(dense) if d]
+            if full:
+                np.add.at(total, place[full], np.frombuffer(b"".join(dense[i] for i in full), np.int32).reshape(-1, DIM))
+            if last is not None:
+                if words[0] == last:
+                    total[0] += pending
+                else:
+                    yield rows(np.array([last]), pending[None])
+            if len(words) > 1:
+                yield rows(words[:-1], total[:-1])
+            last, pending = words[-1], total[-1]
+        if last is not None:
+            yield rows(np.array([last]), pending[None])
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl("word bigint, vector binary"))
+
+
+def sent_table(vectors: DataFrame):
+    """(words, vectors) in order of hash, at half precision: at most MOST_SENT rows."""
     import numpy as np
 
-    table = np.zeros((PLACES, DIM), np.float32)
     rows = vectors.toArrow()
-    if rows.num_rows:
-        values = np.stack([rows[f"d{i}"].to_numpy() for i in range(DIM)], axis=1)
-        table[rows["place"].to_numpy()] = values / np.maximum(1e-9, np.linalg.norm(values, axis=1, keepdims=True))
-    return table
+    if not rows.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, DIM), np.float16)
+    words = rows["word"].to_numpy()
+    found = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float16).reshape(-1, DIM)
+    order = np.argsort(words)
+    return words[order], found[order]
 
 
-def pooled(docs: DataFrame, table) -> DataFrame:
-    """doc_id and vector: the mean of its words' vectors, the mean cosine of neighbouring words, and the logarithm of their number."""
+def summed_documents(docs: DataFrame, sent, complete: bool) -> DataFrame:
+    """doc_id, digest (of the text), n (words), known (words whose vector was sent), sums (of their vectors, as bytes) and, unless complete, others: the words without, and how often each is there."""
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
 
     def compute(parts):
         import numpy as np
-        import pyarrow as pa
 
-        vectors = table.value
+        words, vectors = sent.value
         for part in parts:
-            places, counts = places_of(text_column(part, "text"))
-            out = np.zeros((len(counts), INPUTS), np.float32)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            for i in range(0, len(places), 1 << 16):  # bounds the memory for one very long text, too
-                own = doc[i : i + (1 << 16)]
-                starts = np.flatnonzero(np.diff(own, prepend=-1))
-                word = vectors[places[i : i + (1 << 16)]]
-                out[own[starts], :DIM] += np.add.reduceat(word, starts, axis=0)
-                alike = np.einsum("ij,ij->i", word[1:], word[:-1]) * (own[1:] == own[:-1])
-                out[:, DIM] += np.bincount(own[1:], alike, len(counts))
-            out[:, :DIM] /= np.maximum(1, counts)[:, None]
-            out[:, DIM] /= np.maximum(1, counts - 1)
-            out[:, DIM + 1] = np.log1p(counts)
+            hashes, counts = hashes_of(text_column(part, "text"))
+            different, place = np.unique(hashes, return_inverse=True)
+            at = np.minimum(np.searchsorted(words, different), max(0, len(words) - 1))
+            row = np.where(words[at] == different, at, -1) if len(words) else np.full(len(different), -1)
+            own = np.zeros((len(different) + 1, DIM), np.float32)
+            own[np.flatnonzero(row >= 0)] = vectors[row[row >= 0]]
+            ends = np.cumsum(counts)
+            sums, known, others = np.zeros((len(counts), DIM)), [], []
+            for i, (start, end) in enumerate(zip(ends - counts, ends)):
+                mine, times = np.unique(place[start:end], return_counts=True)
+                there = row[mine] >= 0
+                sums[i] = times[there].astype(float) @ own[mine[there]]
+                known.append(int(times[there].sum()))
+                others.append([] if complete else [{"word": int(w), "times": int(t)} for w, t in zip(different[mine[~there]], times[~there])])
+            yield [part.column("doc_id"), part.column("digest"), counts.tolist(), known, [x.tobytes() for x in sums], others]
+
+    return map_texts(keyed, ddl("doc_id bigint, digest bigint, n bigint, known bigint, sums binary, others array<struct<word: bigint, times: bigint>>"), compute, most=4 << 20)
+
+
+def with_others(summed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """summed with added (bytes) and found: the sum of the vectors, and number, of words whose vector comes by shuffle."""
+    rows = summed.select("doc_id", "digest", F.explode("others").alias("o")).select("doc_id", "digest", "o.word", "o.times").dropDuplicates(["doc_id", "digest", "word"])
+    hit = rows.join(vectors, "word").repartition("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "word")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, total, found = None, None, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([total.tobytes()]), pa.array([found], pa.int64())], names=["own_id", "own_digest", "added", "found"])
+
+        for batch in batches:
+            for doc, digest, times, vector in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "times", "vector"))):
+                if (doc, digest) != last:
+                    if last:
+                        yield row()
+                    last, total, found = (doc, digest), np.zeros(DIM), 0
+                total += times * np.frombuffer(vector, np.float16).astype(np.float32)
+                found += times
+        if last:
+            yield row()
+
+    added = hit.mapInArrow(run, ddl("own_id bigint, own_digest bigint, added binary, found bigint"))
+    return summed.drop("others").join(added, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left").drop("own_id", "own_digest")
+
+
+def pooled(docs: DataFrame, least: int = LEAST, most_sent: int = MOST_SENT) -> DataFrame:
+    """doc_id and vector (INPUTS floats) of each row of docs."""
+    import numpy as np
+
+    spark = docs.sparkSession
+    counts = staged(word_counts(docs).filter(F.col("n") >= least), "words")
+    top = counts.orderBy(F.desc("n"), "word").limit(most_sent).toArrow()  # 16 bytes each
+    words = top["word"].to_numpy() if top.num_rows else np.zeros(0, np.int64)
+    order = np.argsort(words)
+    complete = counts.count() <= most_sent
+    frequent = spark.sparkContext.broadcast((words[order], order))
+    vectors = word_vectors(word_contexts(docs, frequent, complete))
+    if complete:
+        sent = spark.sparkContext.broadcast(sent_table(vectors))
+        summed = summed_documents(docs, sent, True).drop("others").withColumns({"added": F.lit(None).cast("binary"), "found": F.lit(0).cast("bigint")})
+    else:
+        own = staged(vectors.join(counts.select("word"), "word", "left_semi"), "vectors")
+        first = counts.orderBy(F.desc("n"), "word").limit(most_sent).select("word")
+        sent = spark.sparkContext.broadcast(sent_table(own.join(first, "word", "left_semi")))
+        summed = with_others(staged(summed_documents(docs, sent, False), "summed"), own)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(float)
+            known = batch.column("known").to_numpy() + np.nan_to_num(batch.column("found").to_numpy(zero_copy_only=False).astype(float))
+            sums = np.array([np.frombuffer(x) for x in batch.column("sums").to_pylist()]).reshape(-1, DIM)
+            for i, more in enumerate(batch.column("added").to_pylist()):
+                if more:
+                    sums[i] = sums[i] + np.frombuffer(more)
+            out = np.zeros((len(n), INPUTS), np.float32)
+            out[:, :DIM] = sums / np.maximum(1, known)[:, None]
+            out[:, DIM] = np.linalg.norm(out[:, :DIM], axis=1)
+            out[:, DIM + 1] = 1 - known / np.maximum(1, n)
+            out[:, DIM + 2] = np.log1p(n)
             offsets = pa.array(np.arange(0, len(out) * INPUTS + 1, INPUTS, dtype=np.int32))
-            yield [part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["doc_id", "vector"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ddl("doc_id bigint, vector array<float>"), compute)
+    return summed.mapInArrow(run, ddl("doc_id bigint, vector array<float>"))
 
 
 class Network:
@@ -194,13 +388,12 @@ def fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, threshold: float = 0.3, least: int = LEAST, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs; labels (doc_id, quality) teach only where crc32(doc_id) mod 5 isn't 0."""
     import numpy as np
 
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(unit_table(word_vectors(docs)))
-    vectors = staged(pooled(docs, table), "pooled")
+    vectors = staged(pooled(docs, least, most_sent), "pooled")
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).filter(fold(F.col("doc_id")) != 0)
     taught = known.join(vectors, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(most_labelled).select("vector", "quality").collect()
     x = np.array([r.vector for r in taught], float).reshape(len(taught), INPUTS)

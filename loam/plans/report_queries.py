@@ -181,10 +181,12 @@ def stage_tallies(spark, sf):
     return events(spark, sf).groupBy((F.col("k") % 3).alias("run"), F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("write_counters", "SELECT source, count(*) FILTER (WHERE doc_id % 3 = 0) AS stored, count(*) FILTER (WHERE doc_id % 3 = 1) AS duplicates, count(*) FILTER (WHERE doc_id % 3 = 2) AS filtered FROM documents GROUP BY source")
-def write_counters(spark, sf):
-    d = F.col("doc_id") % 3
-    return table(spark, sf, "documents").groupBy("source").agg(F.count_if(d == 0).alias("stored"), F.count_if(d == 1).alias("duplicates"), F.count_if(d == 2).alias("filtered"))
+@query("prompt_lengths", "WITH s AS (SELECT role, list_sort(list(length(text))) AS v FROM conversations GROUP BY role) SELECT role, len(v)::BIGINT AS n, v[1] AS least, v[len(v) // 4 + 1] AS low, v[len(v) // 2 + 1] AS middle, v[3 * len(v) // 4 + 1] AS high, v[len(v)] AS most FROM s")
+def prompt_lengths(spark, sf):
+    """Quartiles of the texts' lengths."""
+    rows = table(spark, sf, "conversations").select("role", F.length("text").cast("bigint").alias("size"))
+    at = {"least": lambda n: F.lit(1), "low": lambda n: F.floor(n / 4) + 1, "middle": lambda n: F.floor(n / 2) + 1, "high": lambda n: F.floor(3 * n / 4) + 1, "most": lambda n: n}
+    return rows.groupBy("role").agg(F.count("*").alias("n")).join(at_ranks(rows, ["role"], "size", at), "role").select("role", "n", *at)
 
 
 @query("steward_totals", "SELECT sum(s)::BIGINT AS scored, sum(p)::BIGINT AS pruned, max(t) AS elapsed FROM (SELECT event_type, count(*) AS s, count(*) FILTER (WHERE value < 1) AS p, max(value) AS t FROM events GROUP BY 1)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..functions import gates, vectors as V
 from ..operators import curation, retrieval, scoring
 from ..operators.embed import hash_embedded
 from ..sources.tables import MEMORIES_SQL, memories, shared_folder, table, vectors, with_checkpoints
@@ -122,9 +122,7 @@ PROTO = f"WITH {EMB}, g AS (SELECT m.id, list_cosine_similarity(m.e, p.e) AS s F
 @query("content_scores", PROTO + "SELECT id, round(CASE WHEN q + n <= 0 THEN 0.5 ELSE least(1, greatest(0, q / (q + n))) END, 6) AS score FROM a")
 def content_scores(spark, sf):
     """The first 16 vectors stand for texts worth keeping and for noise."""
-    items = _items(spark, sf)
-    protos = [list(r["embedding"]) for r in items.filter("id < 16").orderBy("id").collect()]  # 16 rows
-    return scoring.scored(items.select("id", "embedding"), protos[:6], protos[6:]).select("id", F.round("content_score", 6).alias("score"))
+    return _content_scores(spark, sf).select("id", F.round("content_score", 6).alias("score"))
 
 
 @query("default_scores", None)
@@ -135,9 +133,24 @@ def default_scores(spark, sf):
     return scoring.scored(docs, good, noise).select("doc_id", F.round("content_score", 6).alias("score"))
 
 
-@query("half_lives", "SELECT doc_id, round(604800 + ((doc_id % 11) / 10.0) * (7776000 - 604800), 3) AS seconds FROM documents")
+PROTO_SCORE = "CASE WHEN q + n <= 0 THEN 0.5 ELSE least(1, greatest(0, q / (q + n))) END"
+
+
+def _content_scores(spark, sf):
+    items = _items(spark, sf)
+    protos = [list(r["embedding"]) for r in items.filter("id < 16").orderBy("id").collect()]  # 16 rows
+    return scoring.scored(items.select("id", "embedding"), protos[:6], protos[6:])
+
+
+@query("half_lives", PROTO + f"SELECT id, round(604800 + ({PROTO_SCORE}) * (7776000 - 604800), 0) AS seconds FROM a")
 def half_lives(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(V.scaled_half_life((F.col("doc_id") % 11) / 10.0), 3).alias("seconds"))
+    """How long a memory is held, by its content score."""
+    return _content_scores(spark, sf).select("id", F.round(V.scaled_half_life(F.col("content_score")), 0).alias("seconds"))
+
+
+@query("store_gate", PROTO + f"SELECT id, round({PROTO_SCORE}, 9) < 0.35 AS stopped FROM a")
+def store_gate(spark, sf):
+    return _content_scores(spark, sf).select("id", gates.below_store_gate(F.round("content_score", 9), 0.35).alias("stopped"))
 
 
 PAIRS = f"WITH {EMB}, p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS similarity FROM emb x JOIN emb y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.3) "

@@ -160,11 +160,6 @@ def response_text(spark, sf):
     return rows.select("conv_id", T.response_text(body).alias("reply"))
 
 
-@query("store_gate", EX + "SELECT id, score < 0.35 AS stopped FROM ex")
-def store_gate(spark, sf):
-    return exchanges(spark, sf).select("id", gates.below_store_gate(F.col("score"), 0.35).alias("stopped"))
-
-
 VALUE = r"regexp_extract(substr(v, strpos(lower(v), k) + length(k)), '^[ \t\x22\x27]*[=:][ \t\x22\x27]*([^ \t\n\x22\x27,;]+)', 1)"
 VALUES = (
     "list_reduce(list_prepend(line, [" + ", ".join(f"'{k}'" for k in T.SENSITIVE) + f"]), lambda v, k: CASE WHEN contains(lower(v), k) AND length({VALUE}) >= 4 AND NOT starts_with({VALUE}, '[REDACTED') "
@@ -233,15 +228,39 @@ def skip_replies(spark, sf):
     return exchanges(spark, sf).select("id", gates.is_skip(reply).alias("skip"))
 
 
-SUMMARY = "WITH s AS (SELECT source, count(*) FILTER (WHERE doc_id % 3 = 0) AS a, count(*) FILTER (WHERE doc_id % 50 = 1) AS b, count(*) FILTER (WHERE doc_id % 90 = 2) AS c FROM documents GROUP BY source) "
+FATES = (
+    DOCS + f", n AS (SELECT doc_id, octet_length(encode(t)) < 80 OR {ratio_sql('t')} < 0.60 AS noise FROM d), "
+    "f AS (SELECT doc_id, source, lang, CASE WHEN noise THEN 'filtered' WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 'duplicate' ELSE 'stored' END AS fate FROM documents JOIN n USING (doc_id)), "
+    "s AS (SELECT {by}, count(*) FILTER (WHERE fate = 'stored') AS stored, count(*) FILTER (WHERE fate = 'duplicate') AS duplicates, count(*) FILTER (WHERE fate = 'filtered') AS filtered FROM f GROUP BY {by}) "
+)
+
+
+def _fate_counts(spark, sf, by):
+    """How many documents are noise, copies of an earlier one, or neither; equal texts are one row before they are looked at."""
+    docs = table(spark, sf, "documents").select("doc_id", by, "text", F.sha2("text", 256).alias("digest"))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    told = docs.withColumn("noise", gates.is_noise(F.col("text"), 80, 0.60)).join(first, ["digest", "doc_id"], "left")
+    fate = F.when(F.col("noise"), "filtered").when(F.col("first"), "stored").otherwise("duplicate")
+    of = lambda kind: F.count_if(F.col("fate") == kind)
+    return told.select(by, fate.alias("fate")).groupBy(by).agg(of("stored").alias("stored"), of("duplicate").alias("duplicates"), of("filtered").alias("filtered"))
+
+
+@query("write_counters", FATES.replace("{by}", "source") + "SELECT * FROM s")
+def write_counters(spark, sf):
+    return _fate_counts(spark, sf, "source")
+
+
+@query("tier_summaries", FATES.replace("{by}", "lang") + "SELECT lang AS tier, stored + duplicates + filtered AS sent, stored, duplicates, filtered, round(stored * 1.0 / (stored + duplicates + filtered), 6) AS rate FROM s")
+def tier_summaries(spark, sf):
+    """Sent, stored and left out, by tier; here the tiers are the languages."""
+    sent = F.col("stored") + F.col("duplicates") + F.col("filtered")
+    return _fate_counts(spark, sf, "lang").select(F.col("lang").alias("tier"), sent.alias("sent"), "stored", "duplicates", "filtered", F.round(F.col("stored") / sent, 6).alias("rate"))
 
 
-@query("write_summaries", SUMMARY + "SELECT source, CASE WHEN a + b + c = 0 THEN 'Nothing to store.' ELSE concat_ws(', ', CASE WHEN a > 0 THEN a || ' stored' END, CASE WHEN b > 0 THEN b || ' skipped (duplicate)' END, CASE WHEN c > 0 THEN c || ' skipped (too short/noisy)' END) || '.' END AS summary, b AS duplicates FROM s")
+@query("write_summaries", FATES.replace("{by}", "source") + "SELECT source, CASE WHEN stored + duplicates + filtered = 0 THEN 'Nothing to store.' ELSE concat_ws(', ', CASE WHEN stored > 0 THEN stored || ' stored' END, CASE WHEN duplicates > 0 THEN duplicates || ' skipped (duplicate)' END, CASE WHEN filtered > 0 THEN filtered || ' skipped (too short/noisy)' END) || '.' END AS summary, duplicates FROM s")
 def write_summaries(spark, sf):
-    d = F.col("doc_id")
-    counted = table(spark, sf, "documents").groupBy("source").agg(F.count_if(d % 3 == 0).alias("a"), F.count_if(d % 50 == 1).alias("b"), F.count_if(d % 90 == 2).alias("c"))
-    said = counted.withColumn("summary", T.write_summary(F.col("a"), F.lit(0), F.col("b"), F.lit(0), F.col("c")))
-    return said.select("source", "summary", T.summary_count(F.col("summary"), r"skipped \(duplicate\)").alias("duplicates"))
+    said = _fate_counts(spark, sf, "source").withColumn("summary", T.write_summary(F.col("stored"), F.lit(0), F.col("duplicates"), F.lit(0), F.col("filtered")))
+    return said.select("source", "summary", T.summary_count(F.col("summary"), r"skipped \(duplicate\)").cast("bigint").alias("duplicates"))
 
 
 @query("delta_texts", "SELECT conv_id, string_agg(delta, '' ORDER BY turn, part) AS said FROM (SELECT conv_id, turn, unnest([1, 2]) AS part, unnest([substr(text, 1, 20), substr(text, 21)]) AS delta FROM conversations WHERE role = 'assistant') GROUP BY conv_id")

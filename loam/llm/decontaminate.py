@@ -6,7 +6,7 @@ item; an item of fewer words, but not none, is one window.
 
 The set is broadcast in blocks of at most MAX_WINDOWS windows, whatever the benchmark's size; documents pass
 each block in turn. Null or empty texts have no words and stay clean; an item without words is ignored; items
-with equal text are each counted; repeated documents are judged each by itself; without items nothing is hit;
+with equal text are each counted; one without an id goes by the id `None`; repeated documents are judged each by itself; without items nothing is hit;
 input columns named like a result are replaced.
 """
 

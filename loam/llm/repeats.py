@@ -94,7 +94,7 @@ def marked(docs: DataFrame) -> DataFrame:
                     ends.append(np.array(at[2:], np.int64) + base)
                     docs_at.append(np.full(len(d) - 1, i))
                     bases.append(np.full(len(d) - 1, base))
-                    tags.append(np.full(len(d) - 1, digest_of(text) & 0x7FFF))
+                    tags.append(np.full(len(d) - 1, digest_of(text) & 0x7FFFFFFF))
                 base += len(text)
             if not digests:
                 continue
@@ -154,7 +154,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 13, least_chars: int = 64
         out = []
         for text, found in zip(part.column("text").to_pylist(), part.column("repeated_spans").to_pylist()):
             if text and found:
-                tag = xxhash.xxh3_64_intdigest(text.encode()) & 0x7FFF
+                tag = xxhash.xxh3_64_intdigest(text.encode()) & 0x7FFFFFFF
                 for span in reversed([s for s in found if s["tag"] == tag]):
                     text = text[: span["start"]] + text[span["end"] :]
             out.append(text)

@@ -59,3 +59,9 @@ def test_columns_with_any_names_come_back(spark):
     for most in (1, 100):
         rows = D.find_contamination(docs, bench, max_windows=most).collect()
         assert sorted((r.hit_at, r.had_at, r.clean, r.n_hit, r.contaminated) for r in rows) == [(5, "x", True, 10, True), (6, "y", False, 0, False)]
+
+
+def test_an_item_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in D.find_contamination(docs, spark.createDataFrame([(None, "a b"), (7, "b c")], "item_id bigint, text string")).collect()}
+    assert rows[1].n_items == 2 and rows[1].items_sha256 == hashlib.sha256(b"7,None").hexdigest() and not rows[2].contaminated

@@ -61,3 +61,42 @@ def test_rows_without_ids_lose_their_repeats_too(spark):
     assert sorted((r.doc_id is None, r.first_doc_id, r.kept) for r in found) == [(False, 1, True), (True, 1, False)]
     left = {len(r.text) < len(passage) / 2 for r in repeats.remove_repeats(docs).collect() if r.doc_id is None}
     assert left == {True} and repeats.remove_repeats(docs).count() == 3
+
+
+def runs_of(text, n):
+    """Every run of n words of a text."""
+    w = (text or "").split()
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_whole_table_against_all_common_runs(spark, sf_dir):
+    """Every document that has 51 words in a row in common with another is found, and none that has not even 12."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").collect()}
+
+    def sharing(n):
+        owners, out = {}, set()
+        for i, text in docs.items():
+            for run in runs_of(text, n):
+                first = owners.setdefault(run, i)
+                if first != i:
+                    out |= {i, first}
+        return out
+
+    found = repeats.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    got, long = {r.doc_id for r in found}, sharing(51)
+    assert len(long & got) >= 0.96 * len(long) and len(long) > 50
+    assert got <= sharing(12)
+    # What is missed says one thing over and over, so that it has few chunk ends.
+    assert all(len(set(docs[i].split())) < 0.1 * len(docs[i].split()) for i in long - got)
+
+
+def test_rows_of_one_id_keep_their_own_places(spark):
+    rng = random.Random(9)
+    shared = [words(rng, 60) for _ in range(200)]
+    rows = [(i, f"{words(rng, 20)} {p}") for i, p in enumerate(shared)] + [(1000, f"{words(rng, rng.randrange(5, 90))} {p} {words(rng, 20)}") for p in shared]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = [r.text for r in repeats.remove_repeats(docs).collect() if r.doc_id == 1000]
+    middles = [" ".join(p.split()[20:40]) for p in shared]
+    assert len(left) == 200 and sum(any(m in t for m in middles) for t in left) <= 4
+    starts = {t.split()[0] for i, t in rows if i == 1000}
+    assert {t.split()[0] for t in left} <= starts and min(len(t.split()) for t in left) >= 20

@@ -189,12 +189,15 @@ def source_extensions(spark, sf):
 
 @query("topic_boundaries", f"WITH {EMB}, x AS (SELECT id, list_cosine_similarity(e, lag(e) OVER (ORDER BY id)) AS s FROM emb) SELECT id, round(s, 6) AS similarity, s IS NULL OR s < 0.1 AS opens FROM x")
 def topic_boundaries(spark, sf, run: int = 1024):
-    """Likeness of neighbours. The row before is looked for in runs of ids; the first of a run has the last of the run before that isn't empty, so that no task orders them all."""
+    """Likeness of neighbours. The row before is looked for in runs of ids; the first of a run has the last of the run before, and the first run of a run of runs that of the one before, so that no task orders more than a run, or the runs of runs."""
     from pyspark.sql import Window
 
     items = _items(spark, sf).select("id", "embedding", F.expr(f"id div {run}").alias("run"))
-    lasts = items.groupBy("run").agg(F.max("id").alias("last_id"))  # a row a run
-    carried = lasts.select("run", F.lag("last_id").over(Window.orderBy("run")).alias("carried"))
+    lasts = items.groupBy("run").agg(F.max("id").alias("last_id")).withColumn("above", F.expr(f"run div {run}"))
+    higher = lasts.groupBy("above").agg(F.max("last_id").alias("last_id"))  # a row for a million ids
+    far = higher.select("above", F.lag("last_id").over(Window.orderBy("above")).alias("far"))
+    near_run = lasts.select("run", "above", F.lag("last_id").over(Window.partitionBy("above").orderBy("run")).alias("near"))
+    carried = near_run.join(far, "above").select("run", F.coalesce("near", "far").alias("carried"))
     inside = items.select("id", "run", F.lag("id").over(Window.partitionBy("run").orderBy("id")).alias("inside"))
     order = inside.join(carried, "run").select("id", F.coalesce("inside", "carried").alias("before"))
     last = items.select(F.col("id").alias("before"), F.col("embedding").alias("last"))

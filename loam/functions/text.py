@@ -45,6 +45,21 @@ def response_text(body: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"), F.lit(""))
 
 
+def turns(request: Column) -> Column:
+    """The messages of a request in JSON that say something, by user or assistant, in order: array of role and content. Content is a string, or blocks of which those of type text count, one to a line; null without a list of messages."""
+    listed = F.get_json_object(request, "$.messages")
+    plain = F.from_json(listed, "array<struct<role: string, content: string>>")
+    blocks = F.from_json(listed, "array<struct<role: string, content: array<struct<type: string, text: string>>>>")
+    said = lambda found: F.array_join(F.transform(F.filter(found, lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"]), "\n")
+    both = F.transform(plain, lambda m, i: F.struct(m["role"].alias("role"), F.coalesce(said(F.get(blocks, i)["content"]), m["content"]).alias("content")))
+    return F.filter(both, lambda m: m["role"].isin("user", "assistant") & (m["content"] != ""))
+
+
+def qa_pair(question: Column, answer: Column) -> Column:
+    """A question and its answer as one entry, both trimmed."""
+    return F.concat(F.lit("**Q:** "), trim_white(question), F.lit("\n\n**A:** "), trim_white(answer))
+
+
 def html_to_text(html: Column) -> Column:
     """Text of a page: scripts, then styles, then what is for browsers without scripts, then tags go; all character references are decoded once; blank runs collapse."""
     bare = reduce(lambda t, tag: F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", ""), ("script", "style", "noscript"), html)

@@ -216,9 +216,39 @@ def transcripts(spark, sf):
     return rows.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.array_join(F.transform("parts", lambda p: p["said"]), "\n\n").alias("transcript"))
 
 
-@query("exchange_format", EX + "SELECT id, 'Q: ' || user_msg || chr(10) || chr(10) || 'A: ' || answer AS qa FROM ex")
+@query("exchange_format", EX + f"SELECT id, '**Q:** ' || {trim_sql('user_msg')} || chr(10) || chr(10) || '**A:** ' || {trim_sql('answer')} AS qa FROM ex")
 def exchange_format(spark, sf):
-    return exchanges(spark, sf).select("id", F.format_string("Q: %s\n\nA: %s", "user_msg", "answer").alias("qa"))
+    return exchanges(spark, sf).select("id", T.qa_pair(F.col("user_msg"), F.col("answer")).alias("qa"))
+
+
+@query("conversation_turns", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, text AS content FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''")
+def conversation_turns(spark, sf):
+    """The turns of requests in JSON, in which every other message is a list of blocks."""
+    blocks = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text"), F.struct(F.lit("image").alias("type"), F.lit("no").alias("text"))).alias("content"))
+    message = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role", F.col("text").alias("content")))).otherwise(F.to_json(blocks))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("m"))
+    request = F.concat(F.lit('{"model": "any", "messages": ['), F.array_join(F.transform("m", lambda x: x["m"]), ","), F.lit("]}"))
+    return rows.select("conv_id", F.posexplode(T.turns(request)).alias("place", "t")).select("conv_id", F.col("place").cast("bigint").alias("place"), "t.role", "t.content")
+
+
+TOPICS = (
+    "WITH RECURSIVE x AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, octet_length(encode(text)) AS size, embedding::DOUBLE[] AS e FROM embeddings JOIN documents ON vec_id = doc_id), "
+    "st AS (SELECT label, pos, 1 AS topic, size, e FROM x WHERE pos = 0 UNION ALL SELECT label, pos, CASE WHEN o THEN topic + 1 ELSE topic END, CASE WHEN o THEN grown ELSE size + 2 + grown END, e "
+    "FROM (SELECT x.label, x.pos, st.topic, st.size, x.size AS grown, x.e, list_cosine_similarity(st.e, x.e) < -0.05 OR st.size + 2 + x.size > 20000 AS o FROM st JOIN x ON x.label = st.label AND x.pos = st.pos + 1)) "
+    "SELECT label AS doc_id, pos, topic FROM st"
+)
+
+
+@query("topic_groups", TOPICS)
+def topic_groups(spark, sf):
+    """Groups of neighbours, by likeness and size; documents that have a vector, in order, a sequence for each label."""
+    from pyspark.sql import Window
+
+    from ..operators.chunking import topic_groups as grouped
+
+    rows = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    pos = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("pos")
+    return grouped(rows.select(F.col("label").alias("doc_id"), pos, "text", "embedding"), -0.05, 20_000)
 
 
 @query("skip_replies", EX + "SELECT id, CASE id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS skip FROM ex")

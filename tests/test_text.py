@@ -185,3 +185,11 @@ def test_sections_are_what_stands_under_a_heading(spark):
 def test_store_gate(spark, least, want):
     rows = spark.createDataFrame([(0, 0.2), (1, 0.35), (2, None)], "i int, score double")
     assert [r[0] for r in rows.orderBy("i").select(gates.below_store_gate(F.col("score"), least)).collect()] == want
+
+
+def test_turns_of_requests(spark):
+    body = '{"messages": [{"role": "user", "content": "hi"}, {"role": "system", "content": "no"}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": ""}, {"type": "text", "text": "b"}]}, {"role": "user", "content": ""}, {"role": "user", "content": "[1]"}, {"role": "assistant", "content": [{"type": "image"}]}]}'
+    got = column(spark, [body, '{"other": 1}', "no json", '{"messages": []}'], T.turns)
+    assert [(t.role, t.content) for t in got[0]] == [("user", "hi"), ("assistant", "a\nb"), ("user", "[1]")] and not any(got[1:])
+    row = spark.createDataFrame([(" Why?\n", "Because. ")], "q string, a string").select(T.qa_pair(F.col("q"), F.col("a"))).first()
+    assert row[0] == "**Q:** Why?\n\n**A:** Because."

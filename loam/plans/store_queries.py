@@ -8,6 +8,7 @@ from ..functions import gates, text as T
 from ..operators import curation, records
 from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, crawled, memories, table
 from .registry import query
+from .text_queries import ROUTINE, SAID, trim_sql
 
 WITH = "WITH " + MEMORIES_SQL
 
@@ -191,12 +192,15 @@ query("sweep_all", SWEEP.format(n=1_000_000_000))(_sweep(None))
 EX = "WITH " + EXCHANGES_SQL
 
 
-@query("gate_cascade", EX + ", s AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN NULL WHEN turn % 3 = 0 THEN 'SKIP because' ELSE answer END AS reply FROM ex) SELECT id, CASE WHEN octet_length(encode(trim(answer))) < 400 THEN 'length_filter' WHEN score < 0.35 THEN 'content_score_filter' WHEN reply IS NULL THEN 'no_synthesizer' WHEN regexp_matches(reply, '^SKIP[\\n ]') THEN 'synthesizer_skip' ELSE 'stored' END AS stage FROM s")
+@query("gate_cascade", "WITH " + EXCHANGES_SQL + SAID + f", s AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN NULL WHEN turn % 3 = 0 THEN 'SKIP because' ELSE answer END AS reply FROM a) SELECT id, CASE WHEN {ROUTINE} THEN 'pre_filter' WHEN octet_length(encode({trim_sql('r')})) < 400 THEN 'length_filter' WHEN score < 0.35 THEN 'content_score_filter' WHEN reply IS NULL THEN 'no_synthesizer' WHEN regexp_matches(reply, '^SKIP[\\n ]') THEN 'synthesizer_skip' ELSE 'stored' END AS stage FROM s")
 def gate_cascade(spark, sf):
+    """Each exchange with the gate that it ends at; some of them are turned into mere acknowledgments."""
     from ..sources.tables import exchanges
 
+    user = F.when(F.col("turn") % 4 == 0, F.lit(" Thanks! ")).otherwise(F.col("user_msg"))
+    answer = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Done. "), "answer")).otherwise(F.col("answer"))
     reply = F.when(F.col("conv_id") % 4 == 0, F.lit(None)).when(F.col("turn") % 3 == 0, F.lit("SKIP because")).otherwise(F.col("answer"))
-    return exchanges(spark, sf).select("id", gates.gate(F.col("user_msg"), F.col("answer"), F.col("score"), reply, least=400).alias("stage"))
+    return exchanges(spark, sf).select("id", gates.gate(user, answer, F.col("score"), reply, least=400).alias("stage"))
 
 
 @query("crawl_pages", None)

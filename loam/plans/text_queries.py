@@ -35,7 +35,15 @@ def short_answers(spark, sf):
     return exchanges(spark, sf).select("id", gates.is_short(F.col("answer"), 400).alias("short"))
 
 
-@query("routine_exchanges", EX + ", a AS (SELECT id, CASE WHEN turn % 4 = 0 THEN ' Thanks! ' ELSE user_msg END AS u, CASE WHEN conv_id % 2 = 0 THEN 'Done. ' || answer ELSE answer END AS r FROM ex) SELECT id, lower(trim(u)) = 'thanks!' AND starts_with(lower(trim(r)), 'done.') AS routine FROM a")
+def either_sql(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+ROUTINE = f"(lower({trim_sql('u')}) IN ({either_sql(gates.ACKNOWLEDGMENTS)}) AND list_bool_or(list_transform([{either_sql(gates.PROCEDURAL)}], lambda p: starts_with(lower({trim_sql('r')}), p))))"
+SAID = ", a AS (SELECT *, CASE WHEN turn % 4 = 0 THEN ' Thanks! ' ELSE user_msg END AS u, CASE WHEN conv_id % 2 = 0 THEN 'Done. ' || answer ELSE answer END AS r FROM ex)"
+
+
+@query("routine_exchanges", EX + SAID + f" SELECT id, {ROUTINE} AS routine FROM a")
 def routine_exchanges(spark, sf):
     user = F.when(F.col("turn") % 4 == 0, F.lit(" Thanks! ")).otherwise(F.col("user_msg"))
     answer = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Done. "), "answer")).otherwise(F.col("answer"))
@@ -86,9 +94,12 @@ def junk_class(spark, sf):
     return table(spark, sf, "documents").groupBy(gates.junk_class(text).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("topic_relevance", "SELECT lang, count(*) FILTER (WHERE regexp_matches(text, 'endpoint|rest|pagination|rate limit|http status|cors|health check|idempoten')) AS api, count(*) FILTER (WHERE regexp_matches(text, 'error|retry|circuit|timeout|panic|backoff|sentinel|recover')) AS errors FROM documents GROUP BY lang")
+RELEVANT = ", ".join(f"count(*) FILTER (WHERE list_bool_or(list_transform([{either_sql(words)}], lambda w: contains(text, w)))) AS \"{topic}\"" for topic, words in gates.TOPICS.items())
+
+
+@query("topic_relevance", f"SELECT lang, {RELEVANT} FROM documents GROUP BY lang")
 def topic_relevance(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(gates.is_relevant(F.col("text"), "api-design")).alias("api"), F.count_if(gates.is_relevant(F.col("text"), "error-handling")).alias("errors"))
+    return table(spark, sf, "documents").groupBy("lang").agg(*[F.count_if(gates.is_relevant(F.col("text"), topic)).alias(topic) for topic in gates.TOPICS])
 
 
 THINK = "WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>' || substr(text, 1, 40) || '</think> ' || substr(text, 41) WHEN 1 THEN substr(text, 1, 60) || ' <think>' || substr(text, 61) ELSE text END AS t FROM documents) "

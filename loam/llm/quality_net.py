@@ -23,15 +23,17 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ddl, map_texts, process_cache, staged, text_column
+from .lm_score import most_common
 
 DIM, NONZERO, LEAST = 32, 4, 5
 INPUTS = DIM + 3
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Most words that a process remembers, and their most letters.
-MAX_CACHED, MAX_LETTERS = 400_000, 64
+MAX_CACHED, MAX_LETTERS = 300_000, 64
 MOST_SENT, DENSE = 1_000_000, 32_768
 #: Words and codes that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
+SLICE_BYTES = 2 << 20  # of text at a time
 
 
 def word_hash(word: str) -> int:
@@ -64,6 +66,14 @@ def hashes_of(texts: list[str]):
     return found, np.array(counts, np.int64)
 
 
+def different_words(hashes):
+    """(different, place): each hash once, and where each word's is; by hashing, which costs less than sorting."""
+    import pyarrow as pa
+
+    coded = pa.array(hashes).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+
+
 def index_code(hashes):
     """The index vector of each word in 24 bits: NONZERO places of five bits and their signs."""
     return ((hashes >> 7) & 0xFFFFFF).astype("uint32")
@@ -94,12 +104,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def summed():
-            words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            return words, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+            words, place = different_words(np.concatenate([w for w, _ in held]))
+            return words, np.bincount(place, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
 
         for part in parts:
-            words, n = np.unique(hashes_of(text_column(part, "text"))[0], return_counts=True)
-            held.append((words, n))
+            words, place = different_words(hashes_of(text_column(part, "text"))[0])
+            held.append((words, np.bincount(place, minlength=len(words))))
             size += len(words)
             if size > HELD:
                 held = [summed()]
@@ -110,7 +120,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield [pa.array(x) for x in summed()]
 
-    return map_texts(docs.select("text"), ddl("word bigint, part_n bigint"), compute, most=4 << 20).groupBy("word").agg(F.sum("part_n").alias("n"))
+    return map_texts(docs.select("text"), ddl("word bigint, part_n bigint"), compute, most=SLICE_BYTES).groupBy("word").agg(F.sum("part_n").alias("n"))
 
 
 def word_contexts(docs: DataFrame, frequent, complete: bool) -> DataFrame:
@@ -143,7 +153,7 @@ def word_contexts(docs: DataFrame, frequent, complete: bool) -> DataFrame:
             beside = np.ones(len(hashes) - 1, bool)
             beside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False  # no word sees another text
             # Of each different word once: whether it is frequent, and where.
-            different, place = np.unique(hashes, return_inverse=True)
+            different, place = different_words(hashes)
             at = np.minimum(np.searchsorted(dense, different), max(0, len(dense) - 1))
             row = np.where(dense[at] == different, at, -1) if len(dense) else np.full(len(different), -1)
             if complete:
@@ -153,14 +163,13 @@ def word_contexts(docs: DataFrame, frequent, complete: bool) -> DataFrame:
                 wanted = np.ones(len(different), bool)
             code = index_code(different)
             a, b = place[:-1][beside], place[1:][beside]
-            for own, other in ((a, b), (b, a)):
-                inside = row[own] >= 0
-                base, codes = row[own[inside]] * DIM, code[other[inside]]
-                for where, sign in code_parts(codes):
-                    total += np.bincount(base + where, sign, len(total))
-                rest = ~inside & wanted[own]
-                held.append((different[own[rest]], code[other[rest]]))
-                size += int(rest.sum())
+            own, other = np.concatenate([a, b]), np.concatenate([b, a])
+            inside = row[own] >= 0
+            base, parts_of = row[own[inside]] * DIM, code_parts(code[other[inside]])
+            total += np.bincount(np.concatenate([base + where for where, _ in parts_of]), np.concatenate([sign for _, sign in parts_of]), len(total))
+            rest = ~inside & wanted[own]
+            held.append((different[own[rest]], code[other[rest]]))
+            size += int(rest.sum())
             if size > HELD:
                 yield given()
                 held, size = [], 0
@@ -170,7 +179,7 @@ def word_contexts(docs: DataFrame, frequent, complete: bool) -> DataFrame:
         used = np.flatnonzero(table.any(axis=1))
         yield [pa.array(dense[used]), pa.nulls(len(used), pa.binary()), binaries(table[used].astype(np.int32).ravel(), np.arange(len(used)) * DIM)]
 
-    return map_texts(docs.select("text"), ddl("word bigint, codes binary, sums binary"), compute, most=4 << 20)
+    return map_texts(docs.select("text"), ddl("word bigint, codes binary, sums binary"), compute, most=SLICE_BYTES)
 
 
 def word_vectors(contexts: DataFrame) -> DataFrame:
@@ -227,6 +236,14 @@ def sent_table(vectors: DataFrame):
     return words[order], found[order]
 
 
+def words_without(different, place, there) -> list[dict]:
+    """The words of a text that have no vector there, and how often each is in it."""
+    import numpy as np
+
+    own, times = np.unique(place[~there[place]], return_counts=True)
+    return [{"word": int(w), "times": int(n)} for w, n in zip(different[own], times)]
+
+
 def summed_documents(docs: DataFrame, sent, complete: bool) -> DataFrame:
     """doc_id, digest (of the text), n (words), known (words whose vector was sent), sums (of their vectors, as bytes) and, unless complete, others: the words without, and how often each is there."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
@@ -237,22 +254,23 @@ def summed_documents(docs: DataFrame, sent, complete: bool) -> DataFrame:
         words, vectors = sent.value
         for part in parts:
             hashes, counts = hashes_of(text_column(part, "text"))
-            different, place = np.unique(hashes, return_inverse=True)
+            different, place = different_words(hashes)
             at = np.minimum(np.searchsorted(words, different), max(0, len(words) - 1))
             row = np.where(words[at] == different, at, -1) if len(words) else np.full(len(different), -1)
-            own = np.zeros((len(different) + 1, DIM), np.float32)
-            own[np.flatnonzero(row >= 0)] = vectors[row[row >= 0]]
-            ends = np.cumsum(counts)
-            sums, known, others = np.zeros((len(counts), DIM)), [], []
-            for i, (start, end) in enumerate(zip(ends - counts, ends)):
-                mine, times = np.unique(place[start:end], return_counts=True)
-                there = row[mine] >= 0
-                sums[i] = times[there].astype(float) @ own[mine[there]]
-                known.append(int(times[there].sum()))
-                others.append([] if complete else [{"word": int(w), "times": int(t)} for w, t in zip(different[mine[~there]], times[~there])])
+            own = np.zeros((len(different), DIM), np.float32)
+            there = row >= 0
+            own[there] = vectors[row[there]]
+            doc = np.repeat(np.arange(len(counts)), counts)
+            sums = np.zeros((len(counts), DIM))
+            for i in range(0, len(place), 1 << 16):  # bounds the memory for one very long text, too
+                mine = doc[i : i + (1 << 16)]
+                starts = np.flatnonzero(np.diff(mine, prepend=-1))
+                sums[mine[starts]] += np.add.reduceat(own[place[i : i + (1 << 16)]], starts, axis=0)
+            known = np.bincount(doc, there[place], len(counts)).astype(np.int64).tolist()
+            others = [[]] * len(counts) if complete else [words_without(different, place[end - n : end], there) for end, n in zip(np.cumsum(counts), counts)]
             yield [part.column("doc_id"), part.column("digest"), counts.tolist(), known, [x.tobytes() for x in sums], others]
 
-    return map_texts(keyed, ddl("doc_id bigint, digest bigint, n bigint, known bigint, sums binary, others array<struct<word: bigint, times: bigint>>"), compute, most=4 << 20)
+    return map_texts(keyed, ddl("doc_id bigint, digest bigint, n bigint, known bigint, sums binary, others array<struct<word: bigint, times: bigint>>"), compute, most=SLICE_BYTES)
 
 
 def with_others(summed: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -290,18 +308,19 @@ def pooled(docs: DataFrame, least: int = LEAST, most_sent: int = MOST_SENT) -> D
 
     spark = docs.sparkSession
     counts = staged(word_counts(docs).filter(F.col("n") >= least), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(most_sent).toArrow()  # 16 bytes each
-    words = top["word"].to_numpy() if top.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(words)
     complete = counts.count() <= most_sent
-    frequent = spark.sparkContext.broadcast((words[order], order))
+    first = most_common(counts, most_sent)
+    top = first.toArrow()  # most_sent rows of 16 bytes
+    words, n = (top[c].to_numpy() if top.num_rows else np.zeros(0, np.int64) for c in ("word", "n"))
+    ranks, order = np.empty(len(words), np.int64), np.argsort(words)
+    ranks[np.lexsort((words, -n))] = np.arange(len(words))
+    frequent = spark.sparkContext.broadcast((words[order], ranks[order]))
     vectors = word_vectors(word_contexts(docs, frequent, complete))
     if complete:
         sent = spark.sparkContext.broadcast(sent_table(vectors))
         summed = summed_documents(docs, sent, True).drop("others").withColumns({"added": F.lit(None).cast("binary"), "found": F.lit(0).cast("bigint")})
     else:
         own = staged(vectors.join(counts.select("word"), "word", "left_semi"), "vectors")
-        first = counts.orderBy(F.desc("n"), "word").limit(most_sent).select("word")
         sent = spark.sparkContext.broadcast(sent_table(own.join(first, "word", "left_semi")))
         summed = with_others(staged(summed_documents(docs, sent, False), "summed"), own)
 

@@ -106,6 +106,29 @@ def test_nothing_is_lost_at_a_tenth(spark, sf_dir):
     assert got == brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_every_link_of_a_sample_is_kept_at_a_tenth(spark, sf_dir):
+    """A fiftieth of the documents against all of the larger table: recall of links is 1, and classes hold linked texts only."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    counts = {r.doc_id: counted(r.text) for r in docs.select("doc_id", "text").collect()}
+    sample = [i for i in sorted(counts) if i % 50 == 0]
+    wanted, shared = {s for i in sample for s in counts[i]}, defaultdict(list)
+    for i, c in counts.items():
+        for s in wanted & c.keys():
+            shared[s].append(i)
+    links = 0
+    for a in sample:
+        both = Counter(i for s in counts[a] for i in shared[s])
+        # Equal sizes at least to four fifths, and as many different shingles in common.
+        for b in (i for i, n in both.items() if i != a and 0.8 * sum(counts[a].values()) <= sum(counts[i].values()) <= 1.25 * sum(counts[a].values())):
+            if similarity(counts[a], counts[b]) >= 0.8:
+                links += 1
+                assert got[a] == got[b], (a, b)
+        mates = [i for i in got if got[i] == got[a] and i != a]
+        assert not mates or any(similarity(counts[i], counts[j]) >= 0.8 for i in [a] for j in mates)
+    assert links > 20
+
+
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x")], "doc_id bigint, text string, node string")
     assert minhash.near_duplicates(docs.limit(0)).count() == 0

@@ -8,7 +8,7 @@ from ..functions import gates, text as T
 from ..operators import curation, records
 from ..sources.tables import EXCHANGES_SQL, MEMORIES_SQL, crawled, memories, table
 from .registry import query
-from .text_queries import ROUTINE, SAID, trim_sql
+from .text_queries import HTML_TEXT, LINKS, ROUTINE, SAID, encoded_sql, trim_sql
 
 WITH = "WITH " + MEMORIES_SQL
 
@@ -203,7 +203,16 @@ def gate_cascade(spark, sf):
     return exchanges(spark, sf).select("id", gates.gate(user, answer, F.col("score"), reply, least=400).alias("stage"))
 
 
-@query("crawl_pages", None)
+ADDRESS = r"regexp_replace(regexp_replace({}, '[?#].*$', ''), '/$', '')"
+CRAWL = (
+    f"WITH RECURSIVE {HTML_TEXT}, {LINKS}, known AS (SELECT page_id, url, content, {ADDRESS.format(encoded_sql('url'))} AS address FROM page), leads AS (SELECT DISTINCT k.address, {ADDRESS.format('link')} AS target FROM link JOIN known k USING (page_id)), "
+    "r AS (SELECT address, 0 AS depth FROM known WHERE page_id % 50 = 0 UNION SELECT l.target, r.depth + 1 FROM r JOIN leads l ON l.address = r.address WHERE r.depth < 3 AND l.target IN (SELECT address FROM known)), "
+    "reached AS (SELECT address, min(depth) AS depth FROM r GROUP BY address) "
+    "SELECT url, depth, sha256(content) AS content_hash, row_number() OVER (ORDER BY depth, url) AS place FROM known JOIN reached USING (address) WHERE octet_length(encode(content)) >= 50 ORDER BY depth, url LIMIT 500"
+)
+
+
+@query("crawl_pages", CRAWL)
 def crawl_pages(spark, sf):
     """Breadth-first over the links of pages, by joins: depth at most 3; a page's links lead to pages whose URL has their path."""
     from ..sources.crawl import crawl
@@ -214,7 +223,7 @@ def crawl_pages(spark, sf):
     return crawl(pages, pages.filter("page_id % 50 = 0").select("url"))
 
 
-@query("page_text", None)
+@query("page_text", f"WITH {HTML_TEXT} SELECT page_id, url, content, sha256(content) AS content_hash FROM page")
 def page_text(spark, sf):
     return crawled(spark, sf)
 

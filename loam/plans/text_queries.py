@@ -116,12 +116,31 @@ def without_thinking(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.without_thinking(text).alias("t"))
 
 
-@query("html_text", r"WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages), u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b) SELECT page_id, sha256(" + trim_sql(r"regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + ") AS hash FROM u")
+HTML_TEXT = (
+    "b AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages), "
+    "u AS (SELECT page_id, url, html, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b), "
+    "page AS (SELECT page_id, url, html, " + trim_sql(r"regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + " AS content FROM u)"
+)
+
+
+@query("html_text", f"WITH {HTML_TEXT} SELECT page_id, sha256(content) AS hash FROM page")
 def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(T.html_to_text(F.col("html")), 256).alias("hash"))
 
 
-@query("html_links", r"WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, unnest(regexp_extract_all(html, '(?i)href\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS l FROM pages) SELECT DISTINCT page_id, CASE WHEN starts_with(l, '/') THEN site || replace(replace(url_encode(regexp_extract(l, '^([^?#]*)', 1)), '%2F', '/'), '%2C', ',') || regexp_extract(l, '^[^?#]*(\?[^#]*)', 1) ELSE regexp_replace(l, '#.*$', '') END AS link FROM h WHERE NOT regexp_matches(l, '^(#|javascript:|mailto:)')")
+def encoded_sql(url: str) -> str:
+    """A URL whose path is percent-coded where it has to be, without fragment."""
+    return rf"regexp_extract({url}, '^([a-z]+://[^/?#]*)', 1) || replace(replace(url_encode(regexp_extract({url}, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '%2F', '/'), '%2C', ',') || regexp_extract({url}, '^[^?#]*(\?[^#]*)', 1)"
+
+
+TARGET = encoded_sql("(CASE WHEN starts_with(l, '/') THEN site || l ELSE l END)")
+LINKS = (
+    r"h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, unnest(regexp_extract_all(html, '(?i)href\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1)) AS l FROM pages), "
+    f"link AS (SELECT DISTINCT page_id, {TARGET} AS link FROM h WHERE NOT regexp_matches(l, '^(#|javascript:|mailto:)'))"
+)
+
+
+@query("html_links", f"WITH {LINKS} SELECT page_id, link FROM link")
 def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(T.links(F.col("html"), F.col("url"))).alias("link"))
 

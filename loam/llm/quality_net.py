@@ -29,10 +29,11 @@ DIM, NONZERO, LEAST = 32, 4, 5
 INPUTS = DIM + 3
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Most words that a process remembers, and their most letters.
-MAX_CACHED, MAX_LETTERS = 300_000, 64
+MAX_CACHED, MAX_LETTERS = 400_000, 64
 MOST_SENT, DENSE = 1_000_000, 32_768
 #: Words and codes that a task holds before it hands them on.
 HELD = 1_000_000
+NO_CODE = 0xFFFFFFFF  # codes have 24 bits
 SLICE_BYTES = 2 << 20  # of text at a time
 
 
@@ -94,112 +95,81 @@ def binaries(values, starts):
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (a hash) and n, over all documents. Tasks add up before Spark does."""
+def word_contexts(docs: DataFrame) -> DataFrame:
+    """word, n (how often it was seen), codes (of the words beside it) and sums (of their index vectors), in part. Of words that are frequent where a task begins it keeps sums, of all others codes."""
 
     def compute(parts):
         import numpy as np
         import pyarrow as pa
 
-        held, size = [], 0
-
-        def summed():
-            words, place = different_words(np.concatenate([w for w, _ in held]))
-            return words, np.bincount(place, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
-
-        for part in parts:
-            words, place = different_words(hashes_of(text_column(part, "text"))[0])
-            held.append((words, np.bincount(place, minlength=len(words))))
-            size += len(words)
-            if size > HELD:
-                held = [summed()]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield [pa.array(x) for x in held[0]]
-                    held, size = [], 0
-        if held:
-            yield [pa.array(x) for x in summed()]
-
-    return map_texts(docs.select("text"), ddl("word bigint, part_n bigint"), compute, most=SLICE_BYTES).groupBy("word").agg(F.sum("part_n").alias("n"))
-
-
-def word_contexts(docs: DataFrame, frequent, complete: bool) -> DataFrame:
-    """word, codes (of the words beside it) and sums (of their index vectors), in part: the DENSE first of frequent come as sums a task, all others as codes.
-
-    frequent: a broadcast (words in order of hash, their ranks by frequency); complete: whether it holds every word that gets a vector.
-    """
-
-    def compute(parts):
-        import numpy as np
-        import pyarrow as pa
-
-        words, ranks = frequent.value
-        dense = np.sort(words[ranks < DENSE])
-        total = np.zeros(len(dense) * DIM)
+        dense, total, seen = None, None, None
         held, size = [], 0
 
         def given():
-            w, c = (np.concatenate(x) for x in zip(*held))
+            """A row for each word held: n, and the codes, of which the first of each occurrence's share of the text is none."""
+            w, c, n = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(w, kind="stable")
-            w, c = w[order], c[order]
-            starts = np.flatnonzero(np.diff(w, prepend=w[0] - 1)) if len(w) else np.zeros(0, np.int64)
-            return [pa.array(w[starts]), binaries(c, starts), pa.nulls(len(starts), pa.binary())]
+            w, c, n = w[order], c[order], n[order]
+            starts = np.flatnonzero(np.diff(w, prepend=w[0] - 1))
+            has = c != NO_CODE
+            kept = np.concatenate([[0], np.cumsum(has)])[starts]
+            return [pa.array(w[starts]), pa.array(np.add.reduceat(n, starts)), binaries(c[has], kept), pa.nulls(len(starts), pa.binary())]
 
         for part in parts:
             hashes, counts = hashes_of(text_column(part, "text"))
-            if len(hashes) < 2:
+            if not len(hashes):
                 continue
-            ends = np.cumsum(counts)
-            beside = np.ones(len(hashes) - 1, bool)
-            beside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False  # no word sees another text
-            # Of each different word once: whether it is frequent, and where.
             different, place = different_words(hashes)
+            times = np.bincount(place, minlength=len(different))
+            if dense is None:
+                dense = np.sort(different[np.argsort(-times, kind="stable")[:DENSE]])
+                total, seen = np.zeros(len(dense) * DIM), np.zeros(len(dense), np.int64)
             at = np.minimum(np.searchsorted(dense, different), max(0, len(dense) - 1))
             row = np.where(dense[at] == different, at, -1) if len(dense) else np.full(len(different), -1)
-            if complete:
-                spot = np.minimum(np.searchsorted(words, different), max(0, len(words) - 1))
-                wanted = (words[spot] == different) if len(words) else np.zeros(len(different), bool)
-            else:
-                wanted = np.ones(len(different), bool)
-            code = index_code(different)
+            inside = row >= 0
+            seen[row[inside]] += times[inside]
+            rest = np.flatnonzero(~inside)
+            held.append((different[rest], np.full(len(rest), NO_CODE, np.uint32), times[rest]))
+            ends = np.cumsum(counts)
+            beside = np.ones(len(hashes) - 1, bool)
+            beside[ends[(ends > 0) & (ends < len(hashes))] - 1] = False  # no word sees another text
             a, b = place[:-1][beside], place[1:][beside]
             own, other = np.concatenate([a, b]), np.concatenate([b, a])
-            inside = row[own] >= 0
-            base, parts_of = row[own[inside]] * DIM, code_parts(code[other[inside]])
+            code, summed = index_code(different), inside[own]
+            base, parts_of = row[own[summed]] * DIM, code_parts(code[other[summed]])
             total += np.bincount(np.concatenate([base + where for where, _ in parts_of]), np.concatenate([sign for _, sign in parts_of]), len(total))
-            rest = ~inside & wanted[own]
-            held.append((different[own[rest]], code[other[rest]]))
-            size += int(rest.sum())
+            own, other = own[~summed], other[~summed]
+            held.append((different[own], code[other], np.zeros(len(own), np.int64)))
+            size += len(rest) + len(own)
             if size > HELD:
                 yield given()
                 held, size = [], 0
         if size:
             yield given()
-        table = total.reshape(-1, DIM)
-        used = np.flatnonzero(table.any(axis=1))
-        yield [pa.array(dense[used]), pa.nulls(len(used), pa.binary()), binaries(table[used].astype(np.int32).ravel(), np.arange(len(used)) * DIM)]
+        if dense is not None and len(dense):
+            yield [pa.array(dense), pa.array(seen), pa.nulls(len(dense), pa.binary()), binaries(total.astype(np.int32), np.arange(len(dense)) * DIM)]
 
-    return map_texts(docs.select("text"), ddl("word bigint, codes binary, sums binary"), compute, most=SLICE_BYTES)
+    return map_texts(docs.select("text"), ddl("word bigint, n bigint, codes binary, sums binary"), compute, most=SLICE_BYTES)
 
 
 def word_vectors(contexts: DataFrame) -> DataFrame:
-    """word and vector (half-precision bytes, unit length or zeros) of word_contexts: each word's rows stand together in a sorted partition and are added up batch by batch."""
+    """word, n and vector (half-precision bytes, unit length or zeros) of word_contexts: each word's rows stand together in a sorted partition and are added up batch by batch."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        last, pending = None, np.zeros(DIM)
+        last, pending, times = None, np.zeros(DIM), 0
 
-        def rows(words, sums):
+        def rows(words, n, sums):
             unit = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
-            return pa.RecordBatch.from_arrays([pa.array(words), binaries(unit.astype(np.float16).ravel(), np.arange(len(words)) * DIM)], names=["word", "vector"])
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64)), binaries(unit.astype(np.float16).ravel(), np.arange(len(words)) * DIM)], names=["word", "n", "vector"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             words, place = np.unique(batch.column("word").to_numpy(), return_inverse=True)
-            total = np.zeros(len(words) * DIM)
+            total, n = np.zeros(len(words) * DIM), np.bincount(place, batch.column("n").to_numpy(), len(words))
             codes, dense = batch.column("codes").to_pylist(), batch.column("sums").to_pylist()
             lengths = np.array([len(c) // 4 if c else 0 for c in codes])
             own = np.repeat(place, lengths) * DIM
@@ -212,15 +182,16 @@ def word_vectors(contexts: DataFrame) -> DataFrame:
             if last is not None:
                 if words[0] == last:
                     total[0] += pending
+                    n[0] += times
                 else:
-                    yield rows(np.array([last]), pending[None])
+                    yield rows(np.array([last]), np.array([times]), pending[None])
             if len(words) > 1:
-                yield rows(words[:-1], total[:-1])
-            last, pending = words[-1], total[-1]
+                yield rows(words[:-1], n[:-1], total[:-1])
+            last, pending, times = words[-1], total[-1], n[-1]
         if last is not None:
-            yield rows(np.array([last]), pending[None])
+            yield rows(np.array([last]), np.array([times]), pending[None])
 
-    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl("word bigint, vector binary"))
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl("word bigint, n bigint, vector binary"))
 
 
 def sent_table(vectors: DataFrame):
@@ -304,27 +275,17 @@ def with_others(summed: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def pooled(docs: DataFrame, least: int = LEAST, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id and vector (INPUTS floats) of each row of docs."""
-    import numpy as np
-
     spark = docs.sparkSession
-    counts = staged(word_counts(docs).filter(F.col("n") >= least), "words")
-    complete = counts.count() <= most_sent
-    first = most_common(counts, most_sent)
-    top = first.toArrow()  # most_sent rows of 16 bytes
-    words, n = (top[c].to_numpy() if top.num_rows else np.zeros(0, np.int64) for c in ("word", "n"))
-    ranks, order = np.empty(len(words), np.int64), np.argsort(words)
-    ranks[np.lexsort((words, -n))] = np.arange(len(words))
-    frequent = spark.sparkContext.broadcast((words[order], ranks[order]))
-    vectors = word_vectors(word_contexts(docs, frequent, complete))
+    vectors = staged(word_vectors(word_contexts(docs)).filter(F.col("n") >= least), "vectors")
+    complete = vectors.count() <= most_sent
+    sent = spark.sparkContext.broadcast(sent_table(most_common(vectors, most_sent).select("word", "vector")))
     if complete:
-        sent = spark.sparkContext.broadcast(sent_table(vectors))
         summed = summed_documents(docs, sent, True).drop("others").withColumns({"added": F.lit(None).cast("binary"), "found": F.lit(0).cast("bigint")})
     else:
-        own = staged(vectors.join(counts.select("word"), "word", "left_semi"), "vectors")
-        sent = spark.sparkContext.broadcast(sent_table(own.join(first, "word", "left_semi")))
-        summed = with_others(staged(summed_documents(docs, sent, False), "summed"), own)
+        summed = with_others(staged(summed_documents(docs, sent, False), "summed"), vectors.select("word", "vector"))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:

@@ -71,6 +71,19 @@ def test_pivot_join_equals_all_pairs_and_compares_fewer(spark, threshold):
     assert met < (0.15 if threshold >= 0.9 else 1.0) * everything
 
 
+@pytest.mark.parametrize(("threshold", "block", "one_cell"), [(0.05, 300, True), (0.95, 300, False), (0.3, 5000, True)])
+def test_nearest_alike_equal_the_sorted_scores_with_copies_by_id(spark, threshold, block, one_cell):
+    with_checkpoints(spark)
+    v = np.vstack([clustered(2, 600), np.repeat(clustered(3, 4), 25, axis=0)])
+    items = frame_of(spark, v).select("id", "embedding")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.array([(unit * u).sum(axis=1) for u in unit])
+    np.fill_diagonal(s, -1)
+    want = {(a, int(b), r) for a in range(len(v)) for r, b in enumerate(np.lexsort((np.arange(len(v)), -s[a]))[:5], 1) if s[a, b] >= threshold}
+    assert {(r.a, r.b, r.r) for r in pivots.nearest_alike(items, threshold, 5, 64, block).collect()} == want
+    assert (pivots.fewest_rows(items, threshold, 64, block).select("cell").distinct().count() == 1) == one_cell
+
+
 def test_pivot_join_edges(spark):
     with_checkpoints(spark)
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, []), (5, None), (6, [1.0]), (7, [3.0]), (8, [-1.0, 0.0])]

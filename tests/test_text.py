@@ -82,6 +82,11 @@ def test_html_text(spark):
     assert column(spark, pages, T.html_to_text) == list(pages.values())
 
 
+def test_references_that_no_semicolon_ends_stay(spark):
+    pages = {"cut&amp;&amp; off &amp": "cut&& off &amp", "&ampfoo; &copy=1 &lt&gt; &#8364 &eacute;": "&ampfoo; &copy=1 &lt> &#8364 é", "&amp;amp; &&amp;&": "&amp; &&&"}
+    assert column(spark, pages, T.html_to_text) == list(pages.values())
+
+
 def test_hrefs_of_every_kind(spark):
     base = "https://s.org/dir/sub/page.html?x=1#f"
     cases = {

@@ -122,8 +122,7 @@ def page_lookup(spark, sf):
 )
 def reingest(spark, sf):
     pages, known = _pages(spark, sf)
-    status = curation.page_changes(pages, known).join(pages.select("url", "page_id"), "url")
-    return status.groupBy("status").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("status") == "unchanged", 0).otherwise(1)).alias("rebuilt"), F.min("page_id").alias("first_page"))
+    return curation.with_status(pages, known).groupBy("status").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("status") == "unchanged", 0).otherwise(1)).alias("rebuilt"), F.min("page_id").alias("first_page"))
 
 
 @query("remove_source", WITH + "SELECT source, count(*) AS n FROM mem WHERE NOT starts_with(source, 'source:src3|') GROUP BY source")

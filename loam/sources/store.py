@@ -134,11 +134,11 @@ def reingest(memories: StoredTable, pages: StoredTable, fresh: DataFrame, label:
     memories: id, source, content; pages, by url: url, content_hash. built: gives source, place and content of what
     changed pages become (see upkeep.section_rows). Ids go on from next_id.
     """
-    from ..operators.curation import page_changes
+    from ..operators.curation import with_status
     from ..operators.ranks import places
 
     hashed = fresh.select("url", "content", F.sha2("content", 256).alias("content_hash"))
-    open_ = hashed.join(page_changes(hashed, pages.rows()), "url").filter("status <> 'unchanged'").checkpoint()
+    open_ = with_status(hashed, pages.rows()).filter("status <> 'unchanged'").checkpoint()
     rows = built(open_.select(F.concat(F.lit(f"{label}|"), F.col("url")).alias("source"), "content"))
     numbered = places(rows, [], [F.col("source"), F.col("place")], "number").select((F.col("number") + F.lit(next_id - 1)).cast("bigint").alias("id"), "source", "content").checkpoint()
     gone = memories.rows().join(open_.select(F.concat(F.lit(f"{label}|"), F.col("url")).alias("source")), "source", "left_semi").select(memories.key)

@@ -29,3 +29,9 @@ def of_both(spark, at, name, pages):
 def test_statuses_of_pages_with_one_url(spark, tmp_path):
     got, wanted = of_both(spark, tmp_path, "reingest", [(i, f"http://s.org/{u}", f"<p>{u}{i % 2}</p>") for i, u in PAGES.items()])
     assert got == wanted and sum(r[1] for r in got) > len(PAGES)
+
+
+def test_upserts_over_pages_with_one_url(spark, tmp_path):
+    pages = [(i, f"http://s.org/{u}", f"<p>{u}{i}</p>") for i, u in PAGES.items()] + [(14, "http://s.org/d", None), (16, "http://s.org/h", None), (19, None, "<p>x</p>"), (20, None, "<p>y</p>")]
+    got, wanted = of_both(spark, tmp_path, "upsert_pages", pages)
+    assert got == wanted and len(got) > len(set(got))

@@ -9,7 +9,7 @@ from ..functions.urls import resolved
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 500, least_bytes: int = 50) -> DataFrame:
-    """url, depth and content_hash of the pages reached from seeds (url), nearest first, at most `most`; pages of fewer than least_bytes of text aren't kept.
+    """url, depth and content_hash of the pages reached from seeds (url), nearest first, at most `most`, those of one url by hash; pages of fewer than least_bytes of text aren't kept.
 
     A link leads to the page of the same host and path. The limit is the crawl's budget of pages.
     """
@@ -22,6 +22,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 500, l
         seen = seen.union(fresh).checkpoint()
         if not seen.filter(F.col("depth") == level).limit(1).count():
             break
-    reached = known.join(seen, "address").filter(F.octet_length("content") >= least_bytes)
-    place = F.row_number().over(Window.orderBy("depth", "url"))
-    return reached.orderBy("depth", "url").limit(most).select("url", "depth", F.sha2("content", 256).alias("content_hash"), place.alias("place"))
+    reached = known.join(seen, "address").filter(F.octet_length("content") >= least_bytes).withColumn("content_hash", F.sha2("content", 256))
+    order = ["depth", "url", "content_hash"]
+    place = F.row_number().over(Window.orderBy(*order))
+    return reached.orderBy(*order).limit(most).select("url", "depth", "content_hash", place.alias("place"))
